@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The byte table that lower-cases A-Z and leaves every other byte alone.
@@ -35,6 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(df: DataFrame, hash_: Column, rows: int) -> DataFrame:
+    """At most `rows` rows of df, those with the least hash. Rows that can't be among them (but for a chance of about
+    e^-rows) are left out before the sort, so that what tasks send doesn't grow with their number."""
+    n = df.count()
+    most = 1.0 if n <= 4 * rows else 4.0 * rows / n
+    return df.where(F.pmod(hash_, F.lit(1 << 40)) < F.lit(int(most * (1 << 40)))).orderBy(F.pmod(hash_, F.lit(1 << 40)), *df.columns).limit(rows)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(u, v), root being the smallest node reachable.
 

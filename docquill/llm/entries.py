@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquill.llm import bpe, decontaminate, langid, secrets, simhash
+from docquill.llm import bpe, decontaminate, langid, lmscore, packing, quality, secrets, sharding, simhash, substrings
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (langid.op1_langid, secrets.op2_secrets, bpe.op3_bpe, decontaminate.op4_decontaminate, simhash.op8_simhash)
+    own = (
+        langid.op1_langid, secrets.op2_secrets, bpe.op3_bpe, decontaminate.op4_decontaminate, lmscore.op5_lmscore, substrings.op6_substrings,
+        quality.op7_quality, simhash.op8_simhash, packing.op9_packing, sharding.op10_sharding,
+    )
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 

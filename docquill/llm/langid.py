@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquill.llm.common import table
+from docquill.llm.common import sampled, table
 
 WINDOW, HIDDEN, STACK = 128, 8, 4096
 TRAIN_ROWS, STEPS, BATCH, RATE, SEED = 4000, 240, 192, 0.03, 7
@@ -192,7 +192,8 @@ def fitted(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     chars = F.char_length("text")
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), chars - WINDOW)).cast("int") + 1
     own = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & (chars > 0))
-    got = own.select("lang", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text", "lang").limit(rows).collect()
+    windows = own.select("doc_id", "lang", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("text"))
+    got = sampled(windows, F.xxhash64("doc_id"), rows).collect()
     return train([r["text"].encode("utf-8", "replace") for r in got], [r["lang"] for r in got])
 
 

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.llm.common import table
+from docquill.llm.common import sampled, table
 
 # The base patterns of the contract; `{24,}` and `{16,}` find what the open runs find after their length check.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -98,7 +98,7 @@ def samples(docs: DataFrame, rows: int = SAMPLE_ROWS, drawn: int = DRAWN) -> Dat
     packed = F.substring(F.regexp_replace(F.base64(F.unhex(bits)), "=", ""), 1, 40)
     forms = F.array(packed, F.translate(packed, "+/", "-_"), F.regexp_replace(packed, "[+/]", ""), F.substring(bits, 1, 40))
     rand = spark.range(drawn).select(F.explode(forms).alias("token"), F.lit(True).alias("secret"))
-    own = docs.select("text").where("text IS NOT NULL").orderBy(F.xxhash64("text"), "text").limit(rows)
+    own = sampled(docs.select("text").where("text IS NOT NULL"), F.xxhash64("text"), rows)
     plain = reduce(lambda t, p: F.regexp_replace(t, p, " "), (ASSIGN, ACCESS, HEX), F.col("text"))
     words = own.select(F.regexp_extract_all(plain, F.lit(IDENTIFIER), F.lit(0)).alias("w"))
     joined = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit("/"), F.lit("")), F.pmod(F.xxhash64(a, b), F.lit(4)).cast("int") + 1), F.initcap(b))))
