@@ -42,9 +42,17 @@ MARK = "[SECRET]"
 SpanType = "array<struct<start:int,kind:int,stop:int>>"
 
 
-def running(a: Column) -> Column:
+def let(x: Column, body) -> Column:
+    """body(x) with x worked out once, however often and within whatever lambda the body refers to it."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
+def running(values: Column) -> Column:
     """Inclusive running sums of an array of ints."""
+    return let(values, running_sums)
+
 
+def running_sums(a: Column) -> Column:
     def sums(x: Column, first: Column) -> Column:
         return F.slice(F.aggregate(x, F.array(first), lambda s, v: F.concat(s, F.array(F.get(s, F.size(s) - 1) + v))), F.lit(2), F.size(x))
 
@@ -123,8 +131,8 @@ def trained(labelled: DataFrame) -> Column:
 def all_spans(text: Column, ratios: Column) -> tuple[Column, Column]:
     """(base spans by start and kind, all spans likewise): of the further ones those that meet no base span."""
     base = F.array_sort(F.concat(*base_spans(text)))
-    more = F.filter(markov_spans(text, ratios), lambda m: ~F.exists(base, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    return base, F.array_sort(F.concat(base, more))
+    apart = lambda b: F.filter(markov_spans(text, ratios), lambda m: ~F.exists(b, lambda x: (x["start"] < m["stop"]) & (m["start"] < x["stop"])))
+    return base, let(base, lambda b: F.array_sort(F.concat(b, apart(b))))
 
 
 def rendered(spans: Column) -> Column:
