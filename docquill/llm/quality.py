@@ -28,21 +28,24 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOL = r"[#*$%&|<>]"
 
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats")
-FLOOR = (0.3, 0.25, 0.08, 0.08, 0.08)  # least standard deviations
+FLOOR = (0.3, 0.25, 0.08, 0.15, 0.15)  # least standard deviations
 HALF, STEPS, LEAST = 0.75, 3, 50
 MEDIAN, CUTOFF = 4.351, 60.0  # of chi-square with 5 degrees: its median, and a value passed once in 10^11
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def repeated_words(words: Column, grams: Column) -> Column:
-    """Words that lie in 3-word windows found twice or more; grams: a hash for each window."""
-    m = F.size(grams)
-    order = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twice = F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.when((F.get(order, j)["h"] == F.get(order, j - 1)["h"]) | (F.get(order, j)["h"] == F.get(order, j + 1)["h"]), F.get(order, j)["i"]))
-    starts = F.sort_array(F.filter(twice, lambda x: x.isNotNull()))
-    last = F.size(starts) - 1
-    covered = F.aggregate(F.zip_with(F.slice(starts, F.lit(1), last), F.slice(starts, F.lit(2), last), lambda a, b: F.least(F.lit(3), b - a)), F.lit(3), lambda s, x: s + x)
-    return F.when((m > 1) & (F.size(F.array_distinct(grams)) < m), covered).otherwise(0)
+def with_repeats(df: DataFrame) -> DataFrame:
+    """df (grams: a hash for each 3-word window) with n_repeat_words, the words in windows found twice or more. Each step
+    is a column of its own: within a lambda an expression would be worked out again for each element."""
+    long_, ints_ = F.array().cast("array<struct<h:bigint,i:int>>"), F.array().cast("array<int>")
+    some = F.size(F.array_distinct("grams")) < F.size("grams")
+    a = df.withColumn("order", F.when(some, F.array_sort(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(long_))
+    get = lambda j: F.get("order", j)
+    twice = F.transform(F.sequence(F.lit(0), F.size("order") - 1), lambda j: F.when((get(j)["h"] == get(j - 1)["h"]) | (get(j)["h"] == get(j + 1)["h"]), get(j)["i"]))
+    b = a.withColumn("starts", F.when(F.size("order") > 0, F.sort_array(F.filter(twice, lambda x: x.isNotNull()))).otherwise(ints_))
+    last = F.size("starts") - 1
+    covered = F.aggregate(F.zip_with(F.slice("starts", F.lit(1), last), F.slice("starts", F.lit(2), last), lambda x, y: F.least(F.lit(3), y - x)), F.lit(3), lambda s, x: s + x)
+    return b.withColumn("n_repeat_words", F.when(F.size("starts") > 0, covered).otherwise(0).cast("long"))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -55,10 +58,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     a = src.select("doc_id", "lang", "source", words.alias("words"), lines.alias("lines"), F.regexp_count("text", F.lit(SYMBOL)).alias("n_symbols"))
     n = F.size("words")
     window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
-    b = a.withColumn("grams", F.when(n >= 3, window).otherwise(F.array().cast("array<bigint>")))
+    b = with_repeats(a.withColumn("grams", F.when(n >= 3, window).otherwise(F.array().cast("array<bigint>"))))
     return b.select(
         "doc_id", "lang", "source", n.cast("long").alias("n_words"), F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"), F.col("n_symbols").cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeated_words(F.col("words"), F.col("grams")).cast("long").alias("n_repeat_words"), F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words", F.size("lines").cast("long").alias("n_lines"),
     )
 
 
@@ -69,56 +72,80 @@ def features() -> list[Column]:
 
 
 D = len(FEATURES)
-PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]  # a lower triangle, packed by rows
+GROUP = ["glang", "gsource"]
 
 
 def total(xs: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, xs)
 
 
-def whitener(est: DataFrame) -> DataFrame:
-    """glang, gsource, m0.. (means) and w_i_j: the inverse of the Cholesky factor of the covariance c_i_j."""
-    cols = est
-    for i in range(D):
-        for j in range(i + 1):
-            cross = [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)]
-            rest = F.col(f"c_{i}_{j}") - (total(cross) if cross else F.lit(0.0))
-            cols = cols.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    for j in range(D):
-        for i in range(j, D):
-            cross = [F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)]
-            cols = cols.withColumn(f"w_{i}_{j}", 1 / F.col(f"l_{i}_{i}") if i == j else -total(cross) / F.col(f"l_{i}_{i}"))
-    return cols.select("glang", "gsource", *[f"m{i}" for i in range(D)], *[f"w_{i}_{j}" for i, j in PAIRS])
+def ints(xs: list[int]) -> Column:
+    return F.array(*map(F.lit, xs))
 
 
-def distance() -> Column:
-    gap = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
-    rows = [total([F.col(f"w_{i}_{j}") * gap[j] for j in range(i + 1)]) for i in range(D)]
-    return total([r * r for r in rows])
+def at(i: Column, j: Column) -> Column:
+    """The place of (i, j) in a packed triangle."""
+    return (i * (i + 1) / 2).cast("int") + j
 
 
-GROUP = ["glang", "gsource"]
+def filled(step) -> Column:
+    """A packed triangle, made entry by entry: step(triangle so far, i, j) gives the next one."""
+    first, second = ints([i for i, _ in PAIRS]), ints([j for _, j in PAIRS])
+    return F.aggregate(ints(list(range(len(PAIRS)))), F.array().cast("array<double>"), lambda t, p: F.concat(t, F.array(step(t, F.get(first, p), F.get(second, p)))))
+
+
+def summed(low: Column, high: Column, term) -> Column:
+    """The sum of term(k) for low <= k < high."""
+    return F.aggregate(F.slice(ints(list(range(D))), low + 1, high - low), F.lit(0.0), lambda s, k: s + term(k))
+
+
+def whitener(cov: Column) -> Column:
+    """The inverse of the Cholesky factor of a covariance; all packed triangles."""
+
+    def factor(t: Column, i: Column, j: Column) -> Column:
+        rest = F.get(cov, at(i, j)) - summed(F.lit(0), j, lambda k: F.get(t, at(i, k)) * F.get(t, at(j, k)))
+        return F.when(i == j, F.sqrt(F.greatest(rest, F.lit(1e-9)))).otherwise(rest / F.get(t, at(j, j)))
+
+    root = F.array(filled(factor))  # an array of one, so that what follows refers to it without working it out again
+
+    def inverse(low: Column) -> Column:
+        def step(t: Column, i: Column, j: Column) -> Column:
+            own = F.get(low, at(i, i))
+            return F.when(i == j, 1 / own).otherwise(-summed(j, i, lambda k: F.get(low, at(i, k)) * F.get(t, at(k, j))) / own)
+
+        return filled(step)
+
+    return F.element_at(F.transform(root, inverse), 1)
+
+
+def distance() -> Column:
+    """The squared distance of a row with columns m (means) and w (whitener)."""
+    gap = [F.col(f) - F.get("m", F.lit(i)) for i, f in enumerate(FEATURES)]
+    rows = [total([F.get("w", F.lit(i * (i + 1) // 2 + j)) * gap[j] for j in range(i + 1)]) for i in range(D)]
+    return total([r * r for r in rows])
 
 
 def estimated(rows: DataFrame) -> DataFrame:
-    """A whitener for each group of rows (glang, gsource, features)."""
+    """m, w and factor for each group of rows (glang, gsource, features)."""
     quantile = lambda c, p: F.percentile_approx(c, F.lit(p), F.lit(1000))
-    mid = written(rows.groupBy(*GROUP).agg(*[quantile(F.col(f), 0.5).alias(f"m{i}") for i, f in enumerate(FEATURES)]), "medians")
-    spread = rows.join(mid, GROUP).groupBy(*GROUP).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(D)], *[quantile(F.abs(F.col(f) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, f in enumerate(FEATURES)])
+    mid = written(rows.groupBy(*GROUP).agg(F.array(*[quantile(F.col(f), 0.5) for f in FEATURES]).alias("m")), "medians")
+    spread = rows.join(mid, GROUP).groupBy(*GROUP).agg(F.first("m").alias("m"), *[quantile(F.abs(F.col(f) - F.get("m", F.lit(i))), 0.5).alias(f"s{i}") for i, f in enumerate(FEATURES)])
     scale = [F.greatest(F.col(f"s{i}") * 1.4826, F.lit(FLOOR[i])) for i in range(D)]
-    est = spread.select(*GROUP, *[f"m{i}" for i in range(D)], *[(1 / scale[i] if i == j else F.lit(0.0)).alias(f"w_{i}_{j}") for i, j in PAIRS])
-    for step in range(STEPS + 1):
+    est = spread.select(*GROUP, "m", F.array(*[1 / scale[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("w"))
+    for _ in range(STEPS + 1):
         est = written(est, "estimates")
         near = rows.join(est, GROUP).select(*GROUP, *FEATURES, distance().alias("d"))
-        cut = near.groupBy(*GROUP).agg(quantile(F.col("d"), HALF).alias("cut"))
-        sums = near.join(written(cut, "cuts"), GROUP).where("d <= cut").groupBy(*GROUP).agg(
+        cut = written(near.groupBy(*GROUP).agg(quantile(F.col("d"), HALF).alias("cut")), "cuts")
+        sums = near.join(cut, GROUP).where("d <= cut").groupBy(*GROUP).agg(
             F.count("*").cast("double").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p_{i}_{j}") for i, j in PAIRS])
         mean = [F.col(f"s{i}") / F.col("n") for i in range(D)]
-        cov = [(F.col(f"p_{i}_{j}") / F.col("n") - mean[i] * mean[j] + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS]
-        est = whitener(sums.select(*GROUP, *[mean[i].alias(f"m{i}") for i in range(D)], *cov))
+        cov = [F.col(f"p_{i}_{j}") / F.col("n") - mean[i] * mean[j] + F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i, j in PAIRS]
+        moments = written(sums.select(*GROUP, F.array(*mean).alias("m"), F.array(*cov).alias("c")), "moments")
+        est = moments.select(*GROUP, "m", whitener(F.col("c")).alias("w"))
     est = written(est, "estimates")
     scale_ = rows.join(est, GROUP).groupBy(*GROUP).agg(quantile(distance(), 0.5).alias("mid"))
-    return est.join(scale_, GROUP).withColumn("factor", F.greatest(F.lit(1.0), F.col("mid") / MEDIAN)).drop("mid")
+    return est.join(scale_, GROUP).select(*GROUP, "m", "w", F.greatest(F.lit(1.0), F.col("mid") / MEDIAN).alias("factor"))
 
 
 def judged(docs: DataFrame) -> DataFrame:

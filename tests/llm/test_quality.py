@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from docquill.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,8 +45,8 @@ def test_distances_are_those_of_the_estimate(spark):
     rng = np.random.default_rng(0)
     a = rng.standard_normal((5, 5))
     cov, mean, x = a @ a.T + np.eye(5), rng.standard_normal(5), rng.standard_normal(5)
-    row = {"glang": "a", "gsource": "b"} | {f"m{i}": float(mean[i]) for i in range(5)} | {f"c_{i}_{j}": float(cov[i, j]) for i, j in quality.PAIRS}
-    white = quality.whitener(spark.createDataFrame([row]))
-    point = spark.createDataFrame([{f: float(v) for f, v in zip(quality.FEATURES, x, strict=True)} | {"glang": "a", "gsource": "b"}])
+    row = [("a", "b", mean.tolist(), [float(cov[i, j]) for i, j in quality.PAIRS])]
+    white = spark.createDataFrame(row, "glang string, gsource string, m array<double>, c array<double>").withColumn("w", quality.whitener(F.col("c")))
+    point = spark.createDataFrame([("a", "b", *map(float, x))], "glang string, gsource string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
     got = point.join(white, quality.GROUP).select(quality.distance()).first()[0]
     assert np.isclose(got, (x - mean) @ np.linalg.inv(cov) @ (x - mean))
