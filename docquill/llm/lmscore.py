@@ -1,7 +1,7 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-A bigram model with absolute discounting over add-one unigrams:
-p(w | u) = (max(c(u w) - D, 0) + D * T(u) * p(w)) / c(u), p(w) = (c(w) + 1) / (N + V + 1), p(w) alone for unseen u.
+A bigram model, smoothed by a Dirichlet prior of weight K around add-one unigrams:
+p(w | u) = (c(u w) + K * p(w)) / (c(u) + K), p(w) = (c(w) + 1) / (N + V + 1); so an unseen u gives p(w).
 
 1. Texts become *blocks* of tokens (numbers into a sorted list of 64-bit word hashes), written to the shared folder.
 2. Each block sends every distinct word to the shard of its hash, and every distinct pair to a shard of its first word
@@ -9,8 +9,8 @@ p(w | u) = (max(c(u w) - D, 0) + D * T(u) * p(w)) / c(u), p(w) = (c(w) + 1) / (N
    counts in training texts. A pair goes out once for each block, however often it occurs.
 3. A shard sums the counts and builds its part of the trie as memory-mapped levels: word hashes, pointers to ranges of
    successors, and successors as numbers relative to their word, made monotone by the word's offset; all Elias-Fano
-   coded, with one-byte quantised discounted counts. It answers each block's pairs by successor search in the range of
-   their first word, and its words by exact counts.
+   coded, with the pairs' part of the smoothed probability, c(u w), quantised to a byte (1 is exact, steps of a tenth).
+   It answers each block's pairs by successor search in the range of their first word, and its words by exact counts.
 4. Blocks meet their answers again and sum the log probabilities of each document.
 
 Nothing is broadcast; what is gathered follows the input, and a task holds a block or a shard. An n-gram is known by
@@ -36,7 +36,7 @@ from docquill.llm.common import LOWER, shared_dir, table
 from docquill.llm.eliasfano import EliasFano
 
 BLOCK_TOKENS, SHARD_PAIRS, SLICES = 1_000_000, 2_000_000, 8
-DISCOUNT, STEPS = 0.75, 24.0  # steps of the quantiser for a factor of ten
+PRIOR, STEPS = 4.0, 24.0  # K; steps of the quantiser for a factor of ten
 START, END = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -170,13 +170,11 @@ def requests(blocks: DataFrame, shards: int) -> DataFrame:
 
 
 def quantised(count: np.ndarray) -> np.ndarray:
-    """A byte for a discounted count; 0 stands for none."""
-    return np.clip(1 + np.rint(STEPS * np.log10((count - DISCOUNT) / (1 - DISCOUNT))), 1, 255).astype(np.uint8)
+    """A byte for a count; 0 stands for none."""
+    return np.clip(1 + np.rint(STEPS * np.log10(count)), 1, 255).astype(np.uint8)
 
 
-def discounted(code: np.ndarray) -> np.ndarray:
-    table_ = np.concatenate(([0.0], (1 - DISCOUNT) * 10 ** (np.arange(255) / STEPS)))
-    return table_[code]
+VALUES = np.concatenate(([0.0], 10 ** (np.arange(255) / STEPS)))  # by byte
 
 
 class Levels:
@@ -212,20 +210,18 @@ class Levels:
         ok[ok] = self.parity[i[ok]] == (h[ok] & np.uint64(1)).astype(np.uint8)
         return np.where(ok, i, -1)
 
-    def types(self, i: np.ndarray) -> np.ndarray:
-        """How many successors each first word has."""
-        out = np.zeros(len(i), np.int64)
-        ok = np.nonzero(i >= 0)[0]
-        out[ok] = (self.ranges.get(i[ok] + 1) - self.ranges.get(i[ok])).astype(np.int64)
-        return out
-
-    def code(self, i: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Quantised discounted counts of pairs: the successor relative to its word is sought at the word's offset."""
-        out = np.zeros(len(i), np.uint8)
+    def code(self, i: np.ndarray, runs: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Quantised counts of pairs, `runs` of them for each first word i: the successor relative to its word is sought at
+        the word's offset, and must lie in the range that the word's pointers give."""
+        out = np.zeros(len(second), np.uint8)
+        known = np.nonzero(i >= 0)[0]
+        ranges = np.zeros((2, len(i)), np.int64)
+        ranges[0, known], ranges[1, known] = self.ranges.get(i[known]), self.ranges.get(i[known] + 1)
+        first, (begin, end) = np.repeat(i, runs), np.repeat(ranges, runs, axis=1)
         relative = self.vocabulary.find(second)
-        ok = np.nonzero((i >= 0) & (relative >= 0))[0]
-        place = self.successors.find((i[ok] * self.size + relative[ok]).astype(np.uint64))
-        hit = place >= 0
+        ok = np.nonzero((first >= 0) & (relative >= 0))[0]
+        place = self.successors.find((first[ok] * self.size + relative[ok]).astype(np.uint64))
+        hit = (place >= begin[ok]) & (place < end[ok])
         out[ok[hit]] = self.codes[place[hit]]
         return out
 
@@ -237,11 +233,11 @@ def heads_of_hashes(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(at, append=len(heads))
 
 
-ANSWER = "shard int, block long, words binary, types binary, codes binary, train_tokens long, train_words long"
+ANSWER = "shard int, block long, words binary, codes binary, train_tokens long, train_words long"
 
 
 def answered(got: pa.Table) -> pa.Table:
-    """A shard's answers: for each block its words' counts, its first words' numbers of successors, its pairs' codes."""
+    """A shard's answers: for each block its words' counts and its pairs' codes."""
     rows = got.to_pylist()
     words = [from_planes(r["words"], r["n_words"], 8) for r in rows]
     counts = [from_planes(r["word_counts"], r["n_words"], 6).astype(np.int64) for r in rows]
@@ -262,16 +258,16 @@ def answered(got: pa.Table) -> pa.Table:
     at = np.nonzero(new)[0]
     levels = Levels(h[at], s[at], np.add.reduceat(c, at) if len(at) else c[:0])
     del h, s, c, order, new
-    out: dict[str, list] = {k: [] for k in ("shard", "block", "words", "types", "codes", "train_tokens", "train_words")}
+    out: dict[str, list] = {k: [] for k in ("shard", "block", "words", "codes", "train_tokens", "train_words")}
     place = 0
     for k, r in enumerate(rows):
         i = levels.head(heads[k])
         part = total[inverse[place : place + len(words[k])]]
         place += len(words[k])
-        one = (r["shard"], r["block"], planes(part, 6), planes(levels.types(i), 5), levels.code(np.repeat(i, runs[k]), seconds[k]).tobytes(), int(total.sum()) if not k else 0, int((total > 0).sum()) if not k else 0)
+        one = (r["shard"], r["block"], planes(part, 6), levels.code(i, runs[k], seconds[k]).tobytes(), int(total.sum()) if not k else 0, int((total > 0).sum()) if not k else 0)
         for name, v in zip(out, one, strict=True):
             out[name].append(v)
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
     return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), types, strict=True)})
 
 
@@ -296,24 +292,19 @@ def scored(docs: DataFrame) -> DataFrame:
                 b = Block(row["sizes"], row["vocabulary"], row["tokens"], row["held"], shards)
                 counts = np.zeros(len(b.words) + 1, np.int64)
                 counts[-1] = starts
-                types, codes = np.zeros(len(b.words) + 1, np.int64), np.zeros(len(b.pairs), np.uint8)
+                codes = np.zeros(len(b.pairs), np.uint8)
                 for a in row["answers"]:
                     own, pairs = b.of(a["shard"])
                     counts[own] = from_planes(a["words"], len(own), 6).astype(np.int64)
-                    at, _ = heads_of(b.first[pairs])
-                    types[b.first[pairs[at]]] += from_planes(a["types"], len(at), 5).astype(np.int64)
                     codes[pairs] = np.frombuffer(a["codes"], np.uint8)
                 base = (counts[:-1] + 1) / below
-                head = counts[b.first]
-                seen = np.maximum(head, 1)
-                p = base[b.second]
-                p = np.where(head > 0, np.minimum(1.0, (discounted(codes) + DISCOUNT * types[b.first] * p) / seen), p)
+                p = np.minimum(1.0, (VALUES[codes] + PRIOR * base[b.second]) / (counts[b.first] + PRIOR))
                 cuts = b.ends - b.sizes
                 sums = [np.add.reduceat(x, cuts) for x in ((counts[:-1] > 0).astype(np.int64)[b.tokens], np.log10(base)[b.tokens], np.log10(p)[np.searchsorted(b.pairs, b.keys)])]
                 arrays = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(b.sizes, pa.int64()), *[pa.array(x, t) for x, t in zip(sums, (pa.int64(), pa.float64(), pa.float64()), strict=True)]]
                 yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SCORES.split(", ")])
 
-    gathered = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "words", "types", "codes")).alias("answers"))  # as many as shards, whatever the block
+    gathered = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "words", "codes")).alias("answers"))  # as many as shards, whatever the block
     out = blocks.join(gathered, "block").select("sizes", "vocabulary", "tokens", "held", "doc_ids", "answers").mapInArrow(run, SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -1,14 +1,12 @@
 import math
 import random
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 
 from docquill.llm import lmscore
 
-D = lmscore.DISCOUNT
-
 
 def tokens(text):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
@@ -22,17 +20,15 @@ def is_held(doc_id):
 
 
 def brute(rows):
-    uni, pairs, after = Counter(), Counter(), defaultdict(set)
+    uni, pairs = Counter(), Counter()
     for d, t in rows:
         if not is_held(d):
             last = None
             for w in tokens(t):
                 uni[w] += 1
                 pairs[last, w] += 1
-                after[last].add(w)
                 last = w
     n, v, starts = sum(uni.values()), len(uni), sum(not is_held(d) for d, _ in rows)
-    head = lambda u: starts if u is None else uni[u]
     out = {}
     for d, t in rows:
         base = score = 0.0
@@ -40,12 +36,9 @@ def brute(rows):
         for w in own:
             p = (uni[w] + 1) / (n + (v + 1))
             base += math.log10(p)
-            if head(last):
-                c = pairs[last, w]
-                code = min(255, max(1, 1 + round(lmscore.STEPS * math.log10((c - D) / (1 - D))))) if c else 0
-                top = (1 - D) * 10 ** ((code - 1) / lmscore.STEPS) if code else 0.0
-                p = min(1.0, (top + D * len(after[last]) * p) / head(last))
-            score += math.log10(p)
+            c = pairs[last, w]
+            top = 10 ** (round(lmscore.STEPS * math.log10(c)) / lmscore.STEPS) if c else 0.0
+            score += math.log10(min(1.0, (top + lmscore.PRIOR * p) / ((starts if last is None else uni[last]) + lmscore.PRIOR)))
             last = w
         out[d] = (is_held(d), len(own), sum(uni[w] > 0 for w in own), n, base, score)
     return out
@@ -71,7 +64,8 @@ def test_edge_tables(make):
     held = next(k for k in range(100) if is_held(k))
     row = lmscore.scored(make([(held, "no training rows")])).collect()[0]
     assert row["train_tokens"] == 0 and row["n_known"] == 0 and row["n_tokens"] == 4
-    twice = lmscore.scored(make([(1, "a b"), (1, "a b")])).collect()
+    own = next(k for k in range(100) if not is_held(k))
+    twice = lmscore.scored(make([(own, "a b"), (own, "a b")])).collect()
     assert twice[0]["score"] == twice[1]["score"] and twice[0]["train_tokens"] == 6
 
 
