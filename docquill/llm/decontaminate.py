@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from docquill.llm.common import table
 
 WINDOW = 10
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 100_000
 # The upper-to-lower table and the words of the contract.
 UPPER = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from docquill.llm.common import sampled, table
 
-WINDOW, HIDDEN, STACK = 128, 8, 4096
+WINDOW, HIDDEN, STACK, PORTION = 128, 8, 4096, 8_000_000
 TRAIN_ROWS, STEPS, BATCH, RATE, SEED = 4000, 240, 192, 0.03, 7
 UND = "und"
 
@@ -197,6 +197,20 @@ def fitted(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     return train([r["text"].encode("utf-8", "replace") for r in got], [r["lang"] for r in got])
 
 
+def portions(texts: list[str], chosen: list[bool]) -> Iterator[list[int]]:
+    """The places of chosen texts, in lists of about PORTION characters together, so that memory doesn't follow a batch's size."""
+    own, size = [], 0
+    for k, ok in enumerate(chosen):
+        if ok:
+            own.append(k)
+            size += len(texts[k])
+            if size >= PORTION:
+                yield own
+                own, size = [], 0
+    if own:
+        yield own
+
+
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     """Every column of docs with lang_pred and score, as struct columns row and found."""
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
@@ -207,8 +221,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             named = [model is not None and any(map(str.isalpha, t)) for t in texts]
             langs, score = [UND] * len(texts), [0.0] * len(texts)
-            at = [k for k, ok in enumerate(named) if ok]
-            if at:
+            for at in portions(texts, named):
                 p = model.pooled([texts[k].encode("utf-8", "replace") for k in at])
                 for k, row in zip(at, p, strict=True):
                     langs[k], score[k] = model.langs[int(row.argmax())], min(1.0, float(row.max()))
