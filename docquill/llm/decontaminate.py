@@ -5,7 +5,7 @@ texts stream through it: at each word the automaton holds the longest suffix tha
 it lies in an occurrence of a window: `WINDOW` consecutive item words, or a whole item that has fewer.
 
 The items are the only side that is sent out. They are read in blocks of at most `BLOCK_WORDS` words, an automaton
-each (some 150 bytes a word, so 75 MB a block); one block needs no shuffle, more are passed over one after another and
+each (some 600 bytes a word, so 60 MB a block); one block needs no shuffle, more are passed over one after another and
 their hits united, so the size of what is broadcast is bounded whatever the benchmark's size.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window; repeated items
