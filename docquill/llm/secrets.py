@@ -3,15 +3,15 @@
 Everything is Column expressions. Base spans come from three patterns; further spans (kind `markov`) are runs of
 `RUN` characters whose log-likelihood ratio under the two bigram models, random strings against ordinary identifiers,
 is at least `RATIO` in all and `PER_PAIR` for each pair. The models are counted with add-one smoothing from labelled
-samples (token, secret): random strings drawn by hash, and the identifiers of `SAMPLE_ROWS` rows of the table chosen by
-hash, alone and joined as code joins them (a bounded sample of labelled rows). Only pair counts, at most 2 * 80 * 80,
-reach the driver. No pattern can match across a line break.
+samples (token, secret): random strings drawn by hash; identifiers made of the words `NAMES`; and those of `SAMPLE_ROWS`
+rows of the table chosen by hash, alone and joined as code joins them (a bounded sample of labelled rows). Only pair
+counts, at most 2 * 80 * 80, reach the driver. No pattern can match across a line break.
 
 Places are code points, ends exclusive. Running sums are taken in chunks, so a text with very many matches costs no
 square of their number.
 
 Defined results: a null text is an empty one, with no spans; repeated rows and ties give equal results; an empty table
-trains on the drawn strings alone; further columns are ignored by `scanned` and kept by `redacted`.
+trains on drawn strings and made names; further columns are ignored by `scanned` and kept by `redacted`.
 """
 
 from __future__ import annotations
@@ -38,6 +38,14 @@ SAMPLE_ROWS, DRAWN = 2000, 20_000
 LOW, SPAN = 43, 80  # '+' to 'z'
 CHUNK = 128
 MARK = "[SECRET]"
+# Words of which ordinary identifiers are made, for corpora that have few of their own.
+NAMES = """account action active address array base block buffer build button cache call change check class client code column
+config connection content count create current data date default delete device document element entry error event field file
+filter format function get group handler header height host image index info input item key label length level line link list
+load local lock manager map message method model module name network node number object option order page parent path point
+port position process property query random read record request result root row save search select server service session set
+size source start state status string system table target task temp test text thread time title total type update user value
+version view width window word write""".split()
 
 SpanType = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -111,7 +119,10 @@ def samples(docs: DataFrame, rows: int = SAMPLE_ROWS, drawn: int = DRAWN) -> Dat
     words = own.select(F.regexp_extract_all(plain, F.lit(IDENTIFIER), F.lit(0)).alias("w"))
     joined = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit("/"), F.lit("")), F.pmod(F.xxhash64(a, b), F.lit(4)).cast("int") + 1), F.initcap(b))))
     names = words.select(F.explode(F.concat("w", joined)).alias("token"), F.lit(False).alias("secret")).where("token IS NOT NULL")
-    return rand.unionByName(names)
+    words_ = F.array(*map(F.lit, NAMES))
+    made = F.array(F.concat("a", F.initcap("b")), F.concat("a", F.lit("_"), "b"), F.concat("a", F.lit("-"), "b", F.lit("/"), "a"))
+    common = spark.range(1).select(F.explode(words_).alias("a")).select("a", F.explode(words_).alias("b")).select(F.explode(made).alias("token"), F.lit(False).alias("secret"))
+    return rand.unionByName(names).unionByName(common)
 
 
 def trained(labelled: DataFrame) -> Column:
