@@ -143,3 +143,17 @@ def patch_sink(df, name):
     q = df.writeStream.format("memory").queryName(name).outputMode("append").start()
     q.processAllAvailable()
     return q
+
+
+def test_stream_to_files(spark, tmp_path):
+    from docquill.streaming.documents import stream_merged, stream_nodes, stream_patched, write_stream
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "x.txt").write_text('{"a":[1,2]}\n{"b":1}\n')
+    made = {"nodes": stream_nodes(spark, str(src), "$.a[*]"), "patched": stream_patched(spark, str(src), '[{"op":"remove","path":"/a"}]'), "merged": stream_merged(spark, str(src), '{"a":null}')}
+    for name, df in made.items():
+        write_stream(df, str(tmp_path / name), str(tmp_path / f"{name}-state"), once=True).awaitTermination()
+    assert sorted(r["nval"] for r in spark.read.parquet(str(tmp_path / "nodes")).collect()) == [1.0, 2.0]
+    assert sorted(str(r["patched"]) for r in spark.read.parquet(str(tmp_path / "patched")).collect()) == ["None", "{}"]
+    assert sorted(r["merged"] for r in spark.read.parquet(str(tmp_path / "merged")).collect()) == ["{}", '{"b":1}']
