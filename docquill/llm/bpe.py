@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from docquill.llm.common import table
 
-STATES, PIECES = 150_000, 400_000
+STATES, PIECES, ROWS = 150_000, 300_000, 256
 
 Edge = tuple[tuple[bytes, int, int], ...]
 
@@ -62,9 +62,10 @@ class Transducer:
         self.enter((), b"", ((-1, -1),), ())
 
     def enter(self, edge: Edge, pending: bytes, chain: tuple[tuple[int, int] | None, ...], open_: tuple[int, ...]) -> int:
-        at = self.number.setdefault((edge, pending), len(self.state))
+        key = (edge, pending)
+        at = self.number.setdefault(key, len(self.state))
         if at == len(self.state):
-            self.state.append((edge, pending))
+            self.state.append(key)
             self.chain.append(chain)
             self.open.append(open_)
             self.moves.append({})
@@ -283,7 +284,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) -
         coder, stream = Encoder(ranks, pattern), Utf8Stream(token_table(ranks))
         gc.disable()  # the tables hold no cycles, and looking for some costs a fifth of the time
         try:
-            for batch in batches:
+            for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
                 n, ids, sha, same = [], [], [], []
                 for text in batch.column(1):
                     text = text.as_py()
