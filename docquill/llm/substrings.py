@@ -2,7 +2,7 @@
 
 1. Each text is winnowed: of the hashes of its `GRAM`-byte strings, the least in each window of LENGTH - GRAM + 1 is
    that window's mark. A window of marks is just a string of LENGTH bytes, so equal strings have equal marks.
-2. Marks are counted by hash shards; the places whose mark occurs once can't be repeated. The others (*open* starts) go on.
+2. Marks are counted by hash shards, once for each place that gives one; strings whose mark has one place can't be repeated. The others (*open* starts) go on.
 3. Blocks of documents are the shards of the suffix arrays: a block's open stretches are sorted (`suffix_array`), common
    prefixes of LENGTH or more make groups, and all of a group but the earliest are repeated.
 4. The earliest of each group go on, by mark, to merges over many blocks: sorted runs are merged in pairs by binary
@@ -24,15 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquill.llm.common import table, written
-from docquill.llm.suffixarray import common_prefixes, suffix_array
+from docquill.llm.suffixarray import common_prefixes, suffix_array, words
 
 LENGTH, GRAM = 100, 32
-BLOCK_BYTES, SHARD_MARKS, MERGE_STARTS, FAN = 8_000_000, 2_000_000, 400_000, 256
+BLOCK_BYTES, SHARD_MARKS, MERGE_STARTS, FAN = 4_000_000, 2_000_000, 300_000, 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,96 +49,107 @@ def rolled(data: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
+def sliding(a: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
     size = 1
     while size < width:
         step = min(size, width - size)
-        a = np.minimum(a[: len(a) - step], a[step:])
+        a = of(a[: len(a) - step], a[step:])
         size += step
     return a
 
 
 def marks(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(first start, mark) of each run of starts that share a mark; starts go up to len(data) - length."""
-    least = sliding_min(rolled(data, gram), length - gram + 1)
+    least = sliding(rolled(data, gram), length - gram + 1)
     at = np.concatenate(([0], np.nonzero(least[1:] != least[:-1])[0] + 1))
     return at, least[at]
 
 
+def anchors(data: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The mark at each place that is the least of some window: a mark that stands at two places of a text is there twice."""
+    h, width = rolled(data, gram), length - gram + 1
+    pad = np.zeros(width - 1, np.uint64)
+    most = sliding(np.concatenate([pad, sliding(h, width), pad]), width, np.maximum)
+    return h[h == most]
+
+
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return (((h * MIX) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
 def grouped(which: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """An order by shard, and where each shard begins in it."""
+    which = which.astype(np.uint16 if shards < 1 << 16 else np.int64)  # 16 bits are sorted by radix
     order = np.argsort(which, kind="stable")
     return order, np.searchsorted(which[order], np.arange(shards + 1))
 
 
-MARKS = "shard int, keys binary, sizes binary, marks binary"
+MARKS = "shard int, keys binary, groups binary, sizes binary, marks binary"
 
 
 def marked(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
-    """docs (key, data) -> for each shard and chunk of documents: keys of documents, how many marks each has there, marks."""
+    """docs (key, data, group) -> for each shard and chunk of documents: keys and groups of documents, how many marks each
+    has there, marks."""
+    names = [x.split()[0] for x in MARKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "keys", "sizes", "marks"]
-
-        def chunk(keys: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def chunk(keys: list[int], groups: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
             owner = np.repeat(np.arange(len(keys)), [len(f) for f in found])
             all_ = np.concatenate(found)
             order, cuts = grouped(shard_of(all_, shards), shards)
-            names_ = np.array(keys, np.int64)
-            rows: list[list] = [[], [], [], []]
+            names_, places = np.array(keys, np.int64), np.array(groups, np.int64)
+            rows: list[list] = [[] for _ in names]
             for s in range(shards):
                 own = order[cuts[s] : cuts[s + 1]]
                 if len(own):
-                    who, n = np.unique(owner[own], return_counts=True)
-                    for column, x in zip(rows, (s, names_[who].tobytes(), n.astype("<i4").tobytes(), all_[own].tobytes()), strict=True):
+                    at = np.concatenate(([0], np.nonzero(np.diff(owner[own]))[0] + 1))
+                    who = owner[own[at]]
+                    for column, x in zip(rows, (s, names_[who].tobytes(), places[who].tobytes(), np.diff(at, append=len(own)).astype("<i4").tobytes(), all_[own].tobytes()), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names)
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names)
 
-        keys, found, size = [], [], 0
+        keys, groups, found, size = [], [], [], 0
         for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for key, data, group in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = data.as_py()
                 if len(raw) < length:
                     continue
                 keys.append(key)
-                found.append(marks(np.frombuffer(raw, np.uint8), length, gram)[1])
+                groups.append(group)
+                found.append(anchors(np.frombuffer(raw, np.uint8), length, gram))
                 size += len(raw)
                 if size >= BLOCK_BYTES:
-                    yield from chunk(keys, found)
-                    keys, found, size = [], [], 0
+                    yield chunk(keys, groups, found)
+                    keys, groups, found, size = [], [], [], 0
         if keys:
-            yield from chunk(keys, found)
+            yield chunk(keys, groups, found)
 
     return docs.mapInArrow(run, MARKS)
 
 
-SHARED = "key long, shared binary"
+SHARED = "group long, keys binary, sizes binary, shared binary"
 
 
 def shared_marks(got: pa.Table) -> pa.Table:
-    """Of one shard: for each document its marks that occur twice or more anywhere."""
-    all_ = [np.frombuffer(x.as_py(), np.uint64) for x in got["marks"]]
-    flat = np.concatenate(all_)
-    order = np.argsort(flat, kind="stable")
+    """Of one shard, for each group of documents: keys, and of each its marks that occur twice or more anywhere."""
+    flat, sizes, keys, groups = (np.concatenate([np.frombuffer(x.as_py(), t) for x in got[n]]) for n, t in (("marks", np.uint64), ("sizes", "<i4"), ("keys", np.int64), ("groups", np.int64)))
+    order = np.argsort(flat)
     ranked = flat[order]
     same = np.concatenate(([False], ranked[1:] == ranked[:-1]))
     twice = np.zeros(len(flat), bool)
     twice[order] = same | np.concatenate((same[1:], [False]))
-    keys, shared, at = [], [], 0
-    for names, sizes, own in zip(got["keys"], got["sizes"], all_, strict=True):
-        names, sizes = np.frombuffer(names.as_py(), np.int64), np.frombuffer(sizes.as_py(), "<i4")
-        part = twice[at : at + len(own)]
-        at += len(own)
-        ends = np.cumsum(sizes)
-        for name, a, b in zip(names.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-            if (hit := own[a:b][part[a:b]]).size:
-                keys.append(name)
-                shared.append(np.unique(hit).tobytes())
-    return pa.table({"key": pa.array(keys, pa.int64()), "shared": pa.array(shared, pa.binary())})
+    hit = np.nonzero(twice)[0]
+    owner = np.repeat(np.arange(len(keys)), sizes)[hit]
+    by = np.lexsort((owner, groups[owner]))
+    hit, owner = hit[by], owner[by]
+    out: list[list] = [[], [], [], []]
+    cuts = np.nonzero(np.diff(groups[owner], prepend=-1))[0] if len(owner) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(owner)).tolist(), strict=False):
+        at = np.concatenate(([0], np.nonzero(np.diff(owner[a:b]))[0] + 1))
+        who = owner[a:b][at]
+        for column, x in zip(out, (int(groups[who[0]]), keys[who].tobytes(), np.diff(at, append=b - a).astype("<i4").tobytes(), flat[hit[a:b]].tobytes()), strict=True):
+            column.append(x)
+    return pa.table({n: pa.array(x, t) for n, x, t in zip(("group", "keys", "sizes", "shared"), out, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
 
 
 # What a block or merge gives: repeated starts of a document as [a, b), or, with a bucket, sorted earliest strings.
@@ -148,9 +158,9 @@ FIELDS = [x.split() for x in PART.split(", ")]
 KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
-def part_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(rows), 4096):
-        yield pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, (_, k) in zip(zip(*rows[at : at + 4096], strict=True), FIELDS, strict=True)], [n for n, _ in FIELDS])
+def as_table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(FIELDS)
+    return pa.table({n: pa.array(c, KINDS[k]) for c, (n, k) in zip(columns, FIELDS, strict=True)})
 
 
 def spans(keys: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
@@ -218,13 +228,7 @@ def block_parts(docs: list[tuple[int, bytes, np.ndarray]], unit: int, buckets: i
     return rows
 
 
-def unit_of(part: int, made: int) -> int:
-    """A number for a task's block; a task's further blocks share numbers with those of other tasks, which does no harm:
-    it only decides which blocks meet in which merge."""
-    return part * 2 + made % 2
-
-
-Sorted = tuple[np.ndarray, np.ndarray, np.ndarray]  # strings in order, and their keys and starts
+Sorted = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # strings in order, their first eight bytes, keys, starts
 
 
 def strings_of(row: dict, length: int) -> Sorted:
@@ -235,29 +239,48 @@ def strings_of(row: dict, length: int) -> Sorted:
     places = np.repeat(np.cumsum(n + length - 1) - (n + length - 1), n) + within
     windows = np.lib.stride_tricks.sliding_window_view(data, length)[places]
     strings = np.ascontiguousarray(windows).view(f"S{length}").reshape(-1)
-    order = np.argsort(strings, kind="stable")
-    return strings[order], np.repeat(keys, n)[order], (np.repeat(a, n) + within)[order]
+    eight = words(data)
+    head, next_ = eight[places], eight[np.minimum(places + 8, len(data) - 1)]
+    order = np.lexsort((next_, head))
+    h, x = head[order], next_[order]
+    same = np.concatenate(([False], (h[1:] == h[:-1]) & (x[1:] == x[:-1])))
+    tied = np.nonzero(same | np.concatenate((same[1:], [False])))[0]  # 16 equal bytes: the whole strings decide
+    order[tied] = order[tied][np.argsort(strings[order[tied]])]
+    return strings[order], head[order], np.repeat(keys, n)[order], (np.repeat(a, n) + within)[order]
+
+
+def sought(x: Sorted, y: Sorted) -> np.ndarray:
+    """Where each string of y belongs in x: by the first eight bytes, then by whole strings, halving the range."""
+    low, high = np.searchsorted(x[1], y[1], "left"), np.searchsorted(x[1], y[1], "right")
+    open_ = np.nonzero(low < high)[0]
+    while len(open_):
+        mid = (low[open_] + high[open_]) >> 1
+        less = x[0][mid] < y[0][open_]
+        low[open_] = np.where(less, mid + 1, low[open_])
+        high[open_] = np.where(less, high[open_], mid)
+        open_ = open_[low[open_] < high[open_]]
+    return low
 
 
 def merged(x: Sorted, y: Sorted, later: list[tuple[np.ndarray, np.ndarray]]) -> Sorted:
     """The union of two sorted runs of distinct strings; of equal ones the later goes to `later`."""
     if len(x[0]) < len(y[0]):
         x, y = y, x
-    at = np.searchsorted(x[0], y[0])
+    at = sought(x, y)
     inside = np.minimum(at, len(x[0]) - 1)
     same = x[0][inside] == y[0]
     i, j = at[same], np.nonzero(same)[0]
-    keys, starts = x[1].copy(), x[2].copy()
-    swap = (y[1][j] < keys[i]) | ((y[1][j] == keys[i]) & (y[2][j] < starts[i]))
-    later.append((np.where(swap, keys[i], y[1][j]), np.where(swap, starts[i], y[2][j])))
-    keys[i[swap]], starts[i[swap]] = y[1][j[swap]], y[2][j[swap]]
+    keys, starts = x[2].copy(), x[3].copy()
+    swap = (y[2][j] < keys[i]) | ((y[2][j] == keys[i]) & (y[3][j] < starts[i]))
+    later.append((np.where(swap, keys[i], y[2][j]), np.where(swap, starts[i], y[3][j])))
+    keys[i[swap]], starts[i[swap]] = y[2][j[swap]], y[3][j[swap]]
     rest = np.nonzero(~same)[0]
     total = len(keys) + len(rest)
     to = at[rest] + np.arange(len(rest))
     mask = np.ones(total, bool)
     mask[to] = False
     out = []
-    for a, b in ((x[0], y[0]), (keys, y[1]), (starts, y[2])):
+    for a, b in ((x[0], y[0]), (x[1], y[1]), (keys, y[2]), (starts, y[3])):
         z = np.empty(total, a.dtype)
         z[mask], z[to] = a, b[rest]
         out.append(z)
@@ -278,11 +301,11 @@ def merge_parts(length: int, last: bool):
         if later:
             out = [(None, None, k, a, b, None, None, None, None) for k, a, b in spans(np.concatenate([k for k, _ in later]), np.concatenate([s for _, s in later]))]
         if not last:
-            strings, keys, starts = runs[0]
+            strings, _, keys, starts = runs[0]
             text = {(k, s): x for k, s, x in zip(keys.tolist(), starts.tolist(), strings.tolist(), strict=True)}
             whole = lambda k, a, b: b"".join([text[k, s][:1].ljust(1, b"\0") for s in range(a, b - 1)]) + text[k, b - 1].ljust(length, b"\0")
             out.append(packed(rows[0]["unit"] // FAN, rows[0]["bucket"], spans(keys, starts), whole))
-        return pa.Table.from_batches(list(part_batches(out)) or [pa.RecordBatch.from_arrays([pa.array([], KINDS[k]) for _, k in FIELDS], [n for n, _ in FIELDS])])
+        return as_table(out)
 
     return run
 
@@ -292,25 +315,24 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     n_bytes = docs.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     per_mark = max(1, (length - gram + 2) // 2)
     shards = max(2, n_bytes // per_mark // SHARD_MARKS)
-    shared = marked(docs, shards, length, gram).groupBy("shard").applyInArrow(shared_marks, SHARED)
-    gathered = shared.groupBy("key").agg(F.collect_list("shared").alias("shared"))  # within a document's own size
+    groups = max(1, n_bytes // BLOCK_BYTES)
+    dealt = docs.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+    shared = marked(dealt, shards, length, gram).groupBy("shard").applyInArrow(shared_marks, SHARED)
     buckets = max(2, n_bytes // 6 // MERGE_STARTS)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
-        held, size = [], 0
-        for batch in batches:
-            for key, data, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                raw = data.as_py()
-                held.append((key, raw, np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in own.as_py()]))))
-                size += len(raw)
-                if size >= BLOCK_BYTES:
-                    yield from part_batches(block_parts(held, unit_of(part, made), buckets, length, gram))
-                    held, size, made = [], 0, made + 1
-        if held:
-            yield from part_batches(block_parts(held, unit_of(part, made), buckets, length, gram))
-
-    parts = written(docs.join(gathered, "key").select("key", "data", "shared").mapInArrow(blocks, PART), "parts")
+    def block(own: pa.Table, got: pa.Table) -> pa.Table:
+        """A group's documents (about BLOCK_BYTES of them) and their shared marks."""
+        found: dict[int, list[np.ndarray]] = {}
+        for row in got.to_pylist():
+            ends = np.cumsum(np.frombuffer(row["sizes"], "<i4"))
+            for key, part in zip(np.frombuffer(row["keys"], np.int64).tolist(), np.split(np.frombuffer(row["shared"], np.uint64), ends[:-1]), strict=True):
+                found.setdefault(key, []).append(part)
+        held = [(key, data.as_py(), np.unique(np.concatenate(found[key]))) for key, data in zip(own["key"].to_pylist(), own["data"], strict=True) if key in found]
+        unit = own["group"][0].as_py() if own.num_rows else 0
+        return as_table(block_parts(held, unit, buckets, length, gram))
+
+    met = dealt.groupBy("group").cogroup(shared.groupBy("group"))
+    parts = written(met.applyInArrow(block, PART), "parts")
     out = parts.where("bucket IS NULL").select("key", "a", "b")
     while True:
         strings = parts.where("bucket IS NOT NULL")

@@ -32,7 +32,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     short = np.minimum(left, HEAD).astype(np.uint64)
     keep = ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * short)
     key = (words(data) & keep & ~np.uint64(0xFF)) | short
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.concatenate(([True], key[1:] != key[:-1]))
     at = np.nonzero(first)[0]
@@ -46,7 +46,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         # Beyond a segment's end stands a mark of the segment's own, below all groups.
         after = np.where(left[own] > h, rank[ahead] + len(ends), owner[own])
         both = rank[own] * (n + len(ends) + 1) + after
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         order[open_] = own = own[by]
         both = both[by]
         new = np.concatenate(([True], both[1:] != both[:-1]))
