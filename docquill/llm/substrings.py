@@ -31,7 +31,7 @@ from docquill.llm.common import table, written
 from docquill.llm.suffixarray import common_prefixes, suffix_array, words
 
 LENGTH, GRAM = 100, 32
-BLOCK_BYTES, SHARD_MARKS, MERGE_STARTS, FAN = 4_000_000, 2_000_000, 300_000, 256
+BLOCK_BYTES, SHARD_MARKS, MERGE_STARTS, FAN = 4_000_000, 2_000_000, 400_000, 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
