@@ -156,4 +156,4 @@ def test_stream_to_files(spark, tmp_path):
         write_stream(df, str(tmp_path / name), str(tmp_path / f"{name}-state"), once=True).awaitTermination()
     assert sorted(r["nval"] for r in spark.read.parquet(str(tmp_path / "nodes")).collect()) == [1.0, 2.0]
     assert sorted(str(r["patched"]) for r in spark.read.parquet(str(tmp_path / "patched")).collect()) == ["None", "{}"]
-    assert sorted(r["merged"] for r in spark.read.parquet(str(tmp_path / "merged")).collect()) == ["{}", '{"b":1}']
+    assert sorted(r["merged"] for r in spark.read.parquet(str(tmp_path / "merged")).collect()) == ['{"b":1}', "{}"]
