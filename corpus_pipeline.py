@@ -1,7 +1,8 @@
 """A corpus pipeline: five stages over documents, each a Parquet table that the next one reads.
 
 1. language_id: documents whose language the network can't tell go (no letter, or a score below `LANG_SCORE`).
-2. simhash: of each group of near copies the document with the smallest doc_id stays.
+2. simhash: of each group of near copies (shingles of `SHINGLE` words, Jaccard similarity of `SIMILARITY` or more) the document
+   with the smallest doc_id stays.
 3. decontaminate: passages of benchmark items are cut out; documents that consist of them mostly go.
 4. secrets: keys, tokens and random strings are replaced by a mark.
 5. bpe: texts become token ids.
@@ -18,6 +19,7 @@ from docquill.llm import bpe, decontaminate, langid, secrets, simhash
 from docquill.llm.common import table, written
 
 LANG_SCORE = 0.4
+SHINGLE, SIMILARITY = 5, 0.8
 #: The network's labels have no SQL form; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
@@ -32,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    return simhash.deduplicated(docs, SHINGLE, SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

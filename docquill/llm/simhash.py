@@ -9,6 +9,13 @@ emits a spanning forest of a key's close pairs, never all pairs; components are
 Defined results: a null or empty text, or one without words, has fingerprint 0 and links like any other; ties and
 repeated rows share a fingerprint; an empty table gives an empty table; further columns of the input are ignored;
 rows with a null doc_id keep their fingerprint, and their component is the smallest doc_id reachable, if any.
+
+`similar` groups by similarity of the texts themselves: documents are linked whose sets of word shingles have a Jaccard
+similarity of `similarity` or more, and a group is a component of these links. No bound of a 64-bit fingerprint holds
+all such pairs, so candidates are found by prefixes: under any fixed order of shingles, two sets that alike share one
+of the first n - ceil(similarity * n) + 1 of each. Common shingles come last in the order, so few unrelated texts meet.
+Every candidate is checked exactly on whole sets. Within a key, documents are first checked against a few hubs, then
+all pairs whose components still differ, so a large group costs no square of its size. Shingles are their XXH64.
 """
 
 from __future__ import annotations
@@ -28,6 +35,9 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 BLOCKS = (13, 13, 13, 13, 12)
 BRUTE = 1024  # fingerprints that a task compares pair by pair
 HOT = 50_000  # fingerprints under one key beyond which the key is split
+# Of similar: rounds against hubs; shingles that a task counts at a time; the count from which a shingle is common, and how
+# many of these are told apart (both touch the order of shingles only, never the result).
+HUBS, COUNTED, COMMON, MOST_COMMON = 2, 1 << 20, 32, 200_000
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -173,9 +183,158 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; rows without a doc_id stay. Every column stays."""
-    found = written(near_duplicates(docs), "components")
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending; texts without words share a set of one."""
+    hashes = np.unique(shingle_hashes(text, size))
+    return hashes if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
+
+
+def node_of(own: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), SEED))
+
+
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending; counts) of shingles found often, as far as tasks see them twice or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], ["h", "c"])
+
+        held, n = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(shingle_set(text.as_py(), size))
+                n += len(held[-1])
+                if n >= COUNTED:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
+
+    sums = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
+    top = sums.orderBy(F.desc("c"), "h").limit(MOST_COMMON).collect()
+    h, c = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """doc_id, node (equal sets share one), n (shingles of the set) and heads (the prefix)."""
+    common, count = common_shingles(docs, size)
+
+    def head(own: np.ndarray) -> np.ndarray:
+        n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+        if not len(common):
+            return own[:n]
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        return own[np.lexsort((own, np.where(common[at] == own, count[at], 0)))[:n]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
+            heads = pa.array([head(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), heads], ["doc_id", "node", "n", "heads"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, heads array<long>")
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[np.ndarray]:
+    """Blocks of whole runs of the first column of sorted rows, as arrays of longs."""
+    held = np.zeros((columns, 0), np.int64)
+    for batch in batches:
+        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)])], axis=1)
+        cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
+        if cut:
+            yield rows[:, :cut]
+        held = rows[:, cut:]
+    if held.shape[1]:
+        yield held
+
+
+def met_keys(nodes: DataFrame) -> DataFrame:
+    """key, node, n of the prefixes' keys that two nodes or more have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, 3):
+            same = np.diff(rows[0]) == 0
+            rows = rows[:, np.append(same, False) | np.append(False, same)]
+            for at in range(0, rows.shape[1], 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(r[at : at + (1 << 16)]) for r in rows], ["key", "node", "n"])
+
+    keyed = nodes.select(F.explode("heads").alias("key"), "node", "n")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, n long")
+
+
+def hub_pairs(own: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(u, v): nodes and the hub of a key of theirs, where components differ. own: key, node, n, root."""
+    hubs = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))).alias("x"), (F.min("root") < F.max("root")).alias("mixed"))
+    met = own.join(hubs.where("mixed").select("key", "x.hub", "x.hub_n", "x.hub_root"), "key").where("root <> hub_root")
+    return met.where(F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n") - 1e-9).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+
+
+def all_pairs(own: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): every two nodes of a key whose components differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in runs_of(batches, 4):
+            for rows in np.split(block, np.nonzero(np.diff(block[0]))[0] + 1, axis=1):
+                cuts = [0, *(np.nonzero(np.diff(rows[1]))[0] + 1).tolist(), rows.shape[1]]
+                for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):  # a component against those after it
+                    for at in range(a, b):
+                        n, rest = rows[3, at], rows[:, b:]
+                        v = rest[2, np.minimum(rest[3], n) >= similarity * np.maximum(rest[3], n) - 1e-9]
+                        if len(v):
+                            u = np.full(len(v), rows[2, at])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    mixed = own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    rows = own.join(mixed, "key").select("key", "root", "node", "n").repartition("key").sortWithinPartitions("key", "root")
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar."""
+    pairs = written(pairs, "pairs")
+    asked = written(nodes.select("node", "doc").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node"), "asked")
+    texts = docs.select("doc_id", "text").join(asked.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "own"])
+
+    sets = written(texts.select("text").mapInArrow(run, "node long, own array<long>").join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+    shared = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("n"))
+    return shared.where(F.col("i") / (F.col("n") - F.col("i")) >= similarity).select("u", "v")
+
+
+def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id of each group of documents linked by similarity."""
+    rows = written(prefixes(docs, size, similarity), "prefixes")
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("doc"))
+    met = written(met_keys(rows.dropDuplicates(["node"])), "met")
+    nodes = written(least, "nodes")
+    found, roots = None, None
+    for turn in range(HUBS + 1):
+        own = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        pairs = hub_pairs(own, turn, similarity) if turn < HUBS else all_pairs(own, similarity)
+        more = checked(pairs, docs, nodes, size, similarity)
+        found = written(more if found is None else found.unionByName(more), "similar")
+        roots = written(components(found), "roots")
+    named = nodes.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
+    firsts = named.groupBy("root").agg(F.min("doc").alias("component_id"))
+    return rows.select("doc_id", "node").join(named.join(firsts, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id; rows without a doc_id stay. Every column stays.
+    Components are those of op8, or with a similarity those of `similar` over shingles of that many words."""
+    if similarity is None and shingle != SHINGLE:
+        raise ValueError("fingerprints are of shingles of three words")
+    found = written(near_duplicates(docs) if similarity is None else similar(docs, shingle, similarity), "components")
     out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
     n = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL")) if n else out

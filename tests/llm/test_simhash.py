@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -98,3 +99,51 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (7, 7)] + [(1000, 2000 + i) for i in range(50)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[300] == 100 and all(got[2000 + i] == 1000 for i in range(50))
+
+
+def jaccard_kept(rows):
+    """The least doc_id of each component of Jaccard >= 0.8 over five-word shingles, by all pairs."""
+
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [(d, grams(t)) for d, t in sorted(rows)]
+    group = list(range(len(sets)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i][1] & sets[j][1]) >= 4 * len(sets[i][1] | sets[j][1]):
+                a, b = sorted((find(i), find(j)))
+                group[b] = a
+    return sorted(d for i, (d, _) in enumerate(sets) if find(i) == i)
+
+
+def test_similar_against_brute_force_jaccard(make, corpus, monkeypatch):
+    monkeypatch.setattr(simhash, "COMMON", 4)
+    rng = random.Random(5)
+    rows = list(corpus[:100])
+    passage = [f"p{k}" for k in range(60)]
+    for group in range(6):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.choice([30, 200, 600]))]
+        for k in range(12):  # near copies at similarities about the bound
+            words = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 25)):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+            rows.append((10_000 + 100 * group + k, " ".join(words)))
+    rows += [(20_000 + k, " ".join([*passage, *(f"u{k}x{i}" for i in range(80))])) for k in range(30)]  # share a passage only
+    rows += [(30_000, ""), (30_001, " \n"), (30_002, "One"), (30_003, "oNE"), (30_004, "a b c d"), (30_005, "a b c d e")]
+    got = sorted(r["doc_id"] for r in simhash.deduplicated(make(rows), 5, 0.8).collect())
+    assert got == jaccard_kept(rows) and len(rows) - len(got) > 40
+
+
+def test_rows_without_an_id_link_similar_groups(make):
+    words = [f"w{k}" for k in range(100)]
+    a, x, b = words, [*words[:-9], *(f"x{k}" for k in range(9))], [*(f"y{k}" for k in range(9)), *words[9:-9], *(f"x{k}" for k in range(9))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(make([(1, " ".join(a)), (None, " ".join(x)), (2, " ".join(b))]), 5, 0.8).collect()}
+    assert got == {1: 1, 2: 1, None: 1}
