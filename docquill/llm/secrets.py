@@ -2,7 +2,10 @@
 
 Everything is Column expressions. Base spans come from three patterns; further spans (kind `markov`) are runs of
 `RUN` characters whose log-likelihood ratio under the two bigram models, random strings against ordinary identifiers,
-is at least `RATIO` in all and `PER_PAIR` for each pair. The models are counted with add-one smoothing from labelled
+is at least `RATIO` in all and `PER_PAIR` for each pair. Of a run that isn't so as a whole, the segments are spans that
+are so and at least `LEAST` long (a key behind a path or a name): a scan sums the pairs' ratios less `PER_PAIR`, starts
+again where the sum isn't positive or `DROP` below its peak, and each peak ends a segment, which is then widened to the
+next '/', '-' or '_'. The models are counted with add-one smoothing from labelled
 samples (token, secret): random strings drawn by hash; identifiers made of the words `NAMES`; and those of `SAMPLE_ROWS`
 rows of the table chosen by hash, alone and joined as code joins them (a bounded sample of labelled rows). Only pair
 counts, at most 2 * 80 * 80, reach the driver. No pattern can match across a line break.
@@ -34,6 +37,7 @@ KINDS = ("assign", "access", "hex", "markov")
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 IDENTIFIER = r"[A-Za-z0-9+/_-]{3,}+"
 RATIO, PER_PAIR = 12.0, 0.6
+DROP, LEAST = 6.0, 16
 SAMPLE_ROWS, DRAWN = 2000, 20_000
 LOW, SPAN = 43, 80  # '+' to 'z'
 CHUNK = 128
@@ -97,14 +101,58 @@ def pair_ratios(token: Column, ratios: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.char_length(token)), F.lit(0.0), lambda s, i: s + F.get(ratios, code(token, i - 1) * SPAN + code(token, i)))
 
 
+ScanType = "struct<start:int,sum:double,raw:double,peak:double,peak_raw:double,first:int,last:int,out:array<struct<a:int,b:int>>>"
+
+
+def segments(token: Column, ratios: Column) -> Column:
+    """(a, b) of the segments of a run that look random: the place before the first character, and the last one's place."""
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    zero, nought = F.lit(0.0), F.lit(0)
+    first = F.struct(nought.alias("start"), *[zero.alias(c) for c in ("sum", "raw", "peak", "peak_raw")], nought.alias("first"), nought.alias("last"), none.alias("out")).cast(ScanType)
+
+    def closed(s: Column) -> Column:
+        return F.when(s["peak_raw"] >= RATIO, F.concat(s["out"], F.array(F.struct((s["first"] - 1).alias("a"), s["last"].alias("b"))))).otherwise(s["out"])
+
+    def step(s: Column, i: Column) -> Column:
+        ratio = F.get(ratios, code(token, i - 1) * SPAN + code(token, i))
+        return let(F.struct(s.alias("s"), i.alias("i"), ratio.alias("r")), moved)
+
+    def moved(x: Column) -> Column:
+        s, on = x["s"], x["s"]["sum"] > 0
+        now = F.struct(F.when(on, s["start"]).otherwise(x["i"] - 1).alias("start"), (F.when(on, s["sum"]).otherwise(zero) + x["r"] - PER_PAIR).alias("sum"), (F.when(on, s["raw"]).otherwise(zero) + x["r"]).alias("raw"))
+        return let(F.struct(s.alias("s"), x["i"].alias("i"), now.alias("n")), peaked)
+
+    def peaked(x: Column) -> Column:
+        s, n = x["s"], x["n"]
+        up = n["sum"] > s["peak"]
+        ends = (s["peak"] > 0) & ((n["sum"] <= 0) | (n["sum"] <= s["peak"] - DROP))
+        kept = lambda new, old: F.when(up, new).otherwise(old)
+        on = F.struct(n["start"], n["sum"], n["raw"], kept(n["sum"], s["peak"]), kept(n["raw"], s["peak_raw"]), kept(n["start"], s["first"]), kept(x["i"], s["last"]), s["out"]).cast(ScanType)
+        again = F.struct(nought, zero, zero, zero, zero, nought, nought, closed(s)).cast(ScanType)
+        return F.when(ends, again).otherwise(on)
+
+    def widened(x: Column) -> Column:
+        bar = lambda at: F.substring(token, at, F.lit(1)).rlike("[/_-]")
+        inner = F.struct((x["a"] + bar(x["a"] + 1).cast("int")).alias("a"), (x["b"] - bar(x["b"]).cast("int")).alias("b"))
+        left = lambda y: F.char_length(F.regexp_extract(F.substring(token, F.lit(1), y["a"]), "[^/_-]*$", 0))
+        right = lambda y: F.char_length(F.regexp_extract(F.substring(token, y["b"] + 1, F.char_length(token)), "^[^/_-]*", 0))
+        return let(inner, lambda y: F.struct((y["a"] - left(y)).alias("a"), (y["b"] + right(y)).alias("b")))
+
+    wide = F.array_distinct(F.transform(F.aggregate(F.sequence(F.lit(2), F.char_length(token)), first, step, closed), widened))
+    return F.filter(wide, lambda x: (x["b"] - x["a"] >= LEAST) & F.substring(token, x["a"] + 1, x["b"] - x["a"]).rlike("[A-Za-z]"))
+
+
 def markov_spans(text: Column, ratios: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
 
     def random(t: Column) -> Column:
-        ratio = pair_ratios(t, ratios)
-        return t.rlike("[A-Za-z]") & (ratio >= RATIO) & (ratio >= PER_PAIR * (F.char_length(t) - 1))
+        n = F.char_length(t)
+        whole = let(pair_ratios(t, ratios), lambda ratio: (ratio >= RATIO) & (ratio >= PER_PAIR * (n - 1)))
+        own = F.when(whole, F.array(F.struct(F.lit(0).alias("a"), n.alias("b")))).otherwise(segments(t, ratios))
+        return F.when(t.rlike("[A-Za-z]"), own).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
 
-    return found(text, RUN, 3, F.transform(tokens, random))
+    placed = F.zip_with(found(text, RUN, 3), F.transform(tokens, random), lambda s, own: F.transform(own, lambda x: F.struct((s["start"] + x["a"]).alias("start"), s["kind"].alias("kind"), (s["start"] + x["b"]).alias("stop"))))
+    return F.when(text.rlike(RUN), F.flatten(placed)).otherwise(F.array().cast(SpanType)).cast(SpanType)
 
 
 def samples(docs: DataFrame, rows: int = SAMPLE_ROWS, drawn: int = DRAWN) -> DataFrame:

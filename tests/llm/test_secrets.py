@@ -58,3 +58,25 @@ def test_digest_columns(spark):
         own = [s for s in r["spans"].split(",") if s and not s.startswith("markov")]
         assert hashlib.sha256(",".join(own).encode()).hexdigest() == r["base_sha256"]
         assert r["n_assign"] == sum(s.startswith("assign") for s in own)
+
+
+def test_keys_behind_paths_and_names(make):
+    import random
+    import string
+
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(24))
+    heads = ["com/services/config/session/", "/services/account/session/request/", "session_", "request-handler-"]
+    keys = [(h, key()) for h in heads for _ in range(25)]
+    texts = [f"see {h}{k} now" for h, k in keys]
+    two, plain = (key(), key()), [h * 3 + "AverageInternationalization/account_position-request" for h in heads]
+    texts += [f"/services/account/{two[0]}/session/request/handler/{two[1]}/status", *plain]
+    ratios = secrets.trained(secrets.samples(make([]), drawn=5000))
+    got = {r["doc_id"]: [r["text"][s["start"] : s["stop"]] for s in r["spans"]] for r in secrets.scanned(make(texts), ratios).collect()}
+    hit = [any(k in x for x in got[d]) for d, (_, k) in enumerate(keys)]
+    assert sum(hit) >= 97, [keys[d] for d, h in enumerate(hit) if not h]
+    exact = sum(got[d] == [k] for d, (h, k) in enumerate(keys) if len(h) > 20)
+    assert exact >= 45 and got[len(keys)] == list(two)
+    assert all(not got[len(keys) + 1 + k] for k in range(len(plain)))
+    clean = secrets.redacted(make(texts), ratios).collect()
+    assert all(k not in r["text"] for r in clean if r["doc_id"] < len(keys) and hit[r["doc_id"]] for k in [keys[r["doc_id"]][1]])
