@@ -98,8 +98,8 @@ def tokenizer(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-def packed(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH, window: int = WINDOW, pad: int = PAD, blobs: bool = True) -> DataFrame:
-    """The packed rows; blobs: with the matrices' rows, else with their digest alone."""
+def packed(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH, window: int = WINDOW, pad: int = PAD) -> DataFrame:
+    """The packed rows: the matrices' rows, and their digest."""
     names = [x.split()[0] for x in PACKED.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.string()]
 
@@ -116,7 +116,7 @@ def packed(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH,
                 ids[:n] = np.concatenate(pieces)
                 places[:n] = np.concatenate([np.arange(s) for s in sizes])
                 a, b = ids.tobytes(), places.tobytes()
-                one = (part, done, n, ids_of, starts, np.cumsum([0, *sizes]).tolist(), a if blobs else None, b if blobs else None, hashlib.sha256(a + b).hexdigest())
+                one = (part, done, n, ids_of, starts, np.cumsum([0, *sizes]).tolist(), a, b, hashlib.sha256(a + b).hexdigest())
                 done += 1
                 for column, x in zip(out, one, strict=True):
                     column.append(x)
@@ -145,5 +145,4 @@ def write_packed(docs: DataFrame, path: str, ranks_path: str, pattern: str, leng
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packed(table(spark, sf_dir, "documents"), *vocabulary(), blobs=False)
-    return out.drop("input_ids", "position_ids").withColumnRenamed("digest", "matrix_sha256")
+    return packed(table(spark, sf_dir, "documents"), *vocabulary()).withColumnRenamed("digest", "matrix_sha256")

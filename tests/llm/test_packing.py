@@ -1,9 +1,11 @@
+import hashlib
 import random
 
 import numpy as np
 
 from docquill.llm import packing
 from docquill.llm.bpe import vocabulary
+from tests.llm.conftest import SF
 
 
 def test_best_fit_against_brute_force():
@@ -48,3 +50,15 @@ def test_written_matrices(make, spark, tmp_path):
     packing.write_packed(make([(1, "some text"), (1, "some text")]), str(tmp_path / "out"), path, pattern, 32)
     row = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(row) == 1 or sum(len(r["doc_ids"]) for r in row) == 2
+
+
+def test_query_holds_every_token(spark, corpus):
+    encode = packing.tokenizer(*vocabulary()).encode_ordinary
+    pieces = {}
+    for r in packing.op9_packing(spark, SF).collect():
+        ids, places, cuts = np.frombuffer(r["input_ids"], "<u4"), np.frombuffer(r["position_ids"], "<u4"), r["cu_seqlens"]
+        assert len(ids) == len(places) == packing.LENGTH and hashlib.sha256(r["input_ids"] + r["position_ids"]).hexdigest() == r["matrix_sha256"]
+        for doc, start, a, b in zip(r["doc_ids"], r["piece_starts"], cuts, cuts[1:], strict=False):
+            assert places[a:b].tolist() == list(range(b - a))
+            pieces.setdefault(doc, []).append((start, ids[a:b].tolist()))
+    assert {d: [x for _, part in sorted(p) for x in part] for d, p in pieces.items()} == {d: encode(t) for d, t in corpus if t}
