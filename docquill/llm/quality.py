@@ -3,8 +3,9 @@
 Everything is Column expressions and aggregates. Each text gives a vector of transformed statistics (`FEATURES`). For
 each (lang, source) the minimum-covariance-determinant estimate is sought from a deterministic start: medians and
 absolute deviations give first distances, the `HALF` nearest rows give a mean and covariance, these give new distances,
-and so on (`STEPS` concentration steps). Variances have a floor (`FLOOR`), so statistics that hardly vary can't make
-the matrix singular; the estimate is scaled so that the median distance is that of a chi-square variable, and a
+and so on (`STEPS` concentration steps). As the nearest rows alone make a covariance too small, the last `REWEIGHTS` steps
+take all rows within `NEAR`. A variance below its floor (`FLOOR`) is raised to it, so statistics that hardly
+vary can't make the matrix singular, nor one symbol or repeated line an outlier; the estimate is scaled so that the median distance is that of a chi-square variable, and a
 document is rejected if its squared Mahalanobis distance is beyond `CUTOFF`. Groups of fewer than `LEAST` rows are
 estimated together. Sums of a group are partial aggregates; groups come back by an equi-join on (lang, source).
 
@@ -28,9 +29,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOL = r"[#*$%&|<>]"
 
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats")
-FLOOR = (0.3, 0.25, 0.08, 0.15, 0.15)  # least standard deviations
+FLOOR = (0.3, 0.25, 0.08, 0.1, 0.1)  # least standard deviations
 HALF, STEPS, LEAST = 0.75, 3, 50
-MEDIAN, CUTOFF = 4.351, 60.0  # of chi-square with 5 degrees: its median, and a value passed once in 10^11
+REWEIGHTS, NEAR = 2, 12.833  # of chi-square with 5 degrees: the value passed once in 40
+MEDIAN, CUTOFF = 4.351, 20.515  # of chi-square with 5 degrees: its median, and the value passed once in 1,000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -133,14 +135,16 @@ def estimated(rows: DataFrame) -> DataFrame:
     spread = rows.join(mid, GROUP).groupBy(*GROUP).agg(F.first("m").alias("m"), *[quantile(F.abs(F.col(f) - F.get("m", F.lit(i))), 0.5).alias(f"s{i}") for i, f in enumerate(FEATURES)])
     scale = [F.greatest(F.col(f"s{i}") * 1.4826, F.lit(FLOOR[i])) for i in range(D)]
     est = spread.select(*GROUP, "m", F.array(*[1 / scale[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("w"))
-    for _ in range(STEPS + 1):
+    for step in range(STEPS + 1 + REWEIGHTS):
         est = written(est, "estimates")
         near = rows.join(est, GROUP).select(*GROUP, *FEATURES, distance().alias("d"))
-        cut = written(near.groupBy(*GROUP).agg(quantile(F.col("d"), HALF).alias("cut")), "cuts")
+        limit = quantile(F.col("d"), HALF) if step <= STEPS else F.greatest(F.lit(1.0), quantile(F.col("d"), 0.5) / MEDIAN) * NEAR
+        cut = written(near.groupBy(*GROUP).agg(limit.alias("cut")), "cuts")
         sums = near.join(cut, GROUP).where("d <= cut").groupBy(*GROUP).agg(
             F.count("*").cast("double").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p_{i}_{j}") for i, j in PAIRS])
         mean = [F.col(f"s{i}") / F.col("n") for i in range(D)]
-        cov = [F.col(f"p_{i}_{j}") / F.col("n") - mean[i] * mean[j] + F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i, j in PAIRS]
+        own = {(i, j): F.col(f"p_{i}_{j}") / F.col("n") - mean[i] * mean[j] for i, j in PAIRS}
+        cov = [F.greatest(own[i, j], F.lit(FLOOR[i] ** 2)) if i == j else own[i, j] for i, j in PAIRS]
         moments = written(sums.select(*GROUP, F.array(*mean).alias("m"), F.array(*cov).alias("c")), "moments")
         est = moments.select(*GROUP, "m", whitener(F.col("c")).alias("w"))
     est = written(est, "estimates")

@@ -50,3 +50,23 @@ def test_distances_are_those_of_the_estimate(spark):
     point = spark.createDataFrame([("a", "b", *map(float, x))], "glang string, gsource string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
     got = point.join(white, quality.GROUP).select(quality.distance()).first()[0]
     assert np.isclose(got, (x - mean) @ np.linalg.inv(cov) @ (x - mean))
+
+
+def test_boilerplate_below_the_base_limit_is_an_outlier(make):
+    import random
+
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, "\n".join(line(12) for _ in range(rng.randint(12, 40)))) for k in range(300)]
+    rows += [(500 + k, "\n".join([*own, own[0], "a # b"])) for k in range(10) for own in [[line(12) for _ in range(25)]]]  # one line again, one symbol
+    for k in range(5):
+        own, short = [line(12) for _ in range(18)], [line(2) for _ in range(4)]
+        rows.append((1000 + k, "\n".join(own + short * 4)))  # 35 % of the lines are repeated
+        passage = line(40)
+        rows.append((2000 + k, "\n".join([*own[:8], f"{passage} {line(3)}", f"{line(3)} {passage}"])))  # 45 % of the words lie in repeats
+        rows.append((3000 + k, "\n".join(x + " ##" for x in own)))
+    got = {r["doc_id"]: r for r in quality.judged(make(rows)).collect()}
+    odd = [base + k for base in (1000, 2000, 3000) for k in range(5)]
+    assert not any(got[d]["base_failed"] for d in odd) and not [d for d in odd if got[d]["kept"]]
+    assert sum(got[d]["kept"] for d in range(300)) >= 297 and all(got[500 + k]["kept"] for k in range(10))
