@@ -85,6 +85,10 @@ class EliasFano:
         """The place of each x in the sequence, or -1: the values of x's high part lie between two zeros of the high bits; these few are gone through by their low bits."""
         x = np.asarray(x, np.uint64)
         out = np.full(len(x), -1, np.int64)
+        inside = (x >> np.uint64(self.width)) < np.uint64(self.zeros[-1])  # others are beyond the universe
+        if not inside.all():
+            out[inside] = self.find(x[inside])
+            return out
         if not self.n or not len(x):
             return out
         top = (x >> np.uint64(self.width)).astype(np.int64)

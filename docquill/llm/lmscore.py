@@ -1,46 +1,78 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-A bigram model, smoothed by a Dirichlet prior of weight K around add-one unigrams:
-p(w | u) = (c(u w) + K * p(w)) / (c(u) + K), p(w) = (c(w) + 1) / (N + V + 1); so an unseen u gives p(w).
-
-1. Texts become *blocks* of tokens (numbers into a sorted list of 64-bit word hashes), written to the shared folder.
-2. Each block sends every distinct word to the shard of its hash, and every distinct pair to a shard of its first word
-   and three hash bits of its second (so that a word with very many successors is spread over `SLICES` shards), with its
-   counts in training texts. A pair goes out once for each block, however often it occurs.
-3. A shard sums the counts and builds its part of the trie as memory-mapped levels: word hashes, pointers to ranges of
-   successors, and successors as numbers relative to their word, made monotone by the word's offset; all Elias-Fano
-   coded, with the pairs' part of the smoothed probability, c(u w), quantised to a byte (1 is exact, steps of a tenth).
-   It answers each block's pairs by successor search in the range of their first word, and its words by exact counts.
-4. Blocks meet their answers again and sum the log probabilities of each document.
-
-Nothing is broadcast; what is gathered follows the input, and a task holds a block or a shard. An n-gram is known by
-hashes (64 bits for words, 48 for successors).
+A trigram model of three levels, each smoothed by a Dirichlet prior around the one below:
+p(w | u v) = (c(u v w) + K p(w | v)) / (c(u v) + K), p(w | v) = (c(v w) + K p(w)) / (c(v) + K), p(w) = (c(w) + 1) / (N + V + 1).
+A text is read as `before start w1 ... wn end after`; the three added signs are no tokens.
+
+1. Texts become *blocks* of up to `BLOCK_TOKENS` tokens (a longer text goes on in the next block, with its context).
+2. Each block sends its distinct words to shards by hash. A shard sums their counts and numbers its words, frequent ones
+   first, so that ids are small and nearly dense. Blocks are written anew with ids and counts.
+3. Each block sends its distinct trigrams, as runs of first, second and third words with counts in training texts, to the
+   shard of the first word and three hash bits of the second (a word with very many successors is spread over `SLICES`
+   shards). A trigram goes out once for each block, however often it occurs.
+4. A shard sums the counts and builds its part of the trie as memory-mapped levels: first words, pointers to ranges of
+   seconds, these, pointers to ranges of thirds, and these; successors are numbers relative to their context, made monotone
+   by the context's offset, all Elias-Fano coded. With them are quantised smoothed probabilities: the n-gram's own part,
+   c / (c(context) + K), and for pairs the weight K / (c + K) that they leave to the level below, each a byte (`STEPS` for a
+   factor of ten). It answers each block's n-grams by successor search in the range of their context.
+5. Blocks meet their answers again and sum the log probabilities of each text.
+
+Nothing is broadcast; what is gathered follows the input, and a task holds a block or a shard. Requests are a row for each
+block and shard, as are the segments of any shuffle. The written blocks are bucketed, so only answers move in step 5.
 
 Defined results: a null or empty text is the end token alone; equal texts get equal scores; an empty table gives an empty
-table; a corpus without training rows gives p = 1 / (0 + 0 + 1) for every token; further columns are ignored.
+table; a corpus without training rows gives p = 1 / (0 + 0 + 1) for every token; further columns are ignored; rows of one
+doc_id, and rows without one, are scored each for itself. doc_ids are longs. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import tempfile
+import mmap
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.llm.common import LOWER, shared_dir, table
+from docquill.llm.common import LOWER, removed, shared_dir, table
 from docquill.llm.eliasfano import EliasFano
 
-BLOCK_TOKENS, SHARD_PAIRS, SLICES = 1_000_000, 2_000_000, 8
+BLOCK_TOKENS, SHARD_WORDS, SHARD_GRAMS, SLICES = 1_000_000, 2_000_000, 1_500_000, 8
 PRIOR, STEPS = 4.0, 24.0  # K; steps of the quantiser for a factor of ten
-START, END = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"")
-MIX = np.uint64(0x9E3779B97F4A7C15)
+BEFORE, START, AFTER, SIGNS = 0, 1, 2, 3  # numbers of the added signs, and of the first word
+MIX, BITS = np.uint64(0x9E3779B97F4A7C15), 20  # a block has fewer than 2^20 words
 
-BLOCK = "block long, doc_ids array<long>, held array<boolean>, sizes binary, vocabulary binary, tokens binary, n_pairs long"
+
+def held_out() -> F.Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+
+
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return (((h * MIX) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+
+
+def coded(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 as bytes by significance, so that high ones compress to nothing."""
+    width = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+    flat = np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    return zstandard.ZstdCompressor(level=3).compress(bytes((width,)) + flat.T.tobytes())
+
+
+def decoded(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    out = np.zeros(((len(flat) - 1) // int(flat[0]), 8), np.uint8)
+    out[:, : int(flat[0])] = flat[1:].reshape(int(flat[0]), len(out)).T
+    return out.view("<i8").reshape(-1)
+
+
+def steps_of(a: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers, the first from 0."""
+    return np.diff(a, prepend=a.dtype.type(0))
 
 
 class Numbers(dict):
@@ -49,263 +81,334 @@ class Numbers(dict):
         return out
 
 
-def held_out() -> F.Column:
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+BLOCK = "block long, rows array<long>, doc_ids array<long>, held array<boolean>, sizes binary, last binary, vocabulary binary, word_counts binary, tokens binary, n_words long, n_grams long"
+PIECES = "block", "rows", "doc_ids", "held", "sizes", "last"
+
+
+def types(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
+
+
+def batch_of(ddl: str, columns: list[list]) -> pa.RecordBatch:
+    schema = types(ddl)
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def written_blocks(docs: DataFrame, tokens: int = BLOCK_TOKENS) -> DataFrame:
+def blocks_of(docs: DataFrame, tokens: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
+        part, made, row, room = TaskContext.get().partitionId(), 0, 0, tokens
+        pieces: list[tuple] = []  # row, doc_id, held, tokens, whether it ends the text
+        parts: list[np.ndarray] = []  # numbers in `seen`, of two tokens before a piece, its own and one after it
+        seen = Numbers()
 
-        def block(ids: list, held: list, sizes: list, seen: Numbers, parts: list) -> pa.RecordBatch:
-            nonlocal made
+        def block() -> pa.RecordBatch:
+            nonlocal made, pieces, parts, seen, room
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
             order = np.argsort(hashes)
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            stream = rank[np.concatenate(parts)]
-            made += 1
-            row = [[(part << 24) + made - 1], [ids], [held], [np.array(sizes, "<i4").tobytes()], [hashes[order].tobytes()], [stream.astype("<i4").tobytes()], [sum(sizes)]]
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
-
-        schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("tokens", pa.binary()), ("n_pairs", pa.int64())])
-        state: tuple = ([], [], [], Numbers(), [])
-        n = 0
+            number = np.empty(len(order) + SIGNS, np.int64)
+            number[order] = np.arange(len(order)) + SIGNS
+            number[-SIGNS:] = np.arange(SIGNS)[::-1]  # -1 is BEFORE, -2 START, -3 AFTER
+            flat = number[np.concatenate(parts)]
+            rows, ids, held, sizes, last = (list(x) for x in zip(*pieces, strict=True))
+            own = Pieces(flat, np.array(sizes), np.array(held), np.array(last))
+            counts = np.bincount(flat[own.thirds][own.train_tokens] - SIGNS, minlength=len(order))
+            out = [(part << 24) + made, rows, ids, held, coded(np.array(sizes)), coded(np.array(last)), coded(steps_of(hashes[order])), coded(counts), coded(flat), len(order), len(flat)]
+            made, pieces, parts, seen, room = made + 1, [], [], Numbers(), tokens
+            return batch_of(BLOCK, [[x] for x in out])
+
         for batch in batches:
-            for doc_id, text, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc_id, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "replace").translate(LOWER).split()
                 words.append(b"")
-                ids, held, sizes, seen, parts = state
-                ids.append(doc_id)
-                held.append(out)
-                sizes.append(len(words))
-                parts.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
-                n += len(words)
-                if n >= tokens:
-                    yield block(*state)
-                    state, n = ([], [], [], Numbers(), []), 0
-        if state[0]:
-            yield block(*state)
+                at = 0
+                while at < len(words):
+                    n = min(room, len(words) - at)
+                    own = words[max(0, at - 2) : at + n + 1]
+                    numbers = np.fromiter(map(seen.__getitem__, own), np.int64, len(own))
+                    parts.append(np.concatenate(([-1, -2][at:], numbers, [-3] if at + n == len(words) else [])).astype(np.int64))
+                    pieces.append(((part << 40) + row, doc_id, held, n, at + n == len(words)))
+                    at, room = at + n, room - n
+                    if not room:
+                        yield block()
+                row += 1
+        if pieces:
+            yield block()
+
+    return docs.select("doc_id", "text", held_out().alias("held")).mapInArrow(run, BLOCK)
+
+
+class Pieces:
+    """Places in a block's row of tokens, of which each piece has three more than its own."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, held: np.ndarray, last: np.ndarray) -> None:
+        self.sizes, self.begins = sizes, np.cumsum(sizes + 3) - (sizes + 3)
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        within = np.arange(len(self.owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.firsts = self.begins[self.owner] + within  # of the trigram that ends with a token of the piece
+        self.thirds = self.firsts + 2
+        self.train_tokens = ~held[self.owner]
+        # Trigrams: those that end with a token, and one more for each piece, which counts if the text ends there.
+        self.places = np.concatenate((self.firsts, self.begins + sizes))
+        self.counted = np.concatenate((self.train_tokens, ~held & last))
+
+
+def words_asked(blocks: DataFrame, shards: int) -> DataFrame:
+    ddl = "shard int, block long, words binary, counts binary"
 
-    spark = docs.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/blocks-{xxhash.xxh64_hexdigest(str(np.random.default_rng().integers(1 << 62)))}"
-    docs.select("doc_id", "text", held_out().alias("held")).mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(BLOCK).parquet(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, counts = np.cumsum(decoded(row["vocabulary"]).view(np.uint64)), decoded(row["word_counts"])
+                own = shard_of(words, shards)
+                for s in np.unique(own):
+                    yield batch_of(ddl, [[int(s)], [row["block"]], [coded(steps_of(words[own == s]))], [coded(counts[own == s])]])
 
+    return blocks.select("block", "vocabulary", "word_counts").mapInArrow(run, ddl)
 
-def planes(a: np.ndarray, width: int) -> bytes:
-    """Little-endian bytes by significance, so that the high ones compress to nothing."""
-    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
+NUMBERED = "shard int, block long, ids binary, counts binary, train_tokens long, train_words long"
 
-def from_planes(data: bytes, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
-    return out.view("<u8").reshape(-1)
 
+def words_numbered(shards: int):
+    def run(got: pa.Table) -> pa.Table:
+        """For each block the ids and counts of its words, in its order."""
+        rows = got.to_pylist()
+        words = [np.cumsum(decoded(r["words"]).view(np.uint64)) for r in rows]
+        known, inverse = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([decoded(r["counts"]) for r in rows]), len(known)).astype(np.int64)
+        ids = np.empty(len(known), np.int64)
+        ids[np.lexsort((known, -total))] = np.arange(len(known)) * shards + rows[0]["shard"] + SIGNS
+        parts = np.split(inverse, np.cumsum([len(w) for w in words])[:-1])
+        n, v = [0] * len(rows), [0] * len(rows)
+        n[0], v[0] = int(total.sum()), int((total > 0).sum())
+        return pa.Table.from_batches([batch_of(NUMBERED, [[r["shard"] for r in rows], [r["block"] for r in rows], [coded(ids[p]) for p in parts], [coded(total[p]) for p in parts], n, v])])
 
-class Block:
-    """The distinct words and pairs of a block, in an order that its rows decide: both request and answer follow it."""
-
-    def __init__(self, sizes: bytes, vocabulary: bytes, tokens: bytes, held: list[bool], shards: int) -> None:
-        self.sizes = np.frombuffer(sizes, "<i4").astype(np.int64)
-        self.words = np.frombuffer(vocabulary, np.uint64)
-        self.tokens = np.frombuffer(tokens, "<i4").astype(np.int64)
-        v = len(self.words)
-        self.ends = np.cumsum(self.sizes)
-        starts = self.ends - self.sizes
-        first = np.empty(len(self.tokens), np.int64)
-        first[1:] = self.tokens[:-1]
-        first[starts] = v  # the start of a text
-        self.keys = first * v + self.tokens
-        self.train = np.repeat(~np.array(held, bool), self.sizes)
-        both = np.sort((self.keys << 1) | self.train)
-        cuts = np.nonzero(np.diff(both >> 1, prepend=-1))[0]
-        self.pairs = both[cuts] >> 1
-        self.counts = np.add.reduceat(both & 1, cuts)
-        self.word_counts = np.bincount(self.tokens[self.train], minlength=v)
-        self.heads = np.append(self.words, np.uint64(START))
-        self.first, self.second = self.pairs // v, self.pairs % v
-        slices = (self.words[self.second] >> np.uint64(61)) % np.uint64(SLICES)
-        self.pair_shard = shard_of(self.heads[self.first] ^ (slices * MIX), shards)
-        self.word_shard = shard_of(self.words, shards)
-        self.pair_order = np.argsort(self.pair_shard, kind="stable")
-        self.word_order = np.argsort(self.word_shard, kind="stable")
-        edges = np.arange(shards + 1)
-        self.pair_cuts = np.searchsorted(self.pair_shard[self.pair_order], edges)
-        self.word_cuts = np.searchsorted(self.word_shard[self.word_order], edges)
-
-    def of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.word_order[self.word_cuts[shard] : self.word_cuts[shard + 1]], self.pair_order[self.pair_cuts[shard] : self.pair_cuts[shard + 1]]
+    return run
 
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return (((h * MIX) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+NUMBERED_BLOCK = "block long, rows array<long>, doc_ids array<long>, held array<boolean>, sizes binary, last binary, ids binary, counts binary, tokens binary"
+
+
+def blocks_numbered(blocks: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
+    """Blocks with the ids and counts of their words, ascending, and tokens as places among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                own = shard_of(np.cumsum(decoded(row["vocabulary"]).view(np.uint64)), shards)
+                ids, counts = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+                for a in row["answers"]:
+                    ids[own == a["shard"]], counts[own == a["shard"]] = decoded(a["ids"]), decoded(a["counts"])
+                order = np.argsort(ids)
+                number = np.arange(len(ids) + SIGNS)
+                number[order + SIGNS] = np.arange(len(ids)) + SIGNS
+                out = [row[c] for c in PIECES] + [coded(steps_of(ids[order])), coded(counts[order]), coded(number[decoded(row["tokens"])])]
+                yield batch_of(NUMBERED_BLOCK, [[x] for x in out])
 
+    gathered = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "ids", "counts")).alias("answers"))  # as many as shards, whatever the block
+    return blocks.join(gathered, "block").select(*PIECES, "vocabulary", "tokens", "answers").mapInArrow(run, NUMBERED_BLOCK)
 
-def heads_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of equal first words begin, and how long they are."""
-    at = np.nonzero(np.diff(first, prepend=-1))[0]
-    return at, np.diff(at, append=len(first))
 
+class Block:
+    """The distinct trigrams of a block and the pairs they begin with, in an order that its row decides: both request and
+    answer follow it."""
+
+    def __init__(self, row: dict, starts: int, shards: int) -> None:
+        self.ids = np.concatenate((np.arange(SIGNS), np.cumsum(decoded(row["ids"]))))
+        self.counts = np.concatenate(([starts, starts, 0], decoded(row["counts"])))
+        self.tokens = decoded(row["tokens"])
+        self.pieces = Pieces(self.tokens, decoded(row["sizes"]), np.array(row["held"], bool), decoded(row["last"]).astype(bool))
+        at, x = self.pieces.places, self.tokens
+        self.keys = (x[at] << 2 * BITS) | (x[at + 1] << BITS) | x[at + 2]
+        both = np.sort((self.keys << 1) | self.pieces.counted)
+        cuts = np.nonzero(np.diff(both >> 1, prepend=-1))[0]
+        self.grams = both[cuts] >> 1
+        self.gram_counts = np.add.reduceat(both & 1, cuts)
+        self.heads = np.nonzero(np.diff(self.grams >> BITS, prepend=-1))[0]  # where pairs begin
+        self.pairs = self.grams[self.heads] >> BITS
+        self.runs = np.diff(self.heads, append=len(self.grams))
+        mask = (1 << BITS) - 1
+        self.first, self.second, self.third = self.pairs >> BITS, self.pairs & mask, self.grams & mask
+        u, v = self.ids[self.first].astype(np.uint64), self.ids[self.second].astype(np.uint64)
+        slices = ((v * MIX) >> np.uint64(50)) % np.uint64(SLICES)
+        self.shard = shard_of((u * np.uint64(SLICES) + slices) * MIX, shards)
+        order = np.argsort(self.shard, kind="stable")
+        self.by_shard = np.split(order, np.searchsorted(self.shard[order], np.arange(1, shards)))
+
+    def grams_of(self, pairs: np.ndarray) -> np.ndarray:
+        runs = self.runs[pairs]
+        return np.repeat(self.heads[pairs] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
 
-REQUEST = "shard int, block long, n_words long, n_heads long, n_pairs long, words binary, word_counts binary, heads binary, runs binary, seconds binary, counts binary"
 
+ASKED = "shard int, block long, firsts binary, first_counts binary, first_runs binary, seconds binary, runs binary, thirds binary, counts binary"
 
-def requests(blocks: DataFrame, shards: int) -> DataFrame:
-    names = [x.split()[0] for x in REQUEST.split(", ")]
 
+def grams_asked(blocks: DataFrame, starts: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row["sizes"], row["vocabulary"], row["tokens"], row["held"], shards)
-                for shard in range(shards):
-                    own, pairs = b.of(shard)
-                    at, runs = heads_of(b.first[pairs])
-                    one = [shard, row["block"], len(own), len(at), len(pairs), planes(b.words[own], 8), planes(b.word_counts[own], 6), planes(b.heads[b.first[pairs[at]]], 8), planes(runs, 4), planes(b.words[b.second[pairs]] >> np.uint64(16), 6), planes(b.counts[pairs], 5)]
-                    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 6]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one, kinds, strict=True)], names)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                b = Block(row, starts, shards)
+                for shard, pairs in enumerate(b.by_shard):
+                    if len(pairs):
+                        first, grams = b.first[pairs], b.grams_of(pairs)
+                        at = np.nonzero(np.diff(first, prepend=-1))[0]
+                        sent = steps_of(b.ids[first[at]]), b.counts[first[at]], np.diff(at, append=len(pairs)), b.ids[b.second[pairs]], b.runs[pairs], b.ids[b.third[grams]], b.gram_counts[grams]
+                        yield batch_of(ASKED, [[shard], [row["block"]], *[[coded(x)] for x in sent]])
 
-    return blocks.mapInArrow(run, REQUEST)
+    return blocks.mapInArrow(run, ASKED)
 
 
-def quantised(count: np.ndarray) -> np.ndarray:
-    """A byte for a count; 0 stands for none."""
-    return np.clip(1 + np.rint(STEPS * np.log10(count)), 1, 255).astype(np.uint8)
+def quantised(share: np.ndarray) -> np.ndarray:
+    """A byte for a number in (0, 1]; 0 stands for none."""
+    return np.clip(1 + np.rint(-STEPS * np.log10(share)), 1, 255).astype(np.uint8)
 
 
-VALUES = np.concatenate(([0.0], 10 ** (np.arange(255) / STEPS)))  # by byte
+VALUES = np.concatenate(([0.0], 10 ** (-np.arange(255) / STEPS)))  # by byte
 
 
 class Levels:
-    """A shard's part of the trie in one memory-mapped file."""
-
-    def __init__(self, heads: np.ndarray, seconds: np.ndarray, counts: np.ndarray) -> None:
-        """heads, seconds: of distinct pairs, sorted by both; counts: above 0."""
-        at, runs = heads_of_hashes(heads)
-        self.names = np.unique(seconds)  # successors are numbers into these
-        n, v = len(at), max(1, len(self.names))
-        relative = np.searchsorted(self.names, seconds)
-        owner = np.repeat(np.arange(n, dtype=np.int64), runs)
-        built = [EliasFano.build(heads[at] >> np.uint64(1), 1 << 63), EliasFano.build(np.append(at, len(heads)), len(heads) + 1), EliasFano.build(owner * v + relative, n * v + 1), EliasFano.build(self.names, 1 << 48)]
-        arrays = [a for e in built for a in e.arrays()] + [quantised(counts), (heads[at] & np.uint64(1)).astype(np.uint8)]
-        self.file = tempfile.TemporaryFile()
-        places = []
-        for a in arrays:
-            self.file.seek(-(-self.file.tell() // 8) * 8)
-            places.append((self.file.tell(), a.dtype, len(a)))
-            self.file.write(a.tobytes())
-        self.file.write(b"\0" * 8)
-        self.file.flush()
-        flat = np.memmap(self.file, np.uint8, "r")
-        mapped = [flat[p : p + k * d.itemsize].view(d) for p, d, k in places]
-        self.heads, self.ranges, self.successors, self.vocabulary = (EliasFano(e.n, e.width, *mapped[4 * i : 4 * i + 4]) for i, e in enumerate(built))
-        self.codes, self.parity, self.size = mapped[16], mapped[17], v
-        del self.names
-
-    def head(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of first words, or -1. (Hashes are stored by their upper 63 bits; the last is compared.)"""
-        i = self.heads.find(h >> np.uint64(1))
-        ok = i >= 0
-        ok[ok] = self.parity[i[ok]] == (h[ok] & np.uint64(1)).astype(np.uint8)
-        return np.where(ok, i, -1)
-
-    def code(self, i: np.ndarray, runs: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Quantised counts of pairs, `runs` of them for each first word i: the successor relative to its word is sought at
-        the word's offset, and must lie in the range that the word's pointers give."""
-        out = np.zeros(len(second), np.uint8)
-        known = np.nonzero(i >= 0)[0]
-        ranges = np.zeros((2, len(i)), np.int64)
-        ranges[0, known], ranges[1, known] = self.ranges.get(i[known]), self.ranges.get(i[known] + 1)
-        first, (begin, end) = np.repeat(i, runs), np.repeat(ranges, runs, axis=1)
-        relative = self.vocabulary.find(second)
-        ok = np.nonzero((first >= 0) & (relative >= 0))[0]
-        place = self.successors.find((first[ok] * self.size + relative[ok]).astype(np.uint64))
-        hit = (place >= begin[ok]) & (place < end[ok])
-        out[ok[hit]] = self.codes[place[hit]]
+    """A shard's part of the trie in one memory map."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, counts: np.ndarray, context: np.ndarray) -> None:
+        """u, v, w: distinct trigrams, sorted; counts: theirs, above 0; context: the count of u, for each."""
+        new_u = np.diff(u, prepend=-1) != 0
+        new = new_u | (np.diff(v, prepend=-1) != 0)
+        pair_at = np.nonzero(new)[0]
+        first_at = np.nonzero(new_u[pair_at])[0]
+        n, self.size = len(u), int(max(v.max(initial=0), w.max(initial=0))) + 1
+        first_of, pair_of = np.cumsum(new_u[pair_at]) - 1, np.cumsum(new) - 1
+        pair_counts = np.add.reduceat(counts, pair_at) if n else counts
+        built = [
+            EliasFano.build(u[pair_at][first_at], int(u.max(initial=0)) + 1),
+            EliasFano.build(np.append(first_at, len(pair_at)), len(pair_at) + 1),
+            EliasFano.build(first_of * self.size + v[pair_at], max(1, len(first_at)) * self.size),
+            EliasFano.build(np.append(pair_at, n), n + 1),
+            EliasFano.build(pair_of * self.size + w, max(1, len(pair_at)) * self.size),
+        ]
+        own = [quantised(pair_counts / (context[pair_at] + PRIOR)), quantised(PRIOR / (pair_counts + PRIOR)), quantised(counts / (pair_counts[pair_of] + PRIOR))]
+        arrays = [a for e in built for a in e.arrays()] + own
+        places = np.cumsum([0, *(-(-a.nbytes // 8) * 8 for a in arrays)]).tolist()
+        flat = np.frombuffer(mmap.mmap(-1, places[-1] + 8), np.uint8)
+        mapped = [flat[p : p + a.nbytes].view(a.dtype) for p, a in zip(places[:-1], arrays, strict=True)]
+        for to, a in zip(mapped, arrays, strict=True):
+            to[:] = a
+        self.firsts, self.first_ranges, self.seconds, self.pair_ranges, self.thirds = (EliasFano(e.n, e.width, *mapped[4 * i : 4 * i + 4]) for i, e in enumerate(built))
+        self.pair_codes, self.weights, self.gram_codes = mapped[20:]
+
+    def successors(self, level: EliasFano, ranges: EliasFano, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of words among the successors of contexts (numbers, or -1), or -1: a word relative to its context is sought
+        at the context's offset, and must lie in the range that the context's pointers give."""
+        out = np.full(len(word), -1, np.int64)
+        ok = np.nonzero((context >= 0) & (word < self.size))[0]
+        c = context[ok]
+        place = level.find((c * self.size + word[ok]).astype(np.uint64))
+        hit = place >= 0
+        c, place, ok = c[hit], place[hit], ok[hit]
+        inside = (place >= ranges.get(c)) & (place < ranges.get(c + 1)) if len(c) else hit[:0]
+        out[ok[inside]] = place[inside]
         return out
 
-
-def heads_of_hashes(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(heads):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.concatenate(([0], np.nonzero(heads[1:] != heads[:-1])[0] + 1))
-    return at, np.diff(at, append=len(heads))
+    def codes(self, u: np.ndarray, first_runs: np.ndarray, v: np.ndarray, runs: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of the pairs, of the weights they leave, and of the trigrams."""
+        first = self.firsts.find(u.astype(np.uint64))
+        pair = self.successors(self.seconds, self.first_ranges, np.repeat(first, first_runs), v)
+        gram = self.successors(self.thirds, self.pair_ranges, np.repeat(pair, runs), w)
+        return tuple(np.where(i >= 0, x[np.maximum(i, 0)] if len(x) else 0, 0).astype(np.uint8) for i, x in ((pair, self.pair_codes), (pair, self.weights), (gram, self.gram_codes)))
 
 
-ANSWER = "shard int, block long, words binary, codes binary, train_tokens long, train_words long"
+ANSWER = "shard int, block long, pairs binary, weights binary, grams binary"
 
 
-def answered(got: pa.Table) -> pa.Table:
-    """A shard's answers: for each block its words' counts and its pairs' codes."""
+def grams_answered(got: pa.Table) -> pa.Table:
+    """A shard's answers: for each block the bytes of its pairs and trigrams, in its order."""
+    fields = "firsts", "first_counts", "first_runs", "seconds", "runs", "thirds", "counts"
     rows = got.to_pylist()
-    words = [from_planes(r["words"], r["n_words"], 8) for r in rows]
-    counts = [from_planes(r["word_counts"], r["n_words"], 6).astype(np.int64) for r in rows]
-    known, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(counts), len(known)).astype(np.int64)
-    heads = [from_planes(r["heads"], r["n_heads"], 8) for r in rows]
-    runs = [from_planes(r["runs"], r["n_heads"], 4).astype(np.int64) for r in rows]
-    seconds = [from_planes(r["seconds"], r["n_pairs"], 6) for r in rows]
-    pair_counts = [from_planes(r["counts"], r["n_pairs"], 5).astype(np.int64) for r in rows]
-    c = np.concatenate(pair_counts)
-    own = np.nonzero(c)[0]
-    h = np.concatenate([np.repeat(a, b) for a, b in zip(heads, runs, strict=True)])[own]
-    s, c = np.concatenate(seconds)[own], c[own]
-    order = np.lexsort((s, h))
-    h, s, c = h[order], s[order], c[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-    at = np.nonzero(new)[0]
-    levels = Levels(h[at], s[at], np.add.reduceat(c, at) if len(at) else c[:0])
-    del h, s, c, order, new
-    out: dict[str, list] = {k: [] for k in ("shard", "block", "words", "codes", "train_tokens", "train_words")}
-    place = 0
-    for k, r in enumerate(rows):
-        i = levels.head(heads[k])
-        part = total[inverse[place : place + len(words[k])]]
-        place += len(words[k])
-        one = (r["shard"], r["block"], planes(part, 6), levels.code(i, runs[k], seconds[k]).tobytes(), int(total.sum()) if not k else 0, int((total > 0).sum()) if not k else 0)
-        for name, v in zip(out, one, strict=True):
-            out[name].append(v)
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), types, strict=True)})
-
-
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-
-
-def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    blocks = written_blocks(docs.select("doc_id", "text"))
-    pairs, starts = blocks.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)), F.coalesce(F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + F.when(x, 0).otherwise(1))), F.lit(0))).first()
-    shards = max(8, -(-pairs // SHARD_PAIRS))
-    path = f"{shared_dir(spark).rstrip('/')}/answers-{xxhash.xxh64_hexdigest(str(np.random.default_rng().integers(1 << 62)))}"
-    requests(blocks, shards).groupBy("shard").applyInArrow(answered, ANSWER).write.option("compression", "zstd").parquet(path)
-    answers = spark.read.schema(ANSWER).parquet(path)
-    n, v = answers.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_words"), F.lit(0))).first()
-    below = float(n + (v + 1))
+    asked = [[decoded(r[f]) for f in fields] for r in rows]
+    for a in asked:
+        a[0] = np.cumsum(a[0])
+
+    def gathered(of) -> np.ndarray:
+        return np.concatenate([of(*a)[a[6] > 0] for a in asked])
+
+    w, c = gathered(lambda u, cu, ru, v, rv, w, c: w), gathered(lambda u, cu, ru, v, rv, w, c: c)
+    v, u = gathered(lambda u, cu, ru, v, rv, w, c: np.repeat(v, rv)), gathered(lambda u, cu, ru, v, rv, w, c: np.repeat(np.repeat(u, ru), rv))
+    context = gathered(lambda u, cu, ru, v, rv, w, c: np.repeat(np.repeat(cu, ru), rv))
+    order = np.lexsort((w, v, u))
+    u, v, w, c, context = (x[order] for x in (u, v, w, c, context))
+    at = np.nonzero((np.diff(u, prepend=-1) != 0) | (np.diff(v, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))[0]
+    levels = Levels(u[at], v[at], w[at], np.add.reduceat(c, at) if len(at) else c, context[at])
+    del u, v, w, c, context, order
+    out = [[r["shard"] for r in rows], [r["block"] for r in rows], [], [], []]
+    for u, _, ru, v, rv, w, _ in asked:
+        for to, x in zip(out[2:], levels.codes(u, ru, v, rv, w), strict=True):
+            to.append(zstandard.compress(x.tobytes(), 3))
+    return pa.Table.from_batches([batch_of(ANSWER, out)])
 
+
+SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def summed(blocks: DataFrame, answers: DataFrame, starts: int, shards: int, below: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row["sizes"], row["vocabulary"], row["tokens"], row["held"], shards)
-                counts = np.zeros(len(b.words) + 1, np.int64)
-                counts[-1] = starts
-                codes = np.zeros(len(b.pairs), np.uint8)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                b = Block(row, starts, shards)
+                pair_codes, weights, gram_codes = np.zeros(len(b.pairs), np.uint8), np.zeros(len(b.pairs), np.uint8), np.zeros(len(b.grams), np.uint8)
                 for a in row["answers"]:
-                    own, pairs = b.of(a["shard"])
-                    counts[own] = from_planes(a["words"], len(own), 6).astype(np.int64)
-                    codes[pairs] = np.frombuffer(a["codes"], np.uint8)
-                base = (counts[:-1] + 1) / below
-                p = np.minimum(1.0, (VALUES[codes] + PRIOR * base[b.second]) / (counts[b.first] + PRIOR))
-                cuts = b.ends - b.sizes
-                sums = [np.add.reduceat(x, cuts) for x in ((counts[:-1] > 0).astype(np.int64)[b.tokens], np.log10(base)[b.tokens], np.log10(p)[np.searchsorted(b.pairs, b.keys)])]
-                arrays = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(b.sizes, pa.int64()), *[pa.array(x, t) for x, t in zip(sums, (pa.int64(), pa.float64(), pa.float64()), strict=True)]]
-                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SCORES.split(", ")])
-
-    gathered = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "words", "codes")).alias("answers"))  # as many as shards, whatever the block
-    out = blocks.join(gathered, "block").select("sizes", "vocabulary", "tokens", "held", "doc_ids", "answers").mapInArrow(run, SCORES)
+                    own = b.by_shard[a["shard"]]
+                    got = [np.frombuffer(zstandard.decompress(a[f]), np.uint8) for f in ("pairs", "weights", "grams")]
+                    pair_codes[own], weights[own], gram_codes[b.grams_of(own)] = got
+                word, p = b.tokens[b.pieces.thirds], np.searchsorted
+                base = (b.counts + 1) / below
+                keys = b.keys[: len(word)]
+                context, pair = p(b.pairs, keys >> BITS), p(b.pairs, keys & ((1 << 2 * BITS) - 1))
+                first = b.tokens[b.pieces.firsts + 1]
+                two = VALUES[pair_codes[pair]] + PRIOR / (b.counts[first] + PRIOR) * base[word]
+                three = VALUES[gram_codes[p(b.grams, keys)]] + np.where(weights[context], VALUES[weights[context]], 1.0) * two
+                cuts = np.cumsum(b.pieces.sizes) - b.pieces.sizes
+                sums = [np.add.reduceat(x, cuts) for x in ((b.counts[word] > 0).astype(np.int64), np.log10(base[word]), np.log10(np.minimum(1.0, three)))]
+                yield batch_of(SCORES, [row["rows"], row["doc_ids"], row["held"], b.pieces.sizes, *sums])
+
+    gathered = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "pairs", "weights", "grams")).alias("answers"))  # as many as shards, whatever the block
+    return blocks.join(gathered, "block").select(*types(NUMBERED_BLOCK).names, "answers").mapInArrow(run, SCORES)
+
+
+def kept(df: DataFrame, ddl: str, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "none").parquet(path)  # its columns are compressed already
+    return spark.read.schema(ddl).parquet(path), path
+
+
+def bucketed(df: DataFrame, name: str) -> DataFrame:
+    """df in the shared folder, in buckets by block: a join on block doesn't move it."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "none").bucketBy(buckets, "block").saveAsTable(name)
+    return spark.table(name)
+
+
+def scored(docs: DataFrame, tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
+    raw, raw_path = kept(blocks_of(docs.select("doc_id", "text"), min(tokens, (1 << BITS) - 8)), BLOCK, "blocks")
+    starts = F.aggregate(F.arrays_zip("rows", "held"), F.lit(0).cast("long"), lambda s, x: s + F.when(x["held"], 0).otherwise(1))
+    ended = raw.select("n_words", "n_grams", starts.alias("starts"), F.size("rows").alias("pieces"))
+    n_words, n_grams = (int(x or 0) for x in ended.agg(F.sum("n_words"), F.sum("n_grams")).first())
+    word_shards, shards = max(4, -(-n_words // SHARD_WORDS)), max(8, -(-n_grams // SHARD_GRAMS))
+    numbered, numbered_path = kept(words_asked(raw, word_shards).groupBy("shard").applyInArrow(words_numbered(word_shards), NUMBERED), NUMBERED, "words")
+    n, v = (int(x or 0) for x in numbered.agg(F.sum("train_tokens"), F.sum("train_words")).first())
+    train = int(docs.where(~held_out()).count())
+    blocks = bucketed(blocks_numbered(raw, numbered, word_shards), "blocks")
+    for path in (raw_path, numbered_path):
+        removed(spark, path)
+    answers, _ = kept(grams_asked(blocks, train, shards).groupBy("shard").applyInArrow(grams_answered, ANSWER), ANSWER, "answers")
+    parts = summed(blocks, answers, train, shards, float(n + (v + 1)))
+    out = parts.groupBy("row", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from docquill.llm import lmscore
@@ -19,44 +20,74 @@ def is_held(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
+def rounded(p):
+    """What a quantised probability stands for."""
+    return 10 ** (-min(254, round(-lmscore.STEPS * math.log10(p))) / lmscore.STEPS)
+
+
 def brute(rows):
-    uni, pairs = Counter(), Counter()
-    for d, t in rows:
-        if not is_held(d):
-            last = None
-            for w in tokens(t):
-                uni[w] += 1
-                pairs[last, w] += 1
-                last = w
-    n, v, starts = sum(uni.values()), len(uni), sum(not is_held(d) for d, _ in rows)
-    out = {}
-    for d, t in rows:
+    """Trigrams with a Dirichlet prior around pairs, and these around add-one words."""
+    uni, pairs, grams = Counter(), Counter(), Counter()
+    texts = {k: [-1, -2, *tokens(t), -3] for k, (_, t) in enumerate(rows)}
+    for k, x in texts.items():
+        if not is_held(rows[k][0]):
+            uni.update(x[:-1])
+            pairs.update(zip(x, x[1:], strict=False))
+            grams.update(zip(x, x[1:], x[2:], strict=False))
+    starts = uni.pop(-1, 0)
+    uni.pop(-2, 0)
+    n, v, prior = sum(uni.values()), len(uni), lmscore.PRIOR
+    count = lambda w: starts if w in (-1, -2) else uni[w]
+    out = []
+    for k, x in texts.items():
         base = score = 0.0
-        last, own = None, tokens(t)
-        for w in own:
+        for u, v_, w in zip(x[:-1], x[1:-1], x[2:-1], strict=False):
             p = (uni[w] + 1) / (n + (v + 1))
             base += math.log10(p)
-            c = pairs[last, w]
-            top = 10 ** (round(lmscore.STEPS * math.log10(c)) / lmscore.STEPS) if c else 0.0
-            score += math.log10(min(1.0, (top + lmscore.PRIOR * p) / ((starts if last is None else uni[last]) + lmscore.PRIOR)))
-            last = w
-        out[d] = (is_held(d), len(own), sum(uni[w] > 0 for w in own), n, base, score)
+            two, own = pairs[v_, w], pairs[u, v_]
+            p = (rounded(two / (count(v_) + prior)) if two else 0.0) + prior / (count(v_) + prior) * p
+            if own:
+                three = grams[u, v_, w]
+                p = (rounded(three / (own + prior)) if three else 0.0) + rounded(prior / (own + prior)) * p
+            score += math.log10(min(1.0, p))
+        words = x[2:-1]
+        out.append((rows[k][0], is_held(rows[k][0]), len(words), sum(uni[w] > 0 for w in words), n, base, score))
     return out
 
 
-@pytest.mark.parametrize(("block", "shard"), [(1_000_000, 2_000_000), (700, 300)])
-def test_against_brute_force(make, corpus, monkeypatch, block, shard):
-    monkeypatch.setattr(lmscore, "BLOCK_TOKENS", block)
-    monkeypatch.setattr(lmscore, "SHARD_PAIRS", shard)
+@pytest.mark.parametrize(("block", "words", "grams"), [(1_000_000, 2_000_000, 2_000_000), (700, 100, 300)])
+def test_against_brute_force(make, corpus, monkeypatch, block, words, grams):
+    monkeypatch.setattr(lmscore, "SHARD_WORDS", words)
+    monkeypatch.setattr(lmscore, "SHARD_GRAMS", grams)
     rng = random.Random(1)
-    rows = [(d, t[:1500]) for d, t in corpus[:60]] + [(1000 + k, " ".join(rng.choice("the a of Éa x".split()) for _ in range(rng.randrange(80)))) for k in range(60)] + [(5000, None), (5001, ""), (5002, " \n "), (5003, "the the THE")]
-    expected = brute(rows)
-    got = lmscore.scored(make(rows)).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        held, n, known, total, base, score = expected[r["doc_id"]]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, total)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
+    rows = [(d, t[:1500]) for d, t in corpus[:60]] + [(1000 + k, " ".join(rng.choice("the a of Éa x".split()) for _ in range(rng.randrange(80)))) for k in range(60)]
+    rows += [(5000, None), (5001, ""), (5002, " \n "), (5003, "the the THE"), (5004, " ".join(f"long{k % 37}" for k in range(3000))), (5003, "the the THE"), (5003, "a")]
+    expected = sorted(brute(rows))
+    got = sorted(tuple(r[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")) for r in lmscore.scored(make(rows), block).collect())
+    assert [r[:5] for r in got] == [r[:5] for r in expected]
+    for r, e in zip(got, expected, strict=True):
+        assert math.isclose(r[5], e[5], rel_tol=1e-9) and math.isclose(r[6], e[6], rel_tol=1e-9)
+
+
+def test_rows_without_an_id_are_scored_each_for_itself(make):
+    got = lmscore.scored(make([(None, "a b"), (None, "a b c"), (1, "a b")])).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == [("1", 3), ("None", 3), ("None", 4)]
+
+
+def test_levels_find_what_they_hold():
+    rng = random.Random(2)
+    grams = Counter(tuple(rng.randrange(3, 40) for _ in range(3)) for _ in range(3000))
+    u, v, w = (np.array(x, np.int64) for x in zip(*sorted(grams), strict=True))
+    firsts, pairs = Counter(), Counter()
+    for (a, b, _), c in grams.items():
+        firsts[a] += c
+        pairs[a, b] += c
+    levels = lmscore.Levels(u, v, w, np.array([grams[g] for g in sorted(grams)]), np.array([firsts[a] for a in u.tolist()]))
+    for a, b, c in [tuple(rng.randrange(0, 45) for _ in range(3)) for _ in range(2000)]:
+        one = np.ones(1, np.int64)
+        got = levels.codes(np.array([a]), one, np.array([b]), one, np.array([c]))
+        share = [pairs[a, b] / (firsts[a] + lmscore.PRIOR), lmscore.PRIOR / (pairs[a, b] + lmscore.PRIOR) if pairs[a, b] else 0, grams[a, b, c] / (pairs[a, b] + lmscore.PRIOR)]
+        assert [int(x[0]) for x in got] == [int(lmscore.quantised(np.array([s]))[0]) if s else 0 for s in share]
 
 
 def test_edge_tables(make):
