@@ -1,16 +1,26 @@
 """Quality rules: base limits, and robust multivariate outliers for each language and source.
 
 Everything is Column expressions and aggregates. Each text gives a vector of transformed statistics (`FEATURES`). For
-each (lang, source) the minimum-covariance-determinant estimate is sought from a deterministic start: medians and
-absolute deviations give first distances, the `HALF` nearest rows give a mean and covariance, these give new distances,
-and so on (`STEPS` concentration steps). As the nearest rows alone make a covariance too small, the last `REWEIGHTS` steps
-take all rows within `NEAR`. A variance below its floor (`FLOOR`) is raised to it, so statistics that hardly
-vary can't make the matrix singular, nor one symbol or repeated line an outlier; the estimate is scaled so that the median distance is that of a chi-square variable, and a
-document is rejected if its squared Mahalanobis distance is beyond `CUTOFF`. Groups of fewer than `LEAST` rows are
-estimated together. Sums of a group are partial aggregates; groups come back by an equi-join on (lang, source).
-
-Defined results: a null or empty text has no words and fails the base; null lang and source are groups like others;
-equal texts of one group get equal verdicts; an empty table gives an empty table; further columns are ignored.
+each (lang, source) the minimum-covariance-determinant estimate is sought from three deterministic `STARTS`, all of them
+from medians and absolute deviations of the group: distances by these alone, by the covariance of the standardised
+vectors' hyperbolic tangents, and by that of their directions. From each start the `HALF` nearest rows give a mean and
+covariance, these give new distances, and so on (`STEPS` concentration steps); of the three, the one with the least
+determinant is the group's estimate.
+
+Groups are of any size, and all are treated alike: an estimate is that of n rows and of `PRIOR` rows of its language's
+estimate, this in turn of its rows and `PRIOR` of the whole table's; both are pooled from the groups' estimates. So a
+group of a few rows leans on its language, one of thousands on itself. As the nearest rows alone make a covariance too
+small, `REWEIGHTS` steps follow that take all rows within `NEAR`. A variance below its floor (`FLOOR`) is raised to it, so
+statistics that hardly vary can't make the matrix singular, nor one symbol or repeated line an outlier; distances are
+scaled so that a group's median is that of a chi-square variable, and a document is rejected if its squared Mahalanobis
+distance is beyond `CUTOFF`.
+
+Sums of a group are partial aggregates, so a group with a third of all rows is no burden; estimates come back to rows by a
+join on (lang, source), broadcast up to `BROADCAST` groups of a few hundred bytes, else salted.
+
+Defined results: a null or empty text has no words and fails the base; null lang and source are groups like others, apart
+from empty ones; equal texts of one group get equal verdicts; an empty table gives an empty table; further columns are
+ignored, and doc_id may be of any type.
 """
 
 from __future__ import annotations
@@ -30,7 +40,8 @@ SYMBOL = r"[#*$%&|<>]"
 
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats")
 FLOOR = (0.3, 0.25, 0.08, 0.1, 0.1)  # least standard deviations
-HALF, STEPS, LEAST = 0.75, 3, 50
+STARTS, HALF, STEPS, PRIOR = 3, 0.75, 3, 50.0
+BROADCAST, SALTS = 50_000, 16
 REWEIGHTS, NEAR = 2, 12.833  # of chi-square with 5 degrees: the value passed once in 40
 MEDIAN, CUTOFF = 4.351, 20.515  # of chi-square with 5 degrees: its median, and the value passed once in 1,000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -128,39 +139,124 @@ def distance() -> Column:
     return total([r * r for r in rows])
 
 
-def estimated(rows: DataFrame) -> DataFrame:
-    """m, w and factor for each group of rows (glang, gsource, features)."""
-    quantile = lambda c, p: F.percentile_approx(c, F.lit(p), F.lit(1000))
+def quantile(c: Column, p: float) -> Column:
+    return F.percentile_approx(c, F.lit(p), F.lit(1000))
+
+
+def joined(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """rows with what their group has; groups is a written table with a row for each group."""
+    if groups.count() <= BROADCAST:
+        return rows.join(F.broadcast(groups), on)
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
+
+
+def sums_of(xs: list[Column]) -> list[Column]:
+    """Sums of the entries of a vector, and of their products."""
+    return [F.array(*[F.sum(x) for x in xs]).alias("s"), F.array(*[F.sum(xs[i] * xs[j]) for i, j in PAIRS]).alias("p")]
+
+
+def covariance(n: Column, s: str, p: str, floors: list[float]) -> Column:
+    """From sums; a variance below the square of its floor is raised to it."""
+    own = {(i, j): F.get(p, F.lit(k)) / n - F.get(s, F.lit(i)) * F.get(s, F.lit(j)) / (n * n) for k, (i, j) in enumerate(PAIRS)}
+    return F.array(*[F.greatest(own[i, j], F.lit(floors[i] ** 2)) if i == j else own[i, j] for i, j in PAIRS])
+
+
+def vector(c: str) -> list[Column]:
+    return [F.get(c, F.lit(i)) for i in range(D)]
+
+
+def mean_of(n: Column) -> Column:
+    return F.array(*[x / n for x in vector("s")])
+
+
+def started(rows: DataFrame) -> DataFrame:
+    """Groups with start, m and w: whiteners of the three starts, all about the medians."""
     mid = written(rows.groupBy(*GROUP).agg(F.array(*[quantile(F.col(f), 0.5) for f in FEATURES]).alias("m")), "medians")
-    spread = rows.join(mid, GROUP).groupBy(*GROUP).agg(F.first("m").alias("m"), *[quantile(F.abs(F.col(f) - F.get("m", F.lit(i))), 0.5).alias(f"s{i}") for i, f in enumerate(FEATURES)])
-    scale = [F.greatest(F.col(f"s{i}") * 1.4826, F.lit(FLOOR[i])) for i in range(D)]
-    est = spread.select(*GROUP, "m", F.array(*[1 / scale[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("w"))
-    for step in range(STEPS + 1 + REWEIGHTS):
+    gaps = [F.abs(F.col(f) - x) for f, x in zip(FEATURES, vector("m"), strict=True)]
+    spread = joined(rows, mid, GROUP).groupBy(*GROUP).agg(F.first("m").alias("m"), F.array(*[F.greatest(quantile(g, 0.5) * 1.4826, F.lit(FLOOR[i])) for i, g in enumerate(gaps)]).alias("scale"))
+    spread = written(spread, "spreads")
+    z = joined(rows, spread, GROUP).select(*GROUP, "m", "scale", F.array(*[(F.col(f) - x) / y for f, x, y in zip(FEATURES, vector("m"), vector("scale"), strict=True)]).alias("z"))
+    flat = z.withColumn("t", F.transform("z", F.tanh)).withColumn("length", F.greatest(F.lit(1e-9), F.sqrt(F.aggregate("z", F.lit(0.0), lambda s, x: s + x * x))))
+    kinds = [vector("t"), [x / F.col("length") for x in vector("z")]]
+    sums = [F.struct(*sums_of(xs)).alias(f"x{k}") for k, xs in enumerate(kinds)]
+    met = flat.groupBy(*GROUP).agg(F.count("*").cast("double").alias("n"), F.first("m").alias("m"), F.first("scale").alias("scale"), *sums)
+    unit = F.array(*[F.lit(1.0 if i == j else 0.0) for i, j in PAIRS])
+    starts = F.array(*[F.struct(F.lit(k).alias("start"), c.alias("c")) for k, c in enumerate((unit, *(covariance(F.col("n"), f"x{k}.s", f"x{k}.p", [0.03] * D) for k in range(2))))])
+    own = written(met.select(*GROUP, "m", "scale", F.explode(starts).alias("x")).select(*GROUP, "m", "scale", "x.start", "x.c"), "starts")
+    white = own.withColumn("v", whitener(F.col("c")))
+    return white.select(*GROUP, "start", "m", F.array(*[F.get("v", F.lit(k)) / F.get("scale", F.lit(j)) for k, (i, j) in enumerate(PAIRS)]).alias("w"))
+
+
+def concentrated(rows: DataFrame) -> DataFrame:
+    """For each group n (rows), m and c: of the starts' estimates the one with the least determinant."""
+    est = started(rows)
+    for _ in range(STEPS + 1):
         est = written(est, "estimates")
-        near = rows.join(est, GROUP).select(*GROUP, *FEATURES, distance().alias("d"))
-        limit = quantile(F.col("d"), HALF) if step <= STEPS else F.greatest(F.lit(1.0), quantile(F.col("d"), 0.5) / MEDIAN) * NEAR
-        cut = written(near.groupBy(*GROUP).agg(limit.alias("cut")), "cuts")
-        sums = near.join(cut, GROUP).where("d <= cut").groupBy(*GROUP).agg(
-            F.count("*").cast("double").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p_{i}_{j}") for i, j in PAIRS])
-        mean = [F.col(f"s{i}") / F.col("n") for i in range(D)]
-        own = {(i, j): F.col(f"p_{i}_{j}") / F.col("n") - mean[i] * mean[j] for i, j in PAIRS}
-        cov = [F.greatest(own[i, j], F.lit(FLOOR[i] ** 2)) if i == j else own[i, j] for i, j in PAIRS]
-        moments = written(sums.select(*GROUP, F.array(*mean).alias("m"), F.array(*cov).alias("c")), "moments")
-        est = moments.select(*GROUP, "m", whitener(F.col("c")).alias("w"))
-    est = written(est, "estimates")
-    scale_ = rows.join(est, GROUP).groupBy(*GROUP).agg(quantile(distance(), 0.5).alias("mid"))
-    return est.join(scale_, GROUP).select(*GROUP, "m", "w", F.greatest(F.lit(1.0), F.col("mid") / MEDIAN).alias("factor"))
+        near = joined(rows, est, GROUP).select(*GROUP, "start", *FEATURES, distance().alias("d"))
+        cut = written(near.groupBy(*GROUP, "start").agg(quantile(F.col("d"), HALF).alias("cut"), F.count("*").cast("double").alias("total")), "cuts")
+        sums = joined(near, cut, [*GROUP, "start"]).where("d <= cut").groupBy(*GROUP, "start").agg(F.count("*").cast("double").alias("n"), F.first("total").alias("total"), *sums_of([F.col(f) for f in FEATURES]))
+        moments = written(sums.select(*GROUP, "start", "total", mean_of(F.col("n")).alias("m"), covariance(F.col("n"), "s", "p", list(FLOOR)).alias("c")), "moments")
+        est = moments.select(*GROUP, "start", "m", whitener(F.col("c")).alias("w"), "c", "total")
+    size = -total([F.log(F.get("w", F.lit(i * (i + 3) // 2))) for i in range(D)])  # half the logarithm of the determinant
+    best = written(est, "estimates").groupBy(*GROUP).agg(F.min(F.struct(size.alias("size"), "start", "total", "m", "c")).alias("x"))
+    return best.select(*GROUP, F.col("x.total").alias("n"), "x.m", "x.c")
+
+
+def raw(m: str, c: str) -> list[Column]:
+    """Second moments from a mean and covariance."""
+    return [F.get(c, F.lit(k)) + F.get(m, F.lit(i)) * F.get(m, F.lit(j)) for k, (i, j) in enumerate(PAIRS)]
+
+
+def pooled(groups: DataFrame, by: list[str]) -> DataFrame:
+    """The estimates (n, m, c) of groups as one for each `by`."""
+    n = F.col("n")
+    sums = groups.groupBy(*by).agg(F.sum("n").alias("n"), F.array(*[F.sum(n * x) for x in vector("m")]).alias("s"), F.array(*[F.sum(n * x) for x in raw("m", "c")]).alias("p"))
+    return sums.select(*by, "n", mean_of(F.col("n")).alias("m"), covariance(F.col("n"), "s", "p", list(FLOOR)).alias("c"))
+
+
+def leaning(n: Column) -> list[Column]:
+    """m and c of n rows (m, c) and of PRIOR rows of the level above (pm, pc)."""
+    whole = n + PRIOR
+    m = [(n * x + PRIOR * y) / whole for x, y in zip(vector("m"), vector("pm"), strict=True)]
+    p = [(n * x + PRIOR * y) / whole for x, y in zip(raw("m", "c"), raw("pm", "pc"), strict=True)]
+    c = [F.greatest(p[k] - m[i] * m[j], F.lit(FLOOR[i] ** 2)) if i == j else p[k] - m[i] * m[j] for k, (i, j) in enumerate(PAIRS)]
+    return [F.array(*m).alias("m"), F.array(*c).alias("c")]
+
+
+def estimated(rows: DataFrame) -> DataFrame:
+    """m, w and factor for each group of rows (glang, gsource, features)."""
+    groups = written(concentrated(rows), "groups")
+    langs = pooled(groups, ["glang"])
+    every = pooled(langs.select("n", "m", "c"), []).select(F.col("m").alias("pm"), F.col("c").alias("pc")).limit(1)  # one row
+    above = written(langs.join(F.broadcast(every)).select("glang", *leaning(F.col("n"))).select("glang", F.col("m").alias("pm"), F.col("c").alias("pc")), "languages")
+    base = written(groups.join(above, "glang"), "bases")
+    est = base.select(*GROUP, "n", *leaning(F.col("n")))
+    for _ in range(REWEIGHTS):
+        est = written(est.select(*GROUP, "n", "m", whitener(F.col("c")).alias("w")), "estimates")
+        near = joined(rows, est, GROUP).select(*GROUP, "n", *FEATURES, distance().alias("d"))
+        cut = written(near.groupBy(*GROUP).agg((scaled(F.first("n"), F.col("d")) * NEAR).alias("cut")), "cuts")
+        sums = joined(near.drop("n"), cut, GROUP).where("d <= cut").groupBy(*GROUP).agg(F.count("*").cast("double").alias("near"), *sums_of([F.col(f) for f in FEATURES]))
+        own = sums.select(*GROUP, "near", mean_of(F.col("near")).alias("m"), covariance(F.col("near"), "s", "p", list(FLOOR)).alias("c"))
+        both = base.select(*GROUP, "n", "pm", "pc").join(own, GROUP, "left").select(*GROUP, "n", "pm", "pc", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("m", "pm").alias("m"), F.coalesce("c", "pc").alias("c"))
+        est = written(both.select(*GROUP, "n", *leaning(F.col("near"))), "moments")
+    est = written(est.select(*GROUP, "n", "m", whitener(F.col("c")).alias("w")), "estimates")
+    factor = joined(rows, est, GROUP).groupBy(*GROUP).agg(scaled(F.first("n"), distance()).alias("factor"))
+    return written(est.join(factor, GROUP).select(*GROUP, "m", "w", "factor"), "estimates")
+
+
+def scaled(n: Column, d: Column) -> Column:
+    """The factor, 1 or more, by which a group's distances are too large; of PRIOR further rows it is 1."""
+    return F.greatest(F.lit(1.0), (n * quantile(d, 0.5) / MEDIAN + PRIOR) / (n + PRIOR))
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, the statistics, base_failed, distance (squared, scaled) and kept."""
-    stats = statistics(docs).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), *STATS, *features())
-    rows = written(stats, "statistics")
-    size = rows.groupBy("lang", "source").count().select("lang", "source", F.when(F.col("count") >= LEAST, F.col("lang")).otherwise("*").alias("glang"), F.when(F.col("count") >= LEAST, F.col("source")).otherwise("*").alias("gsource"))
-    grouped = written(rows.join(size, ["lang", "source"]), "groups")
-    far = grouped.join(estimated(grouped.select(*GROUP, *FEATURES)), GROUP).withColumn("distance", distance() / F.col("factor"))
+    """doc_id, the statistics, base_failed, kept and distance (squared, scaled)."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    rows = written(statistics(docs).select("doc_id", name("lang").alias("glang"), name("source").alias("gsource"), *STATS, *features()), "statistics")
+    far = joined(rows, estimated(rows.select(*GROUP, *FEATURES)), GROUP).withColumn("distance", distance() / F.col("factor"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return far.select("doc_id", *STATS, failed.alias("base_failed"), "distance", (~failed & (F.col("distance") <= CUTOFF)).alias("kept"))
+    return far.select("doc_id", *STATS, failed.alias("base_failed"), (~failed & (F.col("distance") <= CUTOFF)).alias("kept"), "distance")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
