@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed() -> None:
+    """Gives what a Python worker has freed back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -54,6 +64,14 @@ def sampled(df: DataFrame, hash_: Column, rows: int) -> DataFrame:
     return df.where(F.pmod(hash_, F.lit(1 << 40)) < F.lit(int(most * (1 << 40)))).orderBy(F.pmod(hash_, F.lit(1 << 40)), *df.columns).limit(rows)
 
 
+def chosen(df: DataFrame, hash_: Column, rows: int) -> DataFrame:
+    """At most `rows` rows of df, those with the least hash, in order. Only hashes are sorted; rows of equal hash, which may
+    be any number, meet in no place but the limit."""
+    h = F.pmod(hash_, F.lit(1 << 40))
+    last = sampled(df.select(h.alias("h")), F.col("h"), rows).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(last if last is not None else -1)).limit(rows).orderBy(h, *df.columns)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(u, v), root being the smallest node reachable.
 

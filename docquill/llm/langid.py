@@ -2,8 +2,8 @@
 
 A text's UTF-8 bytes are cut into windows of `WINDOW`; a GRU reads each window forwards and another backwards, a softmax
 over both states labels every byte, and the probabilities of all bytes of all windows are averaged for the document.
-Training is backpropagation through time in numpy with Adam, on one window of each of at most `TRAIN_ROWS` labelled
-rows, chosen by the hash of doc_id (a bounded sample of labelled rows; this is all that reaches the driver). Prediction
+Training is backpropagation through time in numpy with Adam, on windows drawn from the whole texts of at most `TRAIN_ROWS`
+labelled rows, chosen by hash (a bounded sample of labelled rows; this is all that reaches the driver). Prediction
 reads whole texts: windows of a batch of documents are stacked, so a very long text is many rows of the same matrix.
 
 Defined results: null, empty and letterless texts are `und` with score 0; without any labelled row every text is `und`;
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquill.llm.common import sampled, table
+from docquill.llm.common import chosen, table, trimmed
 
 WINDOW, HIDDEN, STACK, PORTION = 128, 8, 4096, 8_000_000
 TRAIN_ROWS, STEPS, BATCH, RATE, SEED = 4000, 240, 192, 0.03, 7
@@ -116,14 +116,9 @@ class Model:
     def pooled(self, texts: list[bytes], stack: int = STACK) -> np.ndarray:
         """Mean probabilities over all bytes of each text: texts x L."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        rows = -(-sizes // WINDOW)
+        grid, rows = gridded(texts)
         total = np.zeros((len(texts), len(self.langs)))
         owner = np.repeat(np.arange(len(texts)), rows)
-        flat = np.full(int(rows.sum()) * WINDOW, 256, np.int16)
-        starts = (np.cumsum(rows) - rows) * WINDOW
-        for t, at in zip(texts, starts.tolist(), strict=True):
-            flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        grid = flat.reshape(-1, WINDOW)
         for at in range(0, len(grid), stack):
             x = np.ascontiguousarray(grid[at : at + stack].T)
             p = self.labels(x)
@@ -132,16 +127,25 @@ class Model:
         return total / np.maximum(sizes, 1)[:, None]
 
 
+def gridded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the texts, a row each, and how many each text has."""
+    rows = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
+    flat = np.full(int(rows.sum()) * WINDOW, 256, np.int16)
+    starts = (np.cumsum(rows) - rows) * WINDOW
+    for t, at in zip(texts, starts.tolist(), strict=True):
+        flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
+    return flat.reshape(-1, WINDOW), rows
+
+
 def train(texts: list[bytes], langs: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = SEED) -> Model | None:
-    """texts: a window of each training row."""
+    """texts: the training rows' whole texts. Each step draws texts, and from each one of its windows."""
     names = sorted(set(langs))
     if not names:
         return None
     rng = np.random.default_rng(seed)
     model = Model(names, (Cell.new(rng, hidden), Cell.new(rng, hidden)), (rng.standard_normal((len(names), 2 * hidden)) * 0.3).astype("f4"), np.zeros((len(names), 1), "f4"))
-    grid = np.full((len(texts), WINDOW), 256, np.int16)
-    for k, t in enumerate(texts):
-        grid[k, : min(len(t), WINDOW)] = np.frombuffer(t[:WINDOW], np.uint8)
+    grid, windows = gridded(texts)
+    starts = np.cumsum(windows) - windows
     target = np.searchsorted(names, langs)
     share = np.bincount(target, minlength=len(names)).astype(float)
     chance = (share**-0.5)[target]  # rare languages are drawn more often than their share
@@ -149,7 +153,8 @@ def train(texts: list[bytes], langs: list[str], hidden: int = HIDDEN, steps: int
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in model.params()]
     for step in range(1, steps + 1):
         own = rng.choice(len(texts), min(BATCH, len(texts)), p=chance)
-        grads = gradients(model, np.ascontiguousarray(grid[own].T), target[own])
+        drawn = starts[own] + (rng.random(len(own)) * windows[own]).astype(np.int64)
+        grads = gradients(model, np.ascontiguousarray(grid[drawn].T), target[own])
         norm = max(1.0, float(np.sqrt(sum((g * g).sum() for g in grads))))
         rate = RATE * (1 - 0.9 * step / steps)
         for p, g, (m, v) in zip(model.params(), grads, moments, strict=True):
@@ -188,19 +193,16 @@ def held_out() -> F.Column:
 
 
 def fitted(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """A model of the labelled rows that aren't held out: of each of the `rows` first by hash, a window from a place that the hash gives."""
-    chars = F.char_length("text")
-    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), chars - WINDOW)).cast("int") + 1
-    own = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & (chars > 0))
-    windows = own.select("doc_id", "lang", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("text"))
-    got = sampled(windows, F.xxhash64("doc_id"), rows).collect()
+    """A model of the whole texts of labelled rows that aren't held out, the `rows` first by hash."""
+    own = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & (F.char_length("text") > 0))
+    got = chosen(own, F.xxhash64("doc_id", "text"), rows).select("lang", "text").collect()
     return train([r["text"].encode("utf-8", "replace") for r in got], [r["lang"] for r in got])
 
 
-def portions(texts: list[str], chosen: list[bool]) -> Iterator[list[int]]:
-    """The places of chosen texts, in lists of about PORTION characters together, so that memory doesn't follow a batch's size."""
+def portions(texts: list[str], named: list[bool]) -> Iterator[list[int]]:
+    """The places of named texts, in lists of about PORTION characters together, so that memory doesn't follow a batch's size."""
     own, size = [], 0
-    for k, ok in enumerate(chosen):
+    for k, ok in enumerate(named):
         if ok:
             own.append(k)
             size += len(texts[k])
@@ -226,6 +228,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
                 for k, row in zip(at, p, strict=True):
                     langs[k], score[k] = model.langs[int(row.argmax())], min(1.0, float(row.max()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["row", "text", "lang_pred", "score"])
+        trimmed()
 
     return src.mapInArrow(run, schema)
 

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -59,3 +60,44 @@ def test_windows_do_not_depend_on_neighbours():
     texts = [b"abc" * 200, b"x", b"yz" * 70]
     alone = np.concatenate([model.pooled([t]) for t in texts])
     assert np.allclose(model.pooled(texts, stack=2), alone, atol=1e-5)
+
+
+def test_forward_pass_against_plain_loops():
+    """A GRU written out over single numbers: every position's label probabilities, pooled over a text's windows."""
+    rng = np.random.default_rng(5)
+    h, langs = 3, ["a", "b"]
+    model = langid.Model(langs, (langid.Cell.new(rng, h), langid.Cell.new(rng, h)), rng.standard_normal((2, 2 * h)).astype("f4"), rng.standard_normal((2, 1)).astype("f4"))
+    for c in model.cells:
+        c.bias[...] = rng.standard_normal((h, 1))
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(cell, data):
+        s, out = [0.0] * h, []
+        for byte in data:
+            rec = [sum(float(cell.rec[i, j]) * s[j] for j in range(h)) for i in range(3 * h)]
+            g = [float(cell.inputs[i, byte]) for i in range(3 * h)]
+            r, z = ([sig(g[i + k] + rec[i + k]) for i in range(h)] for k in (0, h))
+            c = [math.tanh(g[2 * h + i] + r[i] * (rec[2 * h + i] + float(cell.bias[i, 0]))) for i in range(h)]
+            s = [z[i] * s[i] + (1 - z[i]) * c[i] for i in range(h)]
+            out.append(s)
+        return out
+
+    for text in (b"x", bytes(rng.integers(0, 256, 100, dtype=np.uint8)), bytes(rng.integers(0, 256, 300, dtype=np.uint8))):
+        total = [0.0, 0.0]
+        for at in range(0, len(text), langid.WINDOW):
+            data = [*text[at : at + langid.WINDOW]]
+            data += [256] * (langid.WINDOW - len(data))
+            both = zip(states(model.cells[0], data), states(model.cells[1], data[::-1])[::-1], data, strict=True)
+            for a, b, byte in both:
+                logits = [sum(float(w) * x for w, x in zip(model.out[k], [*a, *b], strict=True)) + float(model.bias[k, 0]) for k in range(2)]
+                e = [math.exp(x - max(logits)) for x in logits]
+                if byte != 256:
+                    total = [t + x / sum(e) for t, x in zip(total, e, strict=True)]
+        assert np.allclose(model.pooled([text])[0], np.array(total) / len(text), atol=1e-4)
+
+
+def test_training_reads_whole_texts():
+    """The language shows only behind the first windows."""
+    texts, langs = [b"0" * 400 + b"abab" * 100, b"0" * 400 + b"cdcd" * 100] * 20, ["x", "y"] * 20
+    model = langid.train(texts, langs, steps=60)
+    assert [model.langs[int(p.argmax())] for p in model.pooled([b"abab" * 30, b"cdcd" * 30])] == ["x", "y"]
