@@ -11,33 +11,39 @@ repeated rows share a fingerprint; an empty table gives an empty table; further
 rows with a null doc_id keep their fingerprint, and their component is the smallest doc_id reachable, if any.
 
 `similar` groups by similarity of the texts themselves: documents are linked whose sets of word shingles have a Jaccard
-similarity of `similarity` or more, and a group is a component of these links. No bound of a 64-bit fingerprint holds
-all such pairs, so candidates are found by prefixes: under any fixed order of shingles, two sets that alike share one
-of the first n - ceil(similarity * n) + 1 of each. Common shingles come last in the order, so few unrelated texts meet.
-Every candidate is checked exactly on whole sets. Within a key, documents are first checked against a few hubs, then
-all pairs whose components still differ, so a large group costs no square of its size. Shingles are their XXH64.
+similarity of `similarity` or more, and a group is a component of these links. Fingerprints that meet in the blocks give
+the first candidates. But no bound on the bits of a 64-bit fingerprint holds all such pairs (at 0.8 some 10 bits differ),
+so the rest come from prefixes: under any fixed order of shingles, two sets that alike share one of the first
+n - ceil(similarity * n) + 1 of each. Common shingles come last in the order, so few unrelated texts meet. Two bounds that
+never lose a pair leave out most candidates: places and sizes of the sets, then counts by ranges of the hash (`sketch`);
+what is left is compared on whole sets. Within a key, documents first meet one hub, then those of other components, so a
+large group of copies costs no square of its size. Shingles are their XXH64.
+
+doc_ids are longs. `deduplicated` tells rows apart by doc_id and text: rows of one doc_id with unlike texts are documents of
+their own, equal rows are one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from functools import reduce
+from itertools import accumulate, combinations, product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquill.llm.common import LOWER, components, table, written
+from docquill.llm.common import LOWER, components, table, trimmed, written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 BLOCKS = (13, 13, 13, 13, 12)
 BRUTE = 1024  # fingerprints that a task compares pair by pair
-HOT = 50_000  # fingerprints under one key beyond which the key is split
-# Of similar: rounds against hubs; shingles that a task counts at a time; the count from which a shingle is common, and how
-# many of these are told apart (both touch the order of shingles only, never the result).
-HUBS, COUNTED, COMMON, MOST_COMMON = 2, 1 << 20, 32, 200_000
+HOT, SPLITS = 50_000, 4  # fingerprints under one key beyond which the key is split; how often that is needed at most
+# Of similar, none of which touches the result: shingles that a task counts at a time; the count from which a shingle is
+# common, and how many of these are told apart; sets that a task remembers; members of a set for each range of its sketch.
+COUNTED, COMMON, MOST_COMMON, REMEMBERED, PER_RANGE = 1 << 20, 32, 200_000, 1 << 20, 8
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -134,59 +140,84 @@ def forest(fps: np.ndarray, free: list[int]) -> list[tuple[int, int]]:
     return [(i, r) for i in range(m) if (r := find(i)) != i]
 
 
+def free_bits(kind: int, path: tuple[int, ...]) -> list[int]:
+    """Bits in which the fingerprints under a key may differ: path has the block that each split has fixed."""
+    free = keys()[kind][1]
+    for part in path:
+        block = bit_blocks(free, DISTANCE + 1)[part]
+        free = [b for b in free if b not in block]
+    return free
+
+
+def split_hot(met: DataFrame) -> list[tuple[int, DataFrame]]:
+    """(splits, rows kind, path, key, fp): keys of more than HOT fingerprints are split by blocks of their free bits, again
+    and again; as fingerprints are distinct, a key of `SPLITS` splits and its 14 free bits has at most 16,384."""
+    parts, done, splits = DISTANCE + 1, [], 0
+    while True:
+        n = met.groupBy("kind", "path", "key").agg(F.count("*").alias("n")).where("n > 1")
+        if splits == SPLITS:
+            return [*done, (splits, met.join(n.drop("n"), ["kind", "path", "key"]))]
+        large = written(n.where(F.col("n") > HOT), "hot")
+        done.append((splits, met.join(n.where(F.col("n") <= HOT).drop("n"), ["kind", "path", "key"])))
+        if not large.limit(1).count():
+            return done
+        masks = [[mask_of(b) for b in bit_blocks(free_bits(kind, path), parts)] for kind in range(len(keys())) for path in product(range(parts), repeat=splits)]
+        mask = lambda j: F.element_at(F.array(*[F.lit(signed(m[j])) for m in masks]), F.col("kind") * parts**splits + F.col("path") + 1)  # noqa: B023, E731
+        sub = F.array(*[F.struct((F.col("path") * parts + j).alias("path"), F.col("key").bitwiseOR(F.col("fp").bitwiseAND(mask(j))).alias("key")) for j in range(parts)])
+        met = written(met.join(large.drop("n"), ["kind", "path", "key"]).select("kind", "fp", F.explode(sub).alias("x")).select("kind", "x.path", "x.key", "fp"), "split")
+        splits += 1
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """(u, v) edges over nodes that span every component; fps: fp, node (distinct fingerprints, a node for each)."""
+    """(u, v) edges between fingerprints that span every component; fps: distinct fp."""
     kinds = keys()
-    keyed = fps.select("fp", "node", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("key")) for k, (mask, _) in enumerate(kinds)])).alias("x")).select("fp", "node", "x.kind", "x.key")
-    counted = keyed.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(counted, ["kind", "key"])
-    halves = [[mask_of(b) for b in bit_blocks(free, DISTANCE + 1)] for _, free in kinds]
-    sub = F.array(*[F.struct(F.lit(j).alias("part"), F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(signed(h[j])) for h in halves]), F.col("kind") + 1)).alias("subkey")) for j in range(DISTANCE + 1)])
-    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("subkey")))
-    dealt = met.withColumn("y", F.explode(F.when(F.col("n") > HOT, sub).otherwise(whole))).select("kind", "key", "y.part", "y.subkey", "fp", "node")
+    struct = [F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("key")) for k, (mask, _) in enumerate(kinds)]
+    keyed = fps.select("fp", F.explode(F.array(*struct)).alias("x")).select("x.kind", F.lit(0).alias("path"), "x.key", "fp")
+    cols = ["kind", "path", "key"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind: int, part: int, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            free = kinds[kind][1]
-            if part >= 0:
-                block = bit_blocks(free, DISTANCE + 1)[part]
-                free = [b for b in free if b not in block]
-            found = forest(fp.view(np.uint64), free)
-            return pa.RecordBatch.from_arrays([pa.array(node[[i for i, _ in found]], pa.int64()), pa.array(node[[r for _, r in found]], pa.int64())], ["u", "v"])
-
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
-            rows = np.concatenate([*held, rows], axis=1) if held else rows
-            cuts = np.nonzero((np.diff(rows[:4], axis=1) != 0).any(0))[0] + 1
-            runs = np.split(rows, cuts, axis=1)
-            for r in runs[:-1]:
-                if r.shape[1] > 1 and (b := out(int(r[0, 0]), int(r[2, 0]), r[4], r[5])).num_rows:
-                    yield b
-            held = [runs[-1]]
-        if held and held[0].shape[1] > 1:
-            r = held[0]
-            yield out(int(r[0, 0]), int(r[2, 0]), np.ascontiguousarray(r[4]), r[5])
-
-    cols = ["kind", "key", "part", "subkey"]
-    return dealt.repartition(*cols).sortWithinPartitions(*cols, "fp").mapInArrow(run, "u long, v long")
+    def run_of(splits: int):
+        paths = list(product(range(DISTANCE + 1), repeat=splits))
+
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            fp = np.ascontiguousarray(rows[3])
+            found = forest(fp.view(np.uint64), free_bits(int(rows[0, 0]), paths[rows[1, 0]]))
+            return pa.RecordBatch.from_arrays([pa.array(fp[[i for i, _ in found]], pa.int64()), pa.array(fp[[r for _, r in found]], pa.int64())], ["u", "v"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros((4, 0), np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                rows = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])], axis=1)
+                cuts = np.nonzero((np.diff(rows[:3], axis=1) != 0).any(0))[0] + 1
+                *whole, held = np.split(rows, cuts, axis=1)
+                yield from (out(r) for r in whole)
+            if held.shape[1]:
+                yield out(held)
+
+        return run
+
+    found = [part.repartition(*cols).sortWithinPartitions(*cols, "fp").mapInArrow(run_of(splits), "u long, v long") for splits, part in split_hot(keyed)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     fps = written(fingerprints(docs), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    roots = components(links(nodes.where("node IS NOT NULL")))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("doc")), "nodes")
+    named = nodes.join(components(links(nodes.select("fp"))).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
+    firsts = named.groupBy("root").agg(F.min("doc").alias("component_id"))
+    of = named.join(firsts, "root").select("fp", "component_id")
+    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The set of a text's shingles, ascending; texts without words share a set of one."""
+    return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The distinct shingles' hashes, ascending; texts without words share a set of one."""
-    hashes = np.unique(shingle_hashes(text, size))
-    return hashes if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
+    return distinct(shingle_hashes(text, size))
 
 
 def node_of(own: np.ndarray) -> int:
@@ -211,6 +242,7 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
                     held, n = [], 0
         if held:
             yield out()
+        trimmed()
 
     sums = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
     top = sums.orderBy(F.desc("c"), "h").limit(MOST_COMMON).collect()
@@ -219,8 +251,32 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     return h[order], c[order]
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Counts of a set's members (ascending) by equal ranges of the hash, a power of two of them, about `PER_RANGE`
+    members each; 255 stands for that many or more."""
+    bits = max(0, (len(own) // PER_RANGE).bit_length() - 1)
+    at = own >> np.uint64(64 - bits) if bits else np.zeros(len(own), np.uint64)
+    return np.minimum(np.bincount(at.astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """At most so many members are in both of two sets with these sketches."""
+    short, long_ = sorted((np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b)), key=len)
+    short, long_ = (np.where(x == 255, 1 << 40, x) for x in (short, long_))
+    return int(np.minimum(short, long_.reshape(len(short), -1).sum(1)).sum())
+
+
+def alike(shared: Column | np.ndarray | int, a: Column | np.ndarray | int, b: Column | np.ndarray | int, similarity: float):
+    """Whether sets of a and b members that share so many reach the similarity."""
+    return shared >= similarity * (a + b - shared) - 1e-9
+
+
+PREFIX = "doc_id long, text_hash long, node long, n long, fp long, sketch binary, heads array<long>"
+
+
 def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """doc_id, node (equal sets share one), n (shingles of the set) and heads (the prefix)."""
+    """For each row doc_id, text_hash, node (equal sets share one), n (shingles of the set) and fp; for a task's first row
+    of each node also sketch and heads, the prefix in order."""
     common, count = common_shingles(docs, size)
 
     def head(own: np.ndarray) -> np.ndarray:
@@ -231,113 +287,154 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
         return own[np.lexsort((own, np.where(common[at] == own, count[at], 0)))[:n]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
-            heads = pa.array([head(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), heads], ["doc_id", "node", "n", "heads"])
+            nodes, n, fps, sketches, heads = [], [], [], [], []
+            for text in batch.column(2):
+                hashes = shingle_hashes(text.as_py(), size)
+                own = distinct(hashes)
+                nodes.append(node_of(own))
+                n.append(len(own))
+                fps.append(signed(majority(hashes)))
+                new = nodes[-1] not in seen
+                sketches.append(sketch(own) if new else None)
+                heads.append(head(own).view(np.int64) if new else None)
+                seen.add(nodes[-1])
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], [x.split()[0] for x in PREFIX.split(", ")])
+        trimmed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, heads array<long>")
+    return docs.select("doc_id", text_hash(), "text").mapInArrow(run, PREFIX)
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[np.ndarray]:
-    """Blocks of whole runs of the first column of sorted rows, as arrays of longs."""
-    held = np.zeros((columns, 0), np.int64)
-    for batch in batches:
-        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)])], axis=1)
-        cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
-        if cut:
-            yield rows[:, :cut]
-        held = rows[:, cut:]
-    if held.shape[1]:
-        yield held
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")
 
 
-def met_keys(nodes: DataFrame) -> DataFrame:
-    """key, node, n of the prefixes' keys that two nodes or more have."""
+def met_keys(rows: DataFrame) -> DataFrame:
+    """key, node, n, place of the prefixes' keys that two nodes or more have. Rows are streamed, whatever a key has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs_of(batches, 3):
-            same = np.diff(rows[0]) == 0
-            rows = rows[:, np.append(same, False) | np.append(False, same)]
-            for at in range(0, rows.shape[1], 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(r[at : at + (1 << 16)]) for r in rows], ["key", "node", "n"])
+        names, held, known = ["key", "node", "n", "place"], np.zeros((4, 0), np.int64), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])], axis=1)
+            new = new[:, np.append(True, (np.diff(new[:2], axis=1) != 0).any(0))]  # copies of a node
+            same = np.diff(new[0]) == 0
+            keep = np.append(known, same) | np.append(same, False)
+            if new.shape[1] > 1:
+                out = new[:, :-1][:, keep[:-1]]
+                if out.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+            held, known = new[:, -1:], bool(keep[-1])
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names)
 
-    keyed = nodes.select(F.explode("heads").alias("key"), "node", "n")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, n long")
+    keyed = rows.where("heads IS NOT NULL").select(F.posexplode("heads").alias("place", "key"), "node", "n").select("key", "node", "n", F.col("place").cast("long").alias("place"))
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, n long, place long")
 
 
-def hub_pairs(own: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(u, v): nodes and the hub of a key of theirs, where components differ. own: key, node, n, root."""
-    hubs = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))).alias("x"), (F.min("root") < F.max("root")).alias("mixed"))
-    met = own.join(hubs.where("mixed").select("key", "x.hub", "x.hub_n", "x.hub_root"), "key").where("root <> hub_root")
-    return met.where(F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n") - 1e-9).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+def possible(similarity: float) -> Column:
+    """Whether two rows of a key (node n place, other other_n other_place) can be alike: at the first key that two sets
+    share, what follows it in each bounds what they share."""
+    rest = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    return alike(F.least("n", "other_n"), F.col("n"), F.col("other_n"), similarity) & alike(rest, F.col("n"), F.col("other_n"), similarity)
 
 
-def all_pairs(own: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): every two nodes of a key whose components differ."""
+def ordered_pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+
+
+def hub_pairs(own: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): nodes and the hub of a key of theirs, where components differ. own: key, node, n, place, root."""
+    hub = F.min(F.struct(F.xxhash64("node"), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("place").alias("other_place"), F.col("root").alias("other_root"))).alias("x")
+    hubs = own.groupBy("key").agg(hub, (F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key", "x.other", "x.other_n", "x.other_place", "x.other_root")
+    return ordered_pairs(own.join(hubs, "key").where("root <> other_root").where(possible(similarity)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in runs_of(batches, 4):
-            for rows in np.split(block, np.nonzero(np.diff(block[0]))[0] + 1, axis=1):
-                cuts = [0, *(np.nonzero(np.diff(rows[1]))[0] + 1).tolist(), rows.shape[1]]
-                for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):  # a component against those after it
-                    for at in range(a, b):
-                        n, rest = rows[3, at], rows[:, b:]
-                        v = rest[2, np.minimum(rest[3], n) >= similarity * np.maximum(rest[3], n) - 1e-9]
-                        if len(v):
-                            u = np.full(len(v), rows[2, at])
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
+def cross_pairs(own: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): nodes of a key whose components differ, as far as their sizes and places allow it. Only the first key that
+    two sets share counts, so keys are left out that follow upon another shared one."""
     mixed = own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    rows = own.join(mixed, "key").select("key", "root", "node", "n").repartition("key").sortWithinPartitions("key", "root")
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    before = F.coalesce(F.lag("key").over(Window.partitionBy("node").orderBy("place")), F.lit(0)).alias("before")
+    left = written(own.join(mixed, "key", "left_semi").select("key", "node", "n", "place", "root", before, F.row_number().over(Window.partitionBy("node").orderBy("place")).alias("turn")), "mixed")
+    right = left.select("key", *[F.col(c).alias(f"other_{c}") for c in ("n", "place", "root", "before", "turn")], F.col("node").alias("other"))
+    first = (F.col("turn") == 1) | (F.col("other_turn") == 1) | (F.col("before") != F.col("other_before"))
+    return ordered_pairs(left.join(right, "key").where("root < other_root").where(first).where(possible(similarity)))
+
+
+def block_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): nodes whose fingerprints are equal, or meet in blocks and differ in few bits."""
+    of = written(rows.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
+    equal = nodes.join(of, "fp").where("node <> hub").select("node", F.col("hub").alias("other"))
+    near = links(of.select("fp")).join(of.select(F.col("fp").alias("u"), F.col("hub").alias("node")), "u").join(of.select(F.col("fp").alias("v"), F.col("hub").alias("other")), "v").select("node", "other")
+    return ordered_pairs(equal.unionByName(near))
+
+
+def paired(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
+    """pairs with the value of either node."""
+    return pairs.join(of.select(F.col("node").alias("u"), F.col(value).alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col(value).alias("b")), "v")
 
 
 def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes whose sets are similar."""
-    pairs = written(pairs, "pairs")
-    asked = written(nodes.select("node", "doc").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node"), "asked")
-    texts = docs.select("doc_id", "text").join(asked.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "own"])
+            rows = zip(*(batch.column(k) for k in range(2, 6)), strict=True)
+            keep = [alike(most_shared(a.as_py(), b.as_py()), n.as_py(), m.as_py(), similarity) for n, m, a, b in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = written(texts.select("text").mapInArrow(run, "node long, own array<long>").join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
-    shared = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("n"))
-    return shared.where(F.col("i") / (F.col("n") - F.col("i")) >= similarity).select("u", "v")
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                own = shingle_set(text.as_py(), size)
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(own)], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], ["node", "own"])
+
+    sized = nodes.select("node", F.struct("n", "sketch").alias("s"))
+    drawn = paired(pairs, sized, "s").select("u", "v", "a.n", F.col("b.n").alias("m"), F.col("a.sketch").alias("a"), F.col("b.sketch").alias("b"))
+    pairs = written(drawn.mapInArrow(passing, "u long, v long"), "pairs")
+    asked = written(nodes.select("node", "doc", "text_hash").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"), "asked")
+    texts = docs.select("doc_id", text_hash(), "text").join(asked.select(F.col("doc").alias("doc_id"), "text_hash"), ["text_hash"], "left_semi").select("text")
+    own = texts.dropDuplicates(["text"]).mapInArrow(sets_of, "node long, own array<long>")
+    sets = written(own.join(asked.select("node"), "node", "left_semi"), "sets").dropDuplicates(["node"])
+    shared = paired(pairs, sets, "own").select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("shared"))
+    return shared.where(alike(F.col("shared"), F.col("n"), F.col("m"), similarity)).select("u", "v")
 
 
 def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """doc_id, component_id: the smallest doc_id of each group of documents linked by similarity."""
+    """doc_id, text_hash, component_id (the smallest doc_id of each group of documents linked by similarity), first (whether
+    the row is the group's first by doc_id, then text_hash; equal rows alike)."""
     rows = written(prefixes(docs, size, similarity), "prefixes")
-    least = rows.groupBy("node").agg(F.min("doc_id").alias("doc"))
-    met = written(met_keys(rows.dropDuplicates(["node"])), "met")
-    nodes = written(least, "nodes")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    least = rows.groupBy("node").agg(F.min(place).alias("x"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.max("sketch").alias("sketch"))
+    nodes = written(least.select("node", F.col("x.doc_id").alias("doc"), "x.text_hash", "n", "fp", "sketch"), "nodes")
+    met = written(met_keys(rows), "met")
     found, roots = None, None
-    for turn in range(HUBS + 1):
-        own = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        pairs = hub_pairs(own, turn, similarity) if turn < HUBS else all_pairs(own, similarity)
-        more = checked(pairs, docs, nodes, size, similarity)
+    for candidates in (lambda own: block_pairs(rows, nodes), lambda own: hub_pairs(own, similarity), lambda own: cross_pairs(own, similarity)):
+        own = met if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = checked(candidates(own), docs, nodes, size, similarity)
         found = written(more if found is None else found.unionByName(more), "similar")
         roots = written(components(found), "roots")
-    named = nodes.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
-    firsts = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    return rows.select("doc_id", "node").join(named.join(firsts, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; rows without a doc_id stay. Every column stays.
-    Components are those of op8, or with a similarity those of `similar` over shingles of that many words."""
-    if similarity is None and shingle != SHINGLE:
-        raise ValueError("fingerprints are of shingles of three words")
-    found = written(near_duplicates(docs) if similarity is None else similar(docs, shingle, similarity), "components")
-    out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    n = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL")) if n else out
+    named = nodes.join(roots, "node", "left").select("node", "doc", "text_hash", F.coalesce("root", "node").alias("root"))
+    firsts = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), F.col("doc").alias("first_doc"), F.col("text_hash").alias("first_hash"))).alias("x"))
+    of = named.join(firsts, "root").select("node", "x.first_doc", "x.first_hash")
+    joined = rows.select("doc_id", "text_hash", "node").join(of, "node")
+    return joined.select("doc_id", "text_hash", F.col("first_doc").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("first_hash"))).alias("first"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of `similar`, that of the smallest doc_id; rows without a doc_id stay. Every column
+    stays."""
+    found = written(similar(docs, shingle, similarity), "components")
+    gone = found.where("doc_id IS NOT NULL AND NOT first").select("doc_id", "text_hash").distinct()
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), text_hash())
+    out = marked.join(gone, ["doc_id", "text_hash"], "left_anti")
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text_hash"]).unionByName(out.where("doc_id IS NULL"))
+    return out.select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

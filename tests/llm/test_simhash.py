@@ -147,3 +147,27 @@ def test_rows_without_an_id_link_similar_groups(make):
     a, x, b = words, [*words[:-9], *(f"x{k}" for k in range(9))], [*(f"y{k}" for k in range(9)), *words[9:-9], *(f"x{k}" for k in range(9))]
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(make([(1, " ".join(a)), (None, " ".join(x)), (2, " ".join(b))]), 5, 0.8).collect()}
     assert got == {1: 1, 2: 1, None: 1}
+
+
+def test_rows_of_one_id_are_told_apart_by_text(make):
+    one, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"x{k}" for k in range(60))
+    kept = simhash.deduplicated(make([(7, one), (7, other), (7, one), (8, one + " more"), (None, other)])).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("7", one), ("7", other), ("None", other)])
+
+
+def test_fingerprints_held_by_rows_without_an_id_link(make, monkeypatch):
+    rows = [(7, 0b0001), (None, 0b0111), (9, 0b111111), (None, 0xFFFFF << 30)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", docs["text"].cast("long").alias("fp")))
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(make([(d, str(x)) for d, x in rows])).collect()]
+    assert sorted(got, key=str) == sorted([(7, 7), (None, 7), (9, 7), (None, None)], key=str)
+
+
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 63, rng.integers(1, 4000), dtype=np.uint64) * np.uint64(2)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, len(pool) + 1), replace=False)) for _ in range(2))
+        shared = len(np.intersect1d(a, b))
+        assert shared <= simhash.most_shared(simhash.sketch(a), simhash.sketch(b)) <= min(len(a), len(b)) or 255 in simhash.sketch(a) + simhash.sketch(b)
+    same = np.arange(3000, dtype=np.uint64)  # all in one range
+    assert simhash.most_shared(simhash.sketch(same), simhash.sketch(same)) >= 3000
