@@ -6,6 +6,7 @@ from docquill.llm.common import table
 from tests.llm.conftest import SF
 from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_simhash import brute as brute_groups
+from tests.llm.test_simhash import jaccard_kept
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -40,6 +41,21 @@ def test_run_against_its_stages_by_brute_force(spark):
     assert clean > 50
 
 
+def test_run_keeps_the_first_of_each_group_of_similar_texts(spark):
+    """The near_dedup stage's own contract: shingles of five words, Jaccard similarity of 0.8 or more, by all pairs."""
+    docs = table(spark, SF, "documents")
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = langid.fitted(docs)
+    p = model.pooled([(t or "").encode() for t in rows.values()])
+    left = [(d, t) for (d, t), q in zip(rows.items(), p, strict=True) if any(map(str.isalpha, t or "")) and q.max() >= corpus_pipeline.LANG_SCORE]
+    keep = set(jaccard_kept(left))
+    assert 0 < len(left) - len(keep) < len(left) // 2
+    share = {d: hit / max(1, n) for d, n, hit, *_ in brute_hits([(d, t) for d, t in left if d in keep], items)}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"] for r in got} == {d for d in keep if share[d] <= 0.5} and all(r["same"] for r in got)
+
+
 def test_stages_keep_the_columns_and_take_an_empty_table(spark):
     docs = table(spark, SF, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES[:-1]:
