@@ -5,9 +5,9 @@ Everything is Column expressions. Base spans come from three patterns; further s
 is at least `RATIO` in all and `PER_PAIR` for each pair. Of a run that isn't so as a whole, the segments are spans that
 are so and at least `LEAST` long (a key behind a path or a name): a scan sums the pairs' ratios less `PER_PAIR`, starts
 again where the sum isn't positive or `DROP` below its peak, and each peak ends a segment, which is then widened to the
-next '/', '-' or '_'. The models are counted with add-one smoothing from labelled
+next '/', '-' or '_'. Of such a span, what no base span covers is kept if it has `REST` characters. The models are counted with add-one smoothing from labelled
 samples (token, secret): random strings drawn by hash; identifiers made of the words `NAMES`; and those of `SAMPLE_ROWS`
-rows of the table chosen by hash, alone and joined as code joins them (a bounded sample of labelled rows). Only pair
+distinct texts of the table, the first by hash, alone and joined as code joins them (a bounded sample of labelled rows). Only pair
 counts, at most 2 * 80 * 80, reach the driver. No pattern can match across a line break.
 
 Places are code points, ends exclusive. Running sums are taken in chunks, so a text with very many matches costs no
@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.llm.common import sampled, table
+from docquill.llm.common import table
 
 # The base patterns of the contract; `{24,}` and `{16,}` find what the open runs find after their length check.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,10 +34,10 @@ HEX = r"[0-9a-f]{24,}+"
 VALUE = 6
 KINDS = ("assign", "access", "hex", "markov")
 
-RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+"
 IDENTIFIER = r"[A-Za-z0-9+/_-]{3,}+"
 RATIO, PER_PAIR = 12.0, 0.6
-DROP, LEAST = 6.0, 16
+DROP, LEAST, REST = 6.0, 16, 6
 SAMPLE_ROWS, DRAWN = 2000, 20_000
 LOW, SPAN = 43, 80  # '+' to 'z'
 CHUNK = 128
@@ -162,7 +162,9 @@ def samples(docs: DataFrame, rows: int = SAMPLE_ROWS, drawn: int = DRAWN) -> Dat
     packed = F.substring(F.regexp_replace(F.base64(F.unhex(bits)), "=", ""), 1, 40)
     forms = F.array(packed, F.translate(packed, "+/", "-_"), F.regexp_replace(packed, "[+/]", ""), F.substring(bits, 1, 40))
     rand = spark.range(drawn).select(F.explode(forms).alias("token"), F.lit(True).alias("secret"))
-    own = sampled(docs.select("text").where("text IS NOT NULL"), F.xxhash64("text"), rows)
+    hashed = docs.select(F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
+    last = hashed.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    own = hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text"))
     plain = reduce(lambda t, p: F.regexp_replace(t, p, " "), (ASSIGN, ACCESS, HEX), F.col("text"))
     words = own.select(F.regexp_extract_all(plain, F.lit(IDENTIFIER), F.lit(0)).alias("w"))
     joined = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit("/"), F.lit("")), F.pmod(F.xxhash64(a, b), F.lit(4)).cast("int") + 1), F.initcap(b))))
@@ -187,11 +189,24 @@ def trained(labelled: DataFrame) -> Column:
     return F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")
 
 
+def uncovered(span: Column, base: Column) -> Column:
+    """The parts of a span that no base span (sorted by start) covers, of REST characters or more."""
+    kind = f"struct<at:int,out:{SpanType}>"
+    gap = lambda s, stop: F.when(stop - s["at"] >= REST, F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), span["kind"].alias("kind"), stop.alias("stop"))))).otherwise(s["out"])
+    first = F.struct(span["start"].alias("at"), F.array().cast(SpanType).alias("out")).cast(kind)
+
+    def step(s: Column, x: Column) -> Column:
+        met = (x["start"] < span["stop"]) & (x["stop"] > s["at"])
+        return F.when(met, F.struct(F.greatest(s["at"], x["stop"]).alias("at"), gap(s, x["start"]).alias("out")).cast(kind)).otherwise(s)
+
+    return F.aggregate(base, first, step, lambda s: gap(s, span["stop"]))
+
+
 def all_spans(text: Column, ratios: Column) -> tuple[Column, Column]:
-    """(base spans by start and kind, all spans likewise): of the further ones those that meet no base span."""
+    """(base spans by start and kind, all spans likewise): of the further ones what base spans leave."""
     base = F.array_sort(F.concat(*base_spans(text)))
-    apart = lambda b: F.filter(markov_spans(text, ratios), lambda m: ~F.exists(b, lambda x: (x["start"] < m["stop"]) & (m["start"] < x["stop"])))
-    return base, let(base, lambda b: F.array_sort(F.concat(b, apart(b))))
+    rest = lambda b: F.flatten(F.transform(markov_spans(text, ratios), lambda m: uncovered(m, b)))
+    return base, let(base, lambda b: F.array_sort(F.concat(b, rest(b))))
 
 
 def rendered(spans: Column) -> Column:

@@ -80,3 +80,37 @@ def test_keys_behind_paths_and_names(make):
     assert all(not got[len(keys) + 1 + k] for k in range(len(plain)))
     clean = secrets.redacted(make(texts), ratios).collect()
     assert all(k not in r["text"] for r in clean if r["doc_id"] < len(keys) and hit[r["doc_id"]] for k in [keys[r["doc_id"]][1]])
+
+
+def test_what_base_spans_leave_of_a_random_run_is_found(make):
+    """A run judged as a whole, with hex in its middle: nothing of it may survive."""
+    text = "key qX9zLk3TbV0aRw7Ye2Jp5H" + "0123456789abcdef01234567" + "TbV0aRw7Ye2JqX9zLk3 end"
+    docs = make([text])
+    ratios = secrets.trained(secrets.samples(make([]), drawn=5000))
+    row = secrets.scanned(docs, ratios).collect()[0]
+    assert base(text) == [(s["start"], s["kind"], s["stop"]) for s in row["base"]] and len(row["base"]) == 1
+    covered = {k for s in row["spans"] for k in range(s["start"], s["stop"])}
+    assert covered == set(range(4, len(text) - 4))
+    assert secrets.redacted(docs, ratios).collect()[0]["text"] == f"key {secrets.MARK} end"
+
+
+def test_recall_and_false_positives_on_labelled_strings(make, corpus):
+    import random
+    import string
+
+    rng = random.Random(11)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits]
+    keys = ["".join(rng.choice(rng.choice(alphabets[:1] if k % 3 == 0 else alphabets[k % 3 : k % 3 + 1])) for _ in range(rng.randint(14, 40))) for k in range(300)]
+    join = ["", "_", "-", "/"]
+    plain = [rng.choice(join).join(rng.choice([str.title, str.lower])(rng.choice(secrets.NAMES)) for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    words = "Internationalization Donaudampfschifffahrtsgesellschaft anticonstitutionnellement responsabilidades Verantwortlichkeiten misunderstanding".split()
+    ratios = secrets.trained(secrets.samples(make(corpus), drawn=5000))  # it has words of four languages
+    got = {r["doc_id"]: r["spans"] for r in secrets.scanned(make([f"see {x} now" for x in keys + plain + words]), ratios).collect()}
+    assert sum(bool(got[k]) for k in range(300)) >= 285
+    assert sum(bool(got[300 + k]) for k in range(300)) <= 6 and not any(got[600 + k] for k in range(len(words)))
+
+
+def test_copies_of_one_text_do_not_crowd_out_the_sample(make):
+    rows = [(k, "copied words only here") for k in range(300)] + [(1000 + k, f"identifier{k}") for k in range(20)]
+    tokens = {r["token"] for r in secrets.samples(make(rows), rows=20, drawn=1).where("NOT secret").collect()}
+    assert sum(f"identifier{k}" in tokens for k in range(20)) >= 19
