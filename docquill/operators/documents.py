@@ -6,6 +6,7 @@ document's row. A NULL document is Nothing: it has no nodes, and what is made of
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -194,15 +195,68 @@ def merge_documents(df: DataFrame, doc: str | Column, patch: str | Column, name:
 
 
 def validate(df: DataFrame, doc: str | Column) -> DataFrame:
-    """df with valid, the root's kind, and the error's code and offset."""
+    """df with valid, the root's kind, and the error's code, its offset in characters and in bytes, and what was expected
+    there. Documents may be texts or bytes."""
 
-    def rows(text: str | None) -> Iterator[tuple]:
+    def rows(text: str | bytes | None) -> Iterator[tuple]:
         try:
-            yield (None, None, None, None) if text is None else (True, jsontext.kind(jsontext.parse(text)), None, None)
+            yield (None,) * 6 if text is None else (True, jsontext.kind(jsontext.parse(text)), None, None, None, None)
         except JsonError as e:
-            yield False, None, e.code, e.offset
+            if e.code == "InvalidUtf8":
+                yield False, None, e.code, None, e.offset, e.expected
+            else:
+                read = text if isinstance(text, str) else text.decode()
+                yield False, None, e.code, e.offset, len(read[: e.offset].encode("utf-8", "surrogatepass")), e.expected or None
+
+    return mapped(df, [column(df, doc)], "valid boolean, kind string, error_code string, error_offset long, error_byte long, error_expected string", rows)
+
+
+def decimals(df: DataFrame, number: str | Column, precision: int, scale: int, name: str = "dec") -> DataFrame:
+    """df with a column of number texts as DECIMAL(precision, scale), where it holds them exactly; else NULL with an error.
+    Any exponent is read, and nothing is rounded."""
+    kind = pa.decimal128(precision, scale)
 
-    return mapped(df, [column(df, doc)], "valid boolean, kind string, error_code string, error_offset long", rows)
+    def value(text: str) -> decimal.Decimal | None:
+        sign, order, digits = jsontext.number_key(text)
+        if not sign:
+            return decimal.Decimal(0)
+        digits, order = (digits[:-1].translate(jsontext.NINES), -order) if sign < 0 else (digits, order)
+        if order > precision - scale or len(digits) - order > scale:
+            return None
+        return decimal.Decimal((int(sign < 0), tuple(map(int, digits)), order - len(digits)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            bad = [t is not None and not jsontext.NUMBER.fullmatch(t) for t in texts]
+            found = [None if t is None or b else value(t) for t, b in zip(texts, bad, strict=True)]
+            with decimal.localcontext(prec=precision + 1):
+                exact = pa.array([x if x is None else x.quantize(decimal.Decimal(1).scaleb(-scale)) for x in found], kind)
+            errors = ["NotANumber" if b else "ValueNotRepresentable" if t is not None and x is None else None for t, b, x in zip(texts, bad, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), exact, pa.array([None if e is None else {"code": e, "detail": t} for e, t in zip(errors, texts, strict=True)], pa.struct([("code", pa.string()), ("detail", pa.string())]))], ["_row", name, "error"])
+
+    own = [c for c in df.columns if c not in (name, "error")]
+    src = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in own]).alias("_row"), column(df, number).alias("_in"))
+    out = T.StructType([src.schema["_row"], T.StructField(name, T.DecimalType(precision, scale)), *T.StructType.fromDDL(ERROR).fields])
+    return src.mapInArrow(run, out).select(*[F.col(f"_row.`{c}`") for c in own], name, "error")
+
+
+def pointer_ancestors(df: DataFrame, pointer: str | Column) -> DataFrame:
+    """df with a row for each prefix of a pointer, the empty one first: depth, ancestor, parent (NULL for the root) and the
+    last token, unescaped. Column expressions only."""
+    text = column(df, pointer)
+    parts = F.split(text, "/", -1)
+    out = df.withColumn("_parts", parts).withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)))
+    head = lambda n: F.array_join(F.slice("_parts", F.lit(1), n), "/")
+    token = F.replace(F.replace(F.get("_parts", F.col("depth")), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+    return out.withColumn("ancestor", head(F.col("depth") + 1)).withColumn("parent", F.when(F.col("depth") > 0, head(F.col("depth")))).withColumn("token", F.when(F.col("depth") > 0, token)).drop("_parts")
+
+
+def scan_until(df: DataFrame, doc: str | Column, query: str | Query, most: int, registry: Registry = DEFAULT, limits: Limits = Limits()) -> DataFrame:
+    """Nodes as `select_nodes` gives them, at most `most` in all: partitions are read until there are so many, and the rest of
+    the input is left alone (Spark's limit takes few partitions first)."""
+    found = select_nodes(df, doc, query, registry, limits)
+    return found.where("error IS NULL").limit(most)
 
 
 def canonical(df: DataFrame, doc: str | Column, name: str = "canon") -> DataFrame:

@@ -2,7 +2,7 @@
 
 For queries of names, indexes, slices, wildcards and filters without `..`. Numbers are compared as doubles, and objects'
 members come in name order, as VARIANT keeps them; where this matters, or a query isn't covered, use the exact
-operators. Each predicate is two-valued: NULL never leaves it.
+operators, or `hybrid_nodes`, which takes this tier where it agrees with them. Each predicate is two-valued: NULL never leaves it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquill.functions.iregexp import java_pattern
+from docquill.functions.iregexp import TooComplex, compiled, java_pattern, risky
+from docquill.operators.documents import select_nodes
 from docquill.plans.ast import And, Call, Compare, Exists, Filter, Holds, Index, Literal, Name, Not, Or, Query, Slice, Wildcard
 from docquill.plans.parser import parse
 from docquill.plans.writer import quoted
@@ -56,6 +57,11 @@ def kind_is(v: Column, pattern: str) -> Column:
     return F.coalesce(F.schema_of_variant(v).rlike(pattern), F.lit(False))
 
 
+def exact_double(n: Num) -> bool:
+    """Whether no other number of at most 15 digits shares this one's double."""
+    return len(n.key[2].rstrip("~")) <= 15 and abs(n.key[1]) < 300
+
+
 class Operand:
     """A comparison's side: whether it exists, is a number or a string, and these."""
 
@@ -63,9 +69,6 @@ class Operand:
         self.exists, self.is_number, self.number, self.is_text, self.text, self.other = exists, is_number, number, is_text, text, other
 
 
-NO, YES = F.lit, F.lit
-
-
 def of_variant(v: Column) -> Operand:
     return Operand(v.isNotNull(), kind_is(v, NUMERIC), F.try_variant_get(v, "$", "double"), kind_is(v, "^STRING"), F.try_variant_get(v, "$", "string"), F.when(kind_is(v, "^(BOOLEAN|VOID)$"), F.to_json(v)))
 
@@ -76,17 +79,34 @@ def operand(x, current: Column, root: Column) -> Operand:
         return of_variant(singular(x, current, root))
     if isinstance(x, Literal):
         if isinstance(x.value, Num):
+            if not exact_double(x.value):
+                raise Unsupported(x.value.text)
             return Operand(F.lit(True), F.lit(True), F.lit(float(x.value.text)), no, none.cast("string"), none.cast("string"))
         if isinstance(x.value, str):
             return Operand(F.lit(True), no, none.cast("double"), F.lit(True), F.lit(x.value), none.cast("string"))
         return Operand(F.lit(True), no, none.cast("double"), no, none.cast("string"), F.lit(json.dumps(x.value)))
     if isinstance(x, Call) and x.name == "length" and isinstance(x.args[0], Query):
         v = singular(x.args[0], current, root)
-        n = F.when(kind_is(v, "^STRING"), F.char_length(F.try_variant_get(v, "$", "string"))).when(kind_is(v, "^ARRAY"), F.size(elements(v))).when(kind_is(v, "^OBJECT"), F.size(F.map_keys(v.try_cast("map<string,variant>"))))
+        n = F.when(kind_is(v, "^STRING"), F.char_length(F.try_variant_get(v, "$", "string"))).when(kind_is(v, "^(ARRAY|OBJECT)"), members(v))
         return Operand(n.isNotNull(), n.isNotNull(), n.cast("double"), no, none.cast("string"), none.cast("string"))
+    if isinstance(x, Call) and x.name == "count" and isinstance(x.args[0], Query) and (above := all_below(x.args[0])):
+        return Operand(F.lit(True), F.lit(True), members(singular(above, current, root)).cast("double"), no, none.cast("string"), none.cast("string"))
     raise Unsupported(str(x))
 
 
+def members(v: Column) -> Column:
+    """How many children a value has."""
+    return F.coalesce(F.size(elements(v)), F.size(F.map_keys(v.try_cast("map<string,variant>"))), F.lit(0))
+
+
+def all_below(q: Query) -> Query | None:
+    """The singular query whose children q selects, if it is of that kind."""
+    if not q.segments or q.segments[-1].descendant or q.segments[-1].selectors != (Wildcard(),):
+        return None
+    above = Query(q.segments[:-1], q.absolute)
+    return above if above.singular else None
+
+
 def compared(c: Compare, current: Column, root: Column) -> Column:
     if all(isinstance(x, Query) for x in (c.left, c.right)) and c.op in ("==", "!=", "<=", ">="):
         raise Unsupported("comparison of two queries")  # deep equality needs the exact operators
@@ -99,6 +119,17 @@ def compared(c: Compare, current: Column, root: Column) -> Column:
     return {"==": equal, "!=": ~equal, "<": less, "<=": less | equal}[op]
 
 
+def plain_pattern(pattern: str, whole: bool) -> str | None:
+    """The pattern for rlike; Unsupported if backtracking may explode, or if it is beyond the size limit."""
+    try:
+        found = compiled(pattern)
+    except TooComplex:
+        raise Unsupported(pattern[:80]) from None
+    if found is not None and risky(found.node):
+        raise Unsupported(pattern[:80])
+    return java_pattern(pattern, whole)
+
+
 def condition(c, current: Column, root: Column) -> Column:
     match c:
         case Or(terms):
@@ -109,20 +140,24 @@ def condition(c, current: Column, root: Column) -> Column:
             return ~condition(term, current, root)
         case Exists(query) if query.singular:
             return singular(query, current, root).isNotNull()
+        case Exists(query) if (above := all_below(query)) is not None:
+            return members(singular(above, current, root)) > 0
         case Compare():
             return compared(c, current, root)
         case Holds(Call(name, (Query() as text, Literal(pattern)))) if name in ("match", "search") and text.singular:
-            found = java_pattern(pattern, name == "match") if isinstance(pattern, str) else None
+            found = plain_pattern(pattern, name == "match") if isinstance(pattern, str) else None
             v = singular(text, current, root)
             return kind_is(v, "^STRING") & F.coalesce(F.try_variant_get(v, "$", "string").rlike(found), F.lit(False)) if found is not None else F.lit(False)
     raise Unsupported(str(c))
 
 
 def escaped(name: Column) -> Column:
-    """A name as Normalized Paths write it (control characters apart from the named ones don't come up in plain names)."""
+    """A name as Normalized Paths write it."""
     plain = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
     for c, short in (("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         plain = F.replace(plain, F.lit(c), F.lit(short))
+    for c in (*range(8), 11, *range(14, 32)):
+        plain = F.replace(plain, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
     return F.concat(F.lit("['"), plain, F.lit("']"))
 
 
@@ -166,16 +201,41 @@ def slice_places(s: Slice, n: Column) -> Column:
 
 
 def native_nodes(df: DataFrame, doc: str | Column, query: str | Query) -> DataFrame:
-    """df's columns with path, ord (an array that orders a document's nodes) and value (VARIANT) for each node; a text
-    that isn't JSON has no nodes. Raises Unsupported for queries beyond this tier."""
+    """df's columns with path, ord (an array that orders a document's nodes) and value (VARIANT) for each node; these names
+    hide columns of df that have them. A text that VARIANT doesn't take (no JSON, a repeated name, one too large) has no
+    nodes here: `hybrid_nodes` gives those to the exact tier. Raises Unsupported for queries beyond this tier."""
     q = parse(query) if isinstance(query, str) else query
-    own = list(df.columns)
+    own = [c for c in df.columns if c != doc and c not in ("path", "ord", "value")]
     text = F.col(doc) if isinstance(doc, str) else doc
-    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in own if c != doc])
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in own])
     nodes = df.select(row.alias("_row"), F.try_parse_json(text).alias("_root")).select("_row", "_root", F.col("_root").alias("_v"), F.lit("$").alias("_path"), F.array().cast("array<int>").alias("_ord")).where("_v IS NOT NULL")
     for s in q.segments:
         if s.descendant:
             raise Unsupported("..")
         parts = [selected(nodes.withColumn("_ord", F.concat("_ord", F.array(F.lit(k)))) if len(s.selectors) > 1 else nodes, x) for k, x in enumerate(s.selectors)]
         nodes = reduce(DataFrame.unionAll, parts)
-    return nodes.select(*[F.col(f"_row.`{c}`") for c in own if c != doc], F.col("_path").alias("path"), F.col("_ord").alias("ord"), F.col("_v").alias("value"))
+    return nodes.select(*[F.col(f"_row.`{c}`") for c in own], F.col("_path").alias("path"), F.col("_ord").alias("ord"), F.col("_v").alias("value"))
+
+
+# A number that a double may not tell from another one: 16 digits or more, or an exponent.
+INEXACT = r"[0-9][0-9.]{15,}|[0-9][eE][+-]?[0-9]"
+
+
+def hybrid_nodes(df: DataFrame, doc: str, query: str | Query) -> DataFrame:
+    """df's columns with path, kind, sval, nval and error for each node, in no order: as a VARIANT plan where that gives what
+    the exact operators give, and by these for the rest: documents that VARIANT refuses or whose numbers a double may not
+    tell apart, and whole queries that the native tier doesn't cover."""
+    q = parse(query) if isinstance(query, str) else query
+    kept = [c for c in df.columns if c == doc or c not in ("path", "kind", "sval", "nval", "error")]
+    out = [c for c in kept if c != doc] + ["path", "kind", "sval", "nval", "error"]
+    plain = F.try_parse_json(F.col(doc)).isNotNull() & ~F.col(doc).rlike(INEXACT)
+    exact = lambda rows: select_nodes(rows.select(kept), doc, q, json=False).select(out)
+    try:
+        found = native_nodes(df.select(kept).where(plain), doc, q)
+    except Unsupported:
+        return exact(df)
+    v = F.col("value")
+    number = kind_is(v, NUMERIC)
+    kind = F.when(number, "number").when(kind_is(v, "^STRING"), "string").when(kind_is(v, "^OBJECT"), "object").when(kind_is(v, "^ARRAY"), "array").when(kind_is(v, "^VOID"), "null").otherwise(F.to_json(v))
+    native = found.withColumns({"kind": kind, "sval": F.when(kind_is(v, "^STRING"), F.try_variant_get(v, "$", "string")), "nval": F.when(number, F.try_variant_get(v, "$", "double")), "error": F.lit(None).cast("struct<code:string,detail:string>")})
+    return native.select(out).unionAll(exact(df.where(F.col(doc).isNotNull() & ~plain)))

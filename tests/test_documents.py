@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from docquill.functions.registry import DEFAULT, LOGICAL, VALUE, Function
 from docquill.operators import nodes
-from docquill.operators.documents import canonical, count_nodes, merge_documents, nodelist, patch_documents, resolve_pointer, select_nodes, validate, value_of
+from docquill.operators.documents import canonical, count_nodes, decimals, merge_documents, nodelist, patch_documents, pointer_ancestors, resolve_pointer, scan_until, select_nodes, validate, value_of
 from docquill.operators.evaluate import Evaluator, Limits, render
-from docquill.plans.native import Unsupported, native_nodes
+from docquill.plans.native import Unsupported, hybrid_nodes, native_nodes
 from docquill.plans.parser import parse
 from docquill.sources import jsontext, readers
 from tests.test_jsonpath import EXAMPLES
@@ -157,3 +157,69 @@ def test_stream_to_files(spark, tmp_path):
     assert sorted(r["nval"] for r in spark.read.parquet(str(tmp_path / "nodes")).collect()) == [1.0, 2.0]
     assert sorted(str(r["patched"]) for r in spark.read.parquet(str(tmp_path / "patched")).collect()) == ["None", "{}"]
     assert sorted(r["merged"] for r in spark.read.parquet(str(tmp_path / "merged")).collect()) == ['{"b":1}', "{}"]
+
+
+def test_hybrid_agrees_with_exact(docs):
+    """Every document, those that VARIANT refuses among them; a query beyond the native tier goes through the exact one."""
+    for query in ("$.a[*].p", "$.p", "$.a[?@.p > 5]", "$..p", "$.a[?count(@.*) == 2]", "$.*[?@.*]", "$.a[?search(@.s, '(x*)*y|x')].s", "$.a[?@.p == 15.50]"):
+        columns = ("id", "path", "kind", "sval", "nval")
+        exact = sorted((tuple(r[c] for c in columns) + (r["error"] and r["error"]["code"],) for r in select_nodes(docs, "doc", query).collect()), key=str)
+        hybrid = sorted((tuple(r[c] for c in columns) + (r["error"] and r["error"]["code"],) for r in hybrid_nodes(docs, "doc", query).collect()), key=str)
+        assert hybrid == exact, query
+
+
+def test_numbers_that_doubles_confuse_go_through_the_exact_tier(spark):
+    texts = ['{"a":[9007199254740993]}', '{"a":[9007199254740992]}', '{"a":[0.1]}', '{"a":[0.1000000000000000055]}', '{"a":[1e400]}', '{"a":[1e-400,0]}', '{"a":[-0.0]}', '{"a":["0.1"]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, doc string")
+    for query in ("$.a[?@ == 9007199254740992]", "$.a[?@ > 9007199254740992]", "$.a[?@ == 0.1]", "$.a[?@ <= 0]", "$.a[?@ < 1e401]"):
+        assert sorted((r["id"], r["path"]) for r in hybrid_nodes(df, "doc", query).collect()) == sorted((r["id"], r["path"]) for r in select_nodes(df, "doc", query).collect()), query
+
+
+def test_native_hides_clashing_names_and_declines_what_may_explode(spark):
+    df = spark.createDataFrame([(1, '{"a":"x"}', "mine", "mine")], "id long, doc string, path string, value string")
+    assert native_nodes(df, "doc", "$.a").select("id", "path").collect()[0]["path"] == "$['a']"
+    for query in ("$[?match(@, '(a*)*b')]", "$[?match(@, 'a{20000}')]", "$[?@ == 12345678901234567890]"):
+        with pytest.raises(Unsupported):
+            native_nodes(df, "doc", query)
+
+
+def test_control_characters_in_native_paths(spark):
+    df = spark.createDataFrame([(1, '{"\\u0001\\u001f\\u000b\\n":1}')], "id long, doc string")
+    assert [r["path"] for r in native_nodes(df, "doc", "$.*").collect()] == [r["path"] for r in select_nodes(df, "doc", "$.*").collect()]
+
+
+def test_node_table_refuses_its_own_names_and_gives_texts_back(spark):
+    texts = ['{"a":[1.0,{"b":null,"b":"\\u00e9"}],"c":{}}', "[]", '"x"', "-0.0e1", "[[[true,false]]]"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, "[1,"])], "id long, doc string")
+    with pytest.raises(ValueError, match="path"):
+        nodes.shred(df.withColumn("path", F.lit(1)), "doc", ["id", "path"])
+    got = {r["id"]: r["text"] for r in nodes.assembled(nodes.shred(df, "doc", ["id"]), ["id"], "text").collect()}
+    assert got == {k: t.replace("\\u00e9", "\u00e9") for k, t in enumerate(texts)}
+
+
+def test_decimals(spark):
+    texts = ["1.50", "-0.001", "1e2", "12345.6789", "99999999", "1e-3", "0e99", "0.0010", None, "x", "100000", "-99999.999"]
+    got = decimals(spark.createDataFrame([(t,) for t in texts], "num string"), "num", 8, 3).collect()
+    expected = ["1.500", "-0.001", "100.000", None, None, "0.001", "0.000", "0.001", None, None, None, "-99999.999"]
+    assert [None if r["dec"] is None else str(r["dec"]) for r in got] == expected
+    assert [r["error"] and r["error"]["code"] for r in got] == [None] * 3 + ["ValueNotRepresentable"] * 2 + [None] * 4 + ["NotANumber", "ValueNotRepresentable", None]
+
+
+def test_places_in_bytes(spark):
+    texts = [b'{"a":1}', b'{"\xc3\xa9":}', b'["\xff"]', b"[1] 2", None]
+    rows = validate(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, doc binary"), "doc").orderBy("id").collect()
+    assert [(r["valid"], r["error_code"], r["error_offset"], r["error_byte"]) for r in rows] == [(True, None, None, None), (False, "InvalidJson", 5, 6), (False, "InvalidUtf8", None, 2), (False, "TrailingContent", 4, 4), (None, None, None, None)]
+    assert rows[1]["error_expected"]
+
+
+def test_scans_stop_early(spark):
+    df = spark.range(0, 100_000, 1, 50).select(F.concat(F.lit('{"a":['), F.col("id").cast("string"), F.lit(",2]}")).alias("doc"))
+    assert scan_until(df, "doc", "$.a[*]", 5).count() == 5 and scan_until(df.limit(1), "doc", "$.a[*]", 5).count() == 2
+
+
+def test_pointer_ancestors_and_equal_nodes(spark):
+    df = spark.createDataFrame([(1, "/a~1b//0"), (2, "")], "id long, p string")
+    assert sorted((r["id"], r["depth"], r["ancestor"], r["parent"], r["token"]) for r in pointer_ancestors(df, "p").collect()) == [(1, 0, "", None, None), (1, 1, "/a~1b", "", "a/b"), (1, 2, "/a~1b/", "/a~1b", ""), (1, 3, "/a~1b//0", "/a~1b/", "0"), (2, 0, "", None, None)]
+    a = nodes.shred(spark.createDataFrame([(1, "[1.0,null,\"x\"]")], "a long, doc string"), "doc", ["a"])
+    b = nodes.shred(spark.createDataFrame([(7, "[10e-1]"), (8, "[\"x\",null]"), (9, "[true]")], "b long, doc string"), "doc", ["b"])
+    assert sorted(tuple(r) for r in nodes.equal_nodes(a, b, ["a"], ["b"]).collect()) == [(1, 7), (1, 8), (1, 8)]
