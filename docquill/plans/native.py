@@ -114,8 +114,9 @@ def compared(c: Compare, current: Column, root: Column) -> Column:
     if op in (">", ">="):
         a, b, op = b, a, {">": "<", ">=": "<="}[op]
     both = lambda x: F.coalesce(x, F.lit(False))
-    equal = both(~a.exists & ~b.exists) | both(a.is_number & b.is_number & (a.number == b.number)) | both(a.is_text & b.is_text & (a.text == b.text)) | both(a.other == b.other)
-    less = both(a.is_number & b.is_number & (a.number < b.number)) | both(a.is_text & b.is_text & (a.text < b.text))
+    # Kinds are asked last, as they cost more than the values.
+    equal = both(~a.exists & ~b.exists) | both((a.number == b.number) & a.is_number & b.is_number) | both((a.text == b.text) & a.is_text & b.is_text) | both(a.other == b.other)
+    less = both((a.number < b.number) & a.is_number & b.is_number) | both((a.text < b.text) & a.is_text & b.is_text)
     return {"==": equal, "!=": ~equal, "<": less, "<=": less | equal}[op]
 
 
@@ -147,7 +148,7 @@ def condition(c, current: Column, root: Column) -> Column:
         case Holds(Call(name, (Query() as text, Literal(pattern)))) if name in ("match", "search") and text.singular:
             found = plain_pattern(pattern, name == "match") if isinstance(pattern, str) else None
             v = singular(text, current, root)
-            return kind_is(v, "^STRING") & F.coalesce(F.try_variant_get(v, "$", "string").rlike(found), F.lit(False)) if found is not None else F.lit(False)
+            return F.coalesce(F.try_variant_get(v, "$", "string").rlike(found), F.lit(False)) & kind_is(v, "^STRING") if found is not None else F.lit(False)
     raise Unsupported(str(c))
 
 
@@ -202,13 +203,14 @@ def slice_places(s: Slice, n: Column) -> Column:
 
 def native_nodes(df: DataFrame, doc: str | Column, query: str | Query) -> DataFrame:
     """df's columns with path, ord (an array that orders a document's nodes) and value (VARIANT) for each node; these names
-    hide columns of df that have them. A text that VARIANT doesn't take (no JSON, a repeated name, one too large) has no
+    hide columns of df that have them. doc is a text, or a VARIANT that has been read before. A text that VARIANT doesn't take (no JSON, a repeated name, one too large) has no
     nodes here: `hybrid_nodes` gives those to the exact tier. Raises Unsupported for queries beyond this tier."""
     q = parse(query) if isinstance(query, str) else query
     own = [c for c in df.columns if c != doc and c not in ("path", "ord", "value")]
     text = F.col(doc) if isinstance(doc, str) else doc
+    read = df.select(text).schema[0].dataType.typeName() == "variant"
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in own])
-    nodes = df.select(row.alias("_row"), F.try_parse_json(text).alias("_root")).select("_row", "_root", F.col("_root").alias("_v"), F.lit("$").alias("_path"), F.array().cast("array<int>").alias("_ord")).where("_v IS NOT NULL")
+    nodes = df.select(row.alias("_row"), (text if read else F.try_parse_json(text)).alias("_root")).select("_row", "_root", F.col("_root").alias("_v"), F.lit("$").alias("_path"), F.array().cast("array<int>").alias("_ord")).where("_v IS NOT NULL")
     for s in q.segments:
         if s.descendant:
             raise Unsupported("..")
