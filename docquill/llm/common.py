@@ -34,12 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing that was written."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path: lineage is cut, and a lost executor costs nothing that was
+    written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
 
 
 def trimmed() -> None:
@@ -76,10 +81,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(u, v), root being the smallest node reachable.
 
     Alternating large and small stars on aggregates and joins: nothing is gathered per node, so a hub is a skewed
-    join (which AQE splits), not a list in one task. Every round is written to the shared folder.
+    join (which AQE splits), not a list in one task. Every round is written to the shared folder, and the one before deleted.
     """
     canon = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = written(canon, "links")
+    e, path = written_at(canon, "links")
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -87,7 +92,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = written(small.select("x.u", "x.v").where("u <> v").distinct(), "links")
+        e, later = written_at(small.select("x.u", "x.v").where("u <> v").distinct(), "links")
+        removed(edges.sparkSession, path)
+        path = later
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

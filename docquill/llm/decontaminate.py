@@ -5,8 +5,8 @@ texts stream through it: at each word the automaton holds the longest suffix tha
 it lies in an occurrence of a window: `WINDOW` consecutive item words, or a whole item that has fewer.
 
 The items are the only side that is sent out. They are read in blocks of at most `BLOCK_WORDS` words, an automaton
-each (some 600 bytes a word, so 60 MB a block); one block needs no shuffle, more are passed over one after another and
-their hits united, so the size of what is broadcast is bounded whatever the benchmark's size.
+each (some 600 bytes a word, so 60 MB a block); nothing is shuffled. More blocks than `AT_ONCE` are further passes over
+the texts, whose hits are united, so the size of what is broadcast at once is bounded whatever the benchmark's size.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window; repeated items
 count once for each item_id; an empty items table leaves every document clean; further columns are ignored.
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquill.llm.common import table
+from docquill.llm.common import removed, table, trimmed, written_at
 
 WINDOW = 10
-BLOCK_WORDS = 100_000
+BLOCK_WORDS, AT_ONCE = 100_000, 4
 # The upper-to-lower table and the words of the contract.
 UPPER = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -177,12 +177,24 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[li
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """row (every column of docs but text), text, n_words, spans (of words hit, sorted, apart) and items (sorted ids)."""
-    sc = docs.sparkSession.sparkContext
+    """row (every column of docs but text), text, n_words, spans (of words hit, sorted, apart) and items (sorted ids).
+
+    Items of more than `block_words` words are several automata, each broadcast. Up to `AT_ONCE` of them work in one pass over
+    the texts; then the table so far is written, and the automata are given up, so memory doesn't grow with the items."""
+    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    held, path = [], None
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     out = docs.select(row, "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for block in item_blocks(items, block_words):
+        if len(held) == AT_ONCE:
+            out, later = written_at(out, "hits")
+            for old in held:
+                old.destroy()
+            if path:
+                removed(spark, path)
+            held, path = [], later
         shared = sc.broadcast(Automaton(block, window))
+        held.append(shared)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
@@ -196,6 +208,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
                     names.append(sorted({*who, *(automaton.items[k] for k in found)}))
                 found = [pa.array(x, batch.column(k).type) for k, x in ((2, n), (3, spans), (4, names))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], batch.schema.names)
+            trimmed()
 
         out = out.mapInArrow(run, out.schema)
     return out

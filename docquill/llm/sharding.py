@@ -63,14 +63,17 @@ def dealt(sizes: list[int], shards: int) -> list[int]:
 def sharded(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = written(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.xxhash64(text).alias("key")), "sizes")
+    rows = written(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("number")), "sizes")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(ranges, n // RANGE_ROWS)
     splitters = drawn_splitters(rows, total, ranges)
     ranged = rows.withColumn("range", range_of(F.col("key"), splitters))
     mean = max(1.0, total / ranges)
     sums = {r["range"]: r["b"] for r in ranged.groupBy("range").agg(F.sum("size").alias("b")).collect()}
-    heavy = {r["key"]: r["b"] for r in ranged.groupBy("key").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where((F.col("b") > mean) & (F.col("n") > 1)).collect()}
+    keys = ranged.groupBy("key").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where((F.col("b") > mean) & (F.col("n") > 1))
+    heavy = {r["key"]: r["b"] for r in keys.collect()}
+    own = rows.where(F.col("key").isin([]) if not heavy else F.array_contains(constant(sorted(heavy), "bigint"), F.col("key")))
+    ids = {r["key"]: r["ids"] for r in own.groupBy("key").agg(F.approx_count_distinct("doc_id").alias("ids")).collect()}
     # Numbers of pieces: of each range without its heavy keys, then of each heavy key.
     rest = [sums.get(r, 0) for r in range(len(splitters) + 1)]
     for key, b in heavy.items():
@@ -83,7 +86,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -> Data
     place = F.array_position(constant(names, "bigint"), F.col("key")).cast("int")
     group = F.when(place > 0, place - 1 + len(rest)).otherwise(F.col("range"))
     grouped = ranged.withColumn("group", group)
-    spread = F.when(F.col("group") >= len(rest), F.xxhash64("doc_id", F.lit(5))).otherwise(F.xxhash64("key", F.lit(5)))
+    few = constant([int(ids.get(k, 0) < 20 * p) for k, p in zip(names, parts[len(rest) :], strict=True)], "int")
+    by_row = F.coalesce(F.get(few, F.col("group") - len(rest)), F.lit(0)) == 1
+    spread = F.when(by_row, F.xxhash64("number", F.lit(5))).when(F.col("group") >= len(rest), F.xxhash64("doc_id", F.lit(5))).otherwise(F.xxhash64("key", F.lit(5)))
     piece = F.get(constant(offsets, "int"), F.col("group")) + F.pmod(spread, F.get(constant(parts, "int"), F.col("group"))).cast("int")
     pieced = written(grouped.select("doc_id", "size", "text_crc32", "key", piece.alias("piece")), "pieces")
     sizes, counts = [0] * offsets[-1], [0] * offsets[-1]
