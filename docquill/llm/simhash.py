@@ -15,8 +15,8 @@ similarity of `similarity` or more, and a group is a component of these links. F
 the first candidates. But no bound on the bits of a 64-bit fingerprint holds all such pairs (at 0.8 some 10 bits differ),
 so the rest come from prefixes: under any fixed order of shingles, two sets that alike share one of the first
 n - ceil(similarity * n) + 1 of each. Common shingles come last in the order, so few unrelated texts meet. Two bounds that
-never lose a pair leave out most candidates: places and sizes of the sets, then counts by ranges of the hash (`sketch`);
-what is left is compared on whole sets. Within a key, documents first meet one hub, then those of other components, so a
+never lose a pair leave out most candidates: places and sizes of the sets, then bitmaps of ranges of the hash, a short one
+that goes with a node's keys and one for each pair (`sketch`); what is left is compared on whole sets. Within a key, documents first meet one hub, then those of other components, so a
 large group of copies costs no square of its size. Shingles are their XXH64.
 
 doc_ids are longs. `deduplicated` tells rows apart by doc_id and text: rows of one doc_id with unlike texts are documents of
@@ -35,15 +35,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquill.llm.common import LOWER, components, table, trimmed, written
+from docquill.llm.common import LOWER, components, small_batches, table, trimmed, written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 BLOCKS = (13, 13, 13, 13, 12)
 BRUTE = 1024  # fingerprints that a task compares pair by pair
 HOT, SPLITS = 50_000, 4  # fingerprints under one key beyond which the key is split; how often that is needed at most
 # Of similar, none of which touches the result: shingles that a task counts at a time; the count from which a shingle is
-# common, and how many of these are told apart; sets that a task remembers; members of a set for each range of its sketch.
-COUNTED, COMMON, MOST_COMMON, REMEMBERED, PER_RANGE = 1 << 20, 32, 200_000, 1 << 20, 8
+# common, and how many of these are told apart; sets that a task remembers; bits of a sketch for each member, and the power of
+# two of the bits that go with keys.
+COUNTED, COMMON, MOST_COMMON, REMEMBERED, PER_MEMBER, SHORT_BITS = 1 << 20, 32, 200_000, 1 << 20, 2, 9
+SHORT = [f"s{i}" for i in range(1 << SHORT_BITS >> 6)]
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -251,19 +253,30 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     return h[order], c[order]
 
 
+def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
+    """Which of 2^bits equal ranges of the hash have a member, as bytes of 0 and 1."""
+    out = np.zeros(1 << bits, np.uint8)
+    out[(own >> np.uint64(64 - bits)).astype(np.int64)] = 1
+    return out
+
+
 def sketch(own: np.ndarray) -> bytes:
-    """Counts of a set's members (ascending) by equal ranges of the hash, a power of two of them, about `PER_RANGE`
-    members each; 255 stands for that many or more."""
-    bits = max(0, (len(own) // PER_RANGE).bit_length() - 1)
-    at = own >> np.uint64(64 - bits) if bits else np.zeros(len(own), np.uint64)
-    return np.minimum(np.bincount(at.astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    """A bitmap of a set with some `PER_MEMBER` to twice as many bits for each member, packed."""
+    return np.packbits(bitmap(own, max(3, (PER_MEMBER * len(own)).bit_length()))).tobytes()
+
+
+def most_shared(a: bytes, b: bytes, n: int, m: int) -> int:
+    """At most so many members are in both of two sets of n and m members: a range in which only one of them has any has
+    one at least that the other lacks."""
+    x, y = (np.unpackbits(np.frombuffer(z, np.uint8)) for z in (a, b))
+    size = min(len(x), len(y))
+    x, y = (z.reshape(size, -1).max(1).astype(bool) for z in (x, y))
+    return min(n - int((x & ~y).sum()), m - int((y & ~x).sum()))
 
 
-def most_shared(a: bytes, b: bytes) -> int:
-    """At most so many members are in both of two sets with these sketches."""
-    short, long_ = sorted((np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b)), key=len)
-    short, long_ = (np.where(x == 255, 1 << 40, x) for x in (short, long_))
-    return int(np.minimum(short, long_.reshape(len(short), -1).sum(1)).sum())
+def short_bits(own: np.ndarray) -> np.ndarray:
+    """The bitmap of fixed size that goes with a node's keys, as longs."""
+    return np.packbits(bitmap(own, SHORT_BITS), bitorder="little").view("<i8")
 
 
 def alike(shared: Column | np.ndarray | int, a: Column | np.ndarray | int, b: Column | np.ndarray | int, similarity: float):
@@ -271,7 +284,7 @@ def alike(shared: Column | np.ndarray | int, a: Column | np.ndarray | int, b: Co
     return shared >= similarity * (a + b - shared) - 1e-9
 
 
-PREFIX = "doc_id long, text_hash long, node long, n long, fp long, sketch binary, heads array<long>"
+PREFIX = "doc_id long, text_hash long, node long, n long, fp long, sketch binary, short array<long>, heads array<long>"
 
 
 def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -289,7 +302,7 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, n, fps, sketches, heads = [], [], [], [], []
+            nodes, n, fps, sketches, shorts, heads = [], [], [], [], [], []
             for text in batch.column(2):
                 hashes = shingle_hashes(text.as_py(), size)
                 own = distinct(hashes)
@@ -298,11 +311,12 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                 fps.append(signed(majority(hashes)))
                 new = nodes[-1] not in seen
                 sketches.append(sketch(own) if new else None)
+                shorts.append(short_bits(own) if new else None)
                 heads.append(head(own).view(np.int64) if new else None)
                 seen.add(nodes[-1])
                 if len(seen) > REMEMBERED:
                     seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], [x.split()[0] for x in PREFIX.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array(shorts, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))], [x.split()[0] for x in PREFIX.split(", ")])
         trimmed()
 
     return docs.select("doc_id", text_hash(), "text").mapInArrow(run, PREFIX)
@@ -354,15 +368,20 @@ def hub_pairs(own: DataFrame, similarity: float) -> DataFrame:
     return ordered_pairs(own.join(hubs, "key").where("root <> other_root").where(possible(similarity)))
 
 
-def cross_pairs(own: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): nodes of a key whose components differ, as far as their sizes and places allow it. Only the first key that
-    two sets share counts, so keys are left out that follow upon another shared one."""
+def cross_pairs(own: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): nodes of a key whose components differ, as far as sizes, places and short bitmaps allow it. Only the first key
+    that two sets share counts, so keys are left out that follow upon another shared one."""
     mixed = own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    before = F.coalesce(F.lag("key").over(Window.partitionBy("node").orderBy("place")), F.lit(0)).alias("before")
-    left = written(own.join(mixed, "key", "left_semi").select("key", "node", "n", "place", "root", before, F.row_number().over(Window.partitionBy("node").orderBy("place")).alias("turn")), "mixed")
-    right = left.select("key", *[F.col(c).alias(f"other_{c}") for c in ("n", "place", "root", "before", "turn")], F.col("node").alias("other"))
+    order = Window.partitionBy("node").orderBy("place")
+    before, turn = F.coalesce(F.lag("key").over(order), F.lit(0)).alias("before"), F.row_number().over(order).alias("turn")
+    placed = own.join(mixed, "key", "left_semi").select("key", "node", "n", "place", "root", before, turn)
+    short = nodes.select("node", *[F.get("short", F.lit(i)).alias(c) for i, c in enumerate(SHORT)])
+    left = written(placed.join(short, "node"), "mixed")
+    right = left.select("key", *[F.col(c).alias(f"other_{c}") for c in ("n", "place", "root", "before", "turn", *SHORT)], F.col("node").alias("other"))
     first = (F.col("turn") == 1) | (F.col("other_turn") == 1) | (F.col("before") != F.col("other_before"))
-    return ordered_pairs(left.join(right, "key").where("root < other_root").where(first).where(possible(similarity)))
+    lacking = lambda x, y: reduce(Column.__add__, [F.bit_count(F.col(f"{x}{c}").bitwiseAND(F.bitwise_not(F.col(f"{y}{c}")))) for c in SHORT])
+    shared = F.least(F.col("n") - lacking("", "other_"), F.col("other_n") - lacking("other_", ""))
+    return ordered_pairs(left.join(right, "key").where("root < other_root").where(first).where(possible(similarity)).where(alike(shared, F.col("n"), F.col("other_n"), similarity)))
 
 
 def block_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -384,7 +403,7 @@ def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, simi
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(k) for k in range(2, 6)), strict=True)
-            keep = [alike(most_shared(a.as_py(), b.as_py()), n.as_py(), m.as_py(), similarity) for n, m, a, b in rows]
+            keep = [alike(most_shared(a.as_py(), b.as_py(), n.as_py(), m.as_py()), n.as_py(), m.as_py(), similarity) for n, m, a, b in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,13 +426,14 @@ def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, simi
 def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """doc_id, text_hash, component_id (the smallest doc_id of each group of documents linked by similarity), first (whether
     the row is the group's first by doc_id, then text_hash; equal rows alike)."""
+    small_batches(docs.sparkSession)
     rows = written(prefixes(docs, size, similarity), "prefixes")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    least = rows.groupBy("node").agg(F.min(place).alias("x"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.max("sketch").alias("sketch"))
-    nodes = written(least.select("node", F.col("x.doc_id").alias("doc"), "x.text_hash", "n", "fp", "sketch"), "nodes")
+    least = rows.groupBy("node").agg(F.min(place).alias("x"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.max("sketch").alias("sketch"), F.max("short").alias("short"))
+    nodes = written(least.select("node", F.col("x.doc_id").alias("doc"), "x.text_hash", "n", "fp", "sketch", "short"), "nodes")
     met = written(met_keys(rows), "met")
     found, roots = None, None
-    for candidates in (lambda own: block_pairs(rows, nodes), lambda own: hub_pairs(own, similarity), lambda own: cross_pairs(own, similarity)):
+    for candidates in (lambda own: block_pairs(rows, nodes), lambda own: hub_pairs(own, similarity), lambda own: cross_pairs(own, nodes, similarity)):
         own = met if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         more = checked(candidates(own), docs, nodes, size, similarity)
         found = written(more if found is None else found.unionByName(more), "similar")

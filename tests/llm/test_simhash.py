@@ -168,6 +168,8 @@ def test_sketches_bound_what_sets_share():
         pool = rng.integers(0, 1 << 63, rng.integers(1, 4000), dtype=np.uint64) * np.uint64(2)
         a, b = (np.unique(rng.choice(pool, rng.integers(1, len(pool) + 1), replace=False)) for _ in range(2))
         shared = len(np.intersect1d(a, b))
-        assert shared <= simhash.most_shared(simhash.sketch(a), simhash.sketch(b)) <= min(len(a), len(b)) or 255 in simhash.sketch(a) + simhash.sketch(b)
+        assert shared <= simhash.most_shared(simhash.sketch(a), simhash.sketch(b), len(a), len(b)) <= min(len(a), len(b))
     same = np.arange(3000, dtype=np.uint64)  # all in one range
-    assert simhash.most_shared(simhash.sketch(same), simhash.sketch(same)) >= 3000
+    assert simhash.most_shared(simhash.sketch(same), simhash.sketch(same), 3000, 3000) == 3000
+    apart = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    assert simhash.most_shared(simhash.sketch(apart[:2000]), simhash.sketch(apart[1000:]), 2000, 2000) < 1500
