@@ -7,8 +7,9 @@ share it. The bytes that are pending and those parts at the right edge of the la
 with them decide everything that follows, so this pair is the state: transitions are worked out when first met and kept, which determinises the machine as far as texts need it. The
 pending bytes (the lookahead) never exceed a few token lengths.
 
-Each match of the split pattern is encoded on its own. Results of whole matches are kept as packed ids; both tables
-are bounded (`STATES`, `PIECES`) and simply start afresh when full, so memory stays flat whatever the texts are.
+Each match of the split pattern is encoded on its own. Results of whole matches are kept as packed ids, in two generations
+of `PIECES`; the machine has `STATES` states and starts afresh when full. So a task's tables stay within some 100 MB
+whatever the texts are.
 
 Defined results: a null text is an empty one, with no tokens; very long matches (a megabyte of one letter) take time in
 proportion; rows are independent, so ties, repeated rows and further columns change nothing.
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquill.llm.common import table
+from docquill.llm.common import small_batches, table, trimmed
 
-STATES, PIECES, ROWS = 150_000, 300_000, 256
+STATES, PIECES, ROWS = 80_000, 120_000, 256
 
 Edge = tuple[tuple[bytes, int, int], ...]
 
@@ -195,13 +196,17 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int = PIECES, states: int = STATES) -> None:
         super().__init__()
         self.machine, self.split, self.limit = Transducer(ranks, states), regex.compile(pattern).findall, pieces
+        self.old: dict[str, bytes] = {}  # the generation before, whose members come back when asked for
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self.machine.encode(piece.encode("utf-8", "replace"))
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.old.pop(piece, None)
+        if out is None:
+            ids = self.machine.encode(piece.encode("utf-8", "replace"))
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) < 100:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
             self[piece] = out
         return out
 
@@ -297,9 +302,13 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) -
                 yield pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(1)] if keep else []), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sha), pa.array(same)], [f.name for f in schema.fields])
         finally:
             gc.enable()
+            coder.clear()
+            del coder, stream, ranks
+            trimmed()
 
     found = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("same", T.BooleanType())]
     schema = T.StructType([src.schema["row"], *([T.StructField("text", T.StringType())] if keep else []), *found])
+    small_batches(docs.sparkSession)
     return src.mapInArrow(run, schema)
 
 

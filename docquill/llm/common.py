@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of whole texts of `rows` rows instead of Spark's 10,000, unless the session has a size of its own: a
+    batch of long texts is held several times over by the executor and its Python worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, and its path: lineage is cut, and a lost executor costs nothing that was
     written."""

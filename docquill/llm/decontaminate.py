@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquill.llm.common import removed, table, trimmed, written_at
+from docquill.llm.common import removed, small_batches, table, trimmed, written_at
 
 WINDOW = 10
 BLOCK_WORDS, AT_ONCE = 100_000, 4
@@ -176,16 +176,22 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[li
     yield block
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, result: T.StructType | None = None) -> DataFrame:
     """row (every column of docs but text), text, n_words, spans (of words hit, sorted, apart) and items (sorted ids).
 
     Items of more than `block_words` words are several automata, each broadcast. Up to `AT_ONCE` of them work in one pass over
-    the texts; then the table so far is written, and the automata are given up, so memory doesn't grow with the items."""
+    the texts; then the table so far is written, and the automata are given up, so memory doesn't grow with the items.
+    then: turns each batch of the last pass into one of `result` (fields after row), within the same Python worker."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    small_batches(spark)
     held, path = [], None
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     out = docs.select(row, "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for block in item_blocks(items, block_words):
+    blocks = item_blocks(items, block_words)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        last = then if following is None else None
         if len(held) == AT_ONCE:
             out, later = written_at(out, "hits")
             for old in held:
@@ -196,7 +202,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
         shared = sc.broadcast(Automaton(block, window))
         held.append(shared)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
             for batch in batches:
                 n, spans, names = [], [], []
@@ -207,10 +213,12 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
                     spans.append([{"a": a, "b": b} for a, b in united(got + [(x["a"], x["b"]) for x in had])])
                     names.append(sorted({*who, *(automaton.items[k] for k in found)}))
                 found = [pa.array(x, batch.column(k).type) for k, x in ((2, n), (3, spans), (4, names))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], batch.schema.names)
+                whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], batch.schema.names)
+                yield last(whole) if last else whole
             trimmed()
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(run, T.StructType([out.schema["row"], *result.fields]) if last else out.schema)
+        block = following
     return out
 
 
@@ -241,19 +249,16 @@ def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 def decontaminated(docs: DataFrame, items: DataFrame, max_words: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """docs with the spans of max_words hit words or more (or short whole items) cut from the text; a document of which
     more than max_coverage of the words is hit goes. Every column of docs stays."""
-    found = hits(docs, items, max_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [[(x["a"], x["b"]) for x in s] for s in batch.column(3).to_pylist()]
-            text = [cut(t, s) for t, s in zip(batch.column(1).to_pylist(), spans, strict=True)]
-            gone = [sum(b - a for a, b in s) > max_coverage * n for s, n in zip(spans, batch.column(2).to_pylist(), strict=True)]
-            kept = pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["row", "text"])
-            yield kept.filter(pa.array([not x for x in gone], pa.bool_()))
-
-    schema = T.StructType([found.schema["row"], T.StructField("text", T.StringType())])
-    cleaned = found.mapInArrow(run, schema)
-    return cleaned.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+    def cleaned(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [[(x["a"], x["b"]) for x in s] for s in batch.column(3).to_pylist()]
+        text = [cut(t, s) for t, s in zip(batch.column(1).to_pylist(), spans, strict=True)]
+        gone = [sum(b - a for a, b in s) > max_coverage * n for s, n in zip(spans, batch.column(2).to_pylist(), strict=True)]
+        kept = pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["row", "text"])
+        return kept.filter(pa.array([not x for x in gone], pa.bool_()))
+
+    found = hits(docs, items, max_words, then=cleaned, result=T.StructType([T.StructField("text", T.StringType())]))
+    return found.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

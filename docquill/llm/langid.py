@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquill.llm.common import chosen, table, trimmed
+from docquill.llm.common import chosen, small_batches, table, trimmed
 
 WINDOW, HIDDEN, STACK, PORTION = 128, 8, 4096, 8_000_000
 TRAIN_ROWS, STEPS, BATCH, RATE, SEED = 4000, 240, 192, 0.03, 7
@@ -230,6 +230,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["row", "text", "lang_pred", "score"])
         trimmed()
 
+    small_batches(docs.sparkSession)
     return src.mapInArrow(run, schema)
 
 
