@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from docquill.llm import simhash
@@ -173,3 +174,14 @@ def test_sketches_bound_what_sets_share():
     assert simhash.most_shared(simhash.sketch(same), simhash.sketch(same), 3000, 3000) == 3000
     apart = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
     assert simhash.most_shared(simhash.sketch(apart[:2000]), simhash.sketch(apart[1000:]), 2000, 2000) < 1500
+
+
+def test_the_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    from docquill.llm import common
+
+    nothing = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: nothing)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
