@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docquill.functions.registry import DEFAULT, LOGICAL, NODES, VALUE, Function
 from docquill.operators import nodes
+from docquill.operators.agreement import agreement
 from docquill.operators.documents import canonical, count_nodes, decimals, merge_documents, nodelist, patch_documents, pointer_ancestors, resolve_pointer, select_nodes, validate, value_of
 from docquill.operators.evaluate import Limits
 from docquill.plans.native import hybrid_nodes, native_nodes
@@ -532,3 +533,12 @@ def stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     running = found.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.table(name)
+
+
+TIERS = {"$[*].k": True, "$.items[?@.qty > 10 || @.flag == 'R'].price": True, "$..qty": False, "$.items[?@.part == $.key]": False, "$.items[?count(@.*) == 6 && @.n != 1]": True, "$.items[?search(@.flag, '[NR]+x*')]": True, "$.items[?search(@.flag, '(N|R)+x*')]": False}
+
+
+@query(" UNION ALL ".join(f"SELECT '{q.replace(chr(39), chr(39) * 2)}' AS query, {str(covered).lower()} AS native, CAST(0 AS BIGINT) AS n" for q, covered in TIERS.items()))
+def tier_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that only one of the exact and the hybrid tier finds, by query: none."""
+    return agreement(order_docs(spark, sf_dir), ["key"], "doc", [*TIERS])
