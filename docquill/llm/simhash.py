@@ -41,10 +41,10 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 BLOCKS = (13, 13, 13, 13, 12)
 BRUTE = 1024  # fingerprints that a task compares pair by pair
 HOT, SPLITS = 50_000, 4  # fingerprints under one key beyond which the key is split; how often that is needed at most
-# Of similar, none of which touches the result: shingles that a task counts at a time; the count from which a shingle is
+# Of similar, none of which touches the result: turns against hubs; shingles that a task counts at a time; the count from which a shingle is
 # common, and how many of these are told apart; sets that a task remembers; bits of a sketch for each member, and the power of
 # two of the bits that go with keys.
-COUNTED, COMMON, MOST_COMMON, REMEMBERED, PER_MEMBER, SHORT_BITS = 1 << 20, 32, 200_000, 1 << 20, 2, 9
+HUBS, COUNTED, COMMON, MOST_COMMON, REMEMBERED, PER_MEMBER, SHORT_BITS = 3, 1 << 20, 32, 200_000, 1 << 20, 2, 9
 SHORT = [f"s{i}" for i in range(1 << SHORT_BITS >> 6)]
 
 
@@ -361,9 +361,10 @@ def ordered_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
 
-def hub_pairs(own: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): nodes and the hub of a key of theirs, where components differ. own: key, node, n, place, root."""
-    hub = F.min(F.struct(F.xxhash64("node"), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("place").alias("other_place"), F.col("root").alias("other_root"))).alias("x")
+def hub_pairs(own: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(u, v): nodes and the hub of a key of theirs, another one each turn, where components differ. own: key, node, n, place,
+    root."""
+    hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("place").alias("other_place"), F.col("root").alias("other_root"))).alias("x")
     hubs = own.groupBy("key").agg(hub, (F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key", "x.other", "x.other_n", "x.other_place", "x.other_root")
     return ordered_pairs(own.join(hubs, "key").where("root <> other_root").where(possible(similarity)))
 
@@ -433,7 +434,8 @@ def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     nodes = written(least.select("node", F.col("x.doc_id").alias("doc"), "x.text_hash", "n", "fp", "sketch", "short"), "nodes")
     met = written(met_keys(rows), "met")
     found, roots = None, None
-    for candidates in (lambda own: block_pairs(rows, nodes), lambda own: hub_pairs(own, similarity), lambda own: cross_pairs(own, nodes, similarity)):
+    hubs = [lambda own, turn=turn: hub_pairs(own, turn, similarity) for turn in range(HUBS)]
+    for candidates in (lambda own: block_pairs(rows, nodes), *hubs, lambda own: cross_pairs(own, nodes, similarity)):
         own = met if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         more = checked(candidates(own), docs, nodes, size, similarity)
         found = written(more if found is None else found.unionByName(more), "similar")
