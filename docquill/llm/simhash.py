@@ -16,8 +16,8 @@ the first candidates. But no bound on the bits of a 64-bit fingerprint holds all
 so the rest come from prefixes: under any fixed order of shingles, two sets that alike share one of the first
 n - ceil(similarity * n) + 1 of each. Common shingles come last in the order, so few unrelated texts meet. Two bounds that
 never lose a pair leave out most candidates: places and sizes of the sets, then bitmaps of ranges of the hash, a short one
-that goes with a node's keys and one for each pair (`sketch`); what is left is compared on whole sets. Within a key, documents first meet one hub, then those of other components, so a
-large group of copies costs no square of its size. Shingles are their XXH64.
+that goes with a node's keys and one for each pair (`sketch`); what is left is compared on whole sets. Within a key, documents first meet a
+few others in turns, then those of other components, so a large group of near copies is linked before it is compared in pairs. Shingles are their XXH64.
 
 doc_ids are longs. `deduplicated` tells rows apart by doc_id and text: rows of one doc_id with unlike texts are documents of
 their own, equal rows are one.
@@ -41,10 +41,10 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 BLOCKS = (13, 13, 13, 13, 12)
 BRUTE = 1024  # fingerprints that a task compares pair by pair
 HOT, SPLITS = 50_000, 4  # fingerprints under one key beyond which the key is split; how often that is needed at most
-# Of similar, none of which touches the result: turns against hubs; shingles that a task counts at a time; the count from which a shingle is
+# Of similar, none of which touches the result: turns in which a node meets a few others, and how many; shingles that a task counts at a time; the count from which a shingle is
 # common, and how many of these are told apart; sets that a task remembers; bits of a sketch for each member, and the power of
 # two of the bits that go with keys.
-HUBS, COUNTED, COMMON, MOST_COMMON, REMEMBERED, PER_MEMBER, SHORT_BITS = 3, 1 << 20, 32, 200_000, 1 << 20, 2, 9
+RINGS, NEAR, COUNTED, COMMON, MOST_COMMON, REMEMBERED, PER_MEMBER, SHORT_BITS = 3, 16, 1 << 20, 32, 200_000, 1 << 20, 2, 9
 SHORT = [f"s{i}" for i in range(1 << SHORT_BITS >> 6)]
 
 
@@ -361,12 +361,31 @@ def ordered_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
 
-def hub_pairs(own: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(u, v): nodes and the hub of a key of theirs, another one each turn, where components differ. own: key, node, n, place,
-    root."""
-    hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("place").alias("other_place"), F.col("root").alias("other_root"))).alias("x")
-    hubs = own.groupBy("key").agg(hub, (F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key", "x.other", "x.other_n", "x.other_place", "x.other_root")
-    return ordered_pairs(own.join(hubs, "key").where("root <> other_root").where(possible(similarity)))
+def ring_pairs(own: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(u, v): nodes and up to `NEAR` before them in one key of theirs, where components differ and sizes allow it. Keys with many
+    nodes are preferred, and a turn prefers the same ones for all nodes; the order within a key changes with the turn as well.
+    However large a key is, a node has so many pairs. own: key, node, n, place, root, c (nodes of the key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((4, 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])], axis=1)
+            first = held.shape[1]
+            for back in range(1, min(NEAR, rows.shape[1] - 1) + 1):
+                at = np.arange(max(first, back), rows.shape[1])
+                key, node, n, root = rows[:, at]
+                other_key, other, other_n, other_root = rows[:, at - back]
+                keep = (key == other_key) & (root != other_root) & alike(np.minimum(n, other_n), n, other_n, similarity)
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node, other)[keep]), pa.array(np.maximum(node, other)[keep])], ["u", "v"])
+            held = rows[:, -NEAR:]
+
+    drawn = F.col("c") * F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 20))
+    chosen = own.groupBy("node").agg(F.max(F.struct(drawn.alias("drawn"), "key", "n", "root")).alias("x")).select("x.key", "node", "x.n", "x.root")
+    dealt = chosen.repartition("key").sortWithinPartitions("key", F.xxhash64("node", F.lit(turn))).select("key", "node", "n", "root")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def cross_pairs(own: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -432,10 +451,11 @@ def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     least = rows.groupBy("node").agg(F.min(place).alias("x"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.max("sketch").alias("sketch"), F.max("short").alias("short"))
     nodes = written(least.select("node", F.col("x.doc_id").alias("doc"), "x.text_hash", "n", "fp", "sketch", "short"), "nodes")
-    met = written(met_keys(rows), "met")
+    met = written(met_keys(rows), "keys")
+    met = written(met.join(met.groupBy("key").agg(F.count("*").alias("c")), "key"), "met")
     found, roots = None, None
-    hubs = [lambda own, turn=turn: hub_pairs(own, turn, similarity) for turn in range(HUBS)]
-    for candidates in (lambda own: block_pairs(rows, nodes), *hubs, lambda own: cross_pairs(own, nodes, similarity)):
+    rings = [lambda own, turn=turn: ring_pairs(own, turn, similarity) for turn in range(RINGS)]
+    for candidates in (lambda own: block_pairs(rows, nodes), *rings, lambda own: cross_pairs(own, nodes, similarity)):
         own = met if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         more = checked(candidates(own), docs, nodes, size, similarity)
         found = written(more if found is None else found.unionByName(more), "similar")

@@ -185,3 +185,15 @@ def test_the_shared_folder_must_be_set_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: nothing)))
     with pytest.raises(RuntimeError, match="checkpoint"):
         common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_a_turn_gives_each_node_of_a_large_key_several_partners(spark):
+    """Of a large key a node meets a bounded number of nodes, not one hub that all share, and others each turn."""
+    n = 300
+    own = spark.createDataFrame([(7, k, 100, 0, k % 290, n) for k in range(n)] + [(8, 5, 100, 1, 5, 2), (8, 1000, 500, 0, 1000, 2)], "key long, node long, n long, place long, root long, c long")
+    turns = [{(r["u"], r["v"]) for r in simhash.ring_pairs(own, turn, 0.8).collect()} for turn in range(2)]
+    for pairs in turns:
+        met = [sum(k in p for p in pairs) for k in range(n)]
+        assert simhash.NEAR - 1 <= min(met) and max(met) <= 2 * simhash.NEAR and len(pairs) <= simhash.NEAR * n
+        assert all(u < v < n and u % 290 != v % 290 for u, v in pairs)
+    assert len(turns[0] & turns[1]) < len(turns[0]) // 2
