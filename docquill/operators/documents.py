@@ -97,6 +97,31 @@ def select_nodes(df: DataFrame, doc: str | Column, query: str | Query, registry:
     return mapped(df, [column(df, doc)], NODE, rows)
 
 
+def select_each(df: DataFrame, doc: str | Column, queries: list[str | Query], registry: Registry = DEFAULT, limits: Limits = Limits()) -> DataFrame:
+    """The nodes of several queries, each text being parsed once: q (the query's place in the list), path, kind, sval, nval. A
+    document that fails has a row with its error for each query that it fails."""
+    runs = [Evaluator(as_query(q, registry), registry, limits) for q in queries]
+
+    def rows(text: str | None) -> Iterator[tuple]:
+        if text is None:
+            return
+        try:
+            root = jsontext.parse(text)
+        except JsonError as e:
+            yield from ((k, None, None, None, None, failure(e)) for k in range(len(runs)))
+            return
+        for k, run in enumerate(runs):
+            try:
+                nodes = run(root)
+            except EvaluationError as e:
+                yield k, None, None, None, None, failure(e)
+                continue
+            for v, p in nodes:
+                yield k, render(p), jsontext.kind(v), v if isinstance(v, str) else None, number(v), None
+
+    return mapped(df, [column(df, doc)], f"q int, path string, kind string, sval string, nval double, {ERROR}", rows)
+
+
 def nodelist(df: DataFrame, doc: str | Column, query: str | Query, name: str = "nodes", registry: Registry = DEFAULT, limits: Limits = Limits()) -> DataFrame:
     """df with the nodelist of each document as an array of (path, kind, json), and error."""
     run = Evaluator(as_query(query, registry), registry, limits)

@@ -223,6 +223,27 @@ def native_nodes(df: DataFrame, doc: str | Column, query: str | Query) -> DataFr
 INEXACT = r"[0-9][0-9.]{15,}|[0-9][eE][+-]?[0-9]"
 
 
+def plain(doc: str) -> Column:
+    """Whether the native tier takes a document: VARIANT reads it, and a double tells its numbers apart."""
+    return F.try_parse_json(F.col(doc)).isNotNull() & ~F.col(doc).rlike(INEXACT)
+
+
+def native_part(df: DataFrame, doc: str, query: str | Query) -> DataFrame:
+    """What `hybrid_nodes` has of the native tier: the nodes of plain documents. Raises Unsupported."""
+    kept = [c for c in df.columns if c == doc or c not in ("path", "kind", "sval", "nval", "error")]
+    out = [c for c in kept if c != doc] + ["path", "kind", "sval", "nval", "error"]
+    found = native_nodes(df.select(kept).where(plain(doc)), doc, query)
+    v = F.col("value")
+    number = kind_is(v, NUMERIC)
+    kind = F.when(number, "number").when(kind_is(v, "^STRING"), "string").when(kind_is(v, "^OBJECT"), "object").when(kind_is(v, "^ARRAY"), "array").when(kind_is(v, "^VOID"), "null").otherwise(F.to_json(v))
+    return found.withColumns({"kind": kind, "sval": F.when(kind_is(v, "^STRING"), F.try_variant_get(v, "$", "string")), "nval": F.when(number, F.try_variant_get(v, "$", "double")), "error": F.lit(None).cast("struct<code:string,detail:string>")}).select(out)
+
+
+def exact_part(df: DataFrame, doc: str) -> DataFrame:
+    """The documents that `hybrid_nodes` gives to the exact tier, for queries that the native tier covers."""
+    return df.where(F.col(doc).isNotNull() & ~plain(doc))
+
+
 def hybrid_nodes(df: DataFrame, doc: str, query: str | Query) -> DataFrame:
     """df's columns with path, kind, sval, nval and error for each node, in no order: as a VARIANT plan where that gives what
     the exact operators give, and by these for the rest: documents that VARIANT refuses or whose numbers a double may not
@@ -230,14 +251,9 @@ def hybrid_nodes(df: DataFrame, doc: str, query: str | Query) -> DataFrame:
     q = parse(query) if isinstance(query, str) else query
     kept = [c for c in df.columns if c == doc or c not in ("path", "kind", "sval", "nval", "error")]
     out = [c for c in kept if c != doc] + ["path", "kind", "sval", "nval", "error"]
-    plain = F.try_parse_json(F.col(doc)).isNotNull() & ~F.col(doc).rlike(INEXACT)
     exact = lambda rows: select_nodes(rows.select(kept), doc, q, json=False).select(out)
     try:
-        found = native_nodes(df.select(kept).where(plain), doc, q)
+        native = native_part(df, doc, q)
     except Unsupported:
         return exact(df)
-    v = F.col("value")
-    number = kind_is(v, NUMERIC)
-    kind = F.when(number, "number").when(kind_is(v, "^STRING"), "string").when(kind_is(v, "^OBJECT"), "object").when(kind_is(v, "^ARRAY"), "array").when(kind_is(v, "^VOID"), "null").otherwise(F.to_json(v))
-    native = found.withColumns({"kind": kind, "sval": F.when(kind_is(v, "^STRING"), F.try_variant_get(v, "$", "string")), "nval": F.when(number, F.try_variant_get(v, "$", "double")), "error": F.lit(None).cast("struct<code:string,detail:string>")})
-    return native.select(out).unionAll(exact(df.where(F.col(doc).isNotNull() & ~plain)))
+    return native.unionAll(exact(exact_part(df, doc)))

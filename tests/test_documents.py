@@ -223,3 +223,17 @@ def test_pointer_ancestors_and_equal_nodes(spark):
     a = nodes.shred(spark.createDataFrame([(1, "[1.0,null,\"x\"]")], "a long, doc string"), "doc", ["a"])
     b = nodes.shred(spark.createDataFrame([(7, "[10e-1]"), (8, "[\"x\",null]"), (9, "[true]")], "b long, doc string"), "doc", ["b"])
     assert sorted(tuple(r) for r in nodes.equal_nodes(a, b, ["a"], ["b"]).collect()) == [(1, 7), (1, 8), (1, 8)]
+
+
+def test_agreement_reads_each_document_once_and_counts_what_is_left_over(spark, monkeypatch):
+    from docquill.operators import agreement as tiers
+
+    texts = ['{"a":[1,2.5,"x"]}', '{"a":[1e0,12345678901234567890]}', '{"a":1,"a":[2]}', '{"a":[', None, '{"b":null}', '{"a":[1,2.5,"x"]}']
+    df = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "key int, doc string")  # ids repeat
+    queries = ["$.a[*]", "$..a", "$.a[?@ > 1]"]
+    got = tiers.agreement(df, ["key"], "doc", queries)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
+    assert [tuple(r) for r in got.collect()] == [("$.a[*]", True, 0), ("$..a", False, 0), ("$.a[?@ > 1]", True, 0)]
+    own = tiers.native_part
+    monkeypatch.setattr(tiers, "native_part", lambda df, doc, q: own(df, doc, q).where("kind <> 'string'") if q == "$.a[*]" else own(df, doc, q).unionAll(own(df, doc, q)))
+    assert [r["n"] for r in tiers.agreement(df, ["key"], "doc", ["$.a[*]", "$.a[?@ > 1]"]).collect()] == [2, 2]
