@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from docquill.llm.common import small_batches, table, trimmed
 
 STATES, PIECES, ROWS = 80_000, 120_000, 256
+NO_MOVES: dict = {}  # of states that no text has left yet; never written to
 
 Edge = tuple[tuple[bytes, int, int], ...]
 
@@ -49,27 +50,43 @@ class Transducer:
         self.ranks, self.limit = ranks, states
         self.tokens = {i: t for t, i in ranks.items()}
         self.opens = {t[:n] for t in ranks for n in range(1, len(t))}  # starts of longer tokens
+        self.known = {t: -1 for t in self.opens} | {t: i for t, i in ranks.items()}  # tokens' ranks, and -1 for what is only a start
         self.spines: dict[int, tuple[Edge, Edge] | None] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[tuple[Edge, bytes], int] = {}
-        self.state: list[tuple[Edge, bytes]] = []
+        self.edges: list[Edge] = []  # states and tables have the numbers of edges, as tuples of tuples are slow keys
+        self.edge_number: dict[Edge, int] = {}
+        self.right: dict[int, int] = {}  # the number of a token's right edge
+        self.number: dict[tuple[int, bytes], int] = {}
+        self.state: list[tuple[int, bytes]] = []
         self.chain: list[tuple[tuple[int, int] | None, ...]] = []  # by state: for each pending boundary, (token that ends there, boundary before)
         self.open: list[tuple[int, ...]] = []  # by state: boundaries from which the pending bytes start a longer token
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
         self.last: list[tuple[int, ...] | None] = []
-        self.stable: dict[tuple[Edge, int], bool] = {}
-        self.enter((), b"", ((-1, -1),), ())
+        self.stable: dict[int, bool] = {}
+        self.enter(self.numbered(()), b"", ((-1, -1),), ())
 
-    def enter(self, edge: Edge, pending: bytes, chain: tuple[tuple[int, int] | None, ...], open_: tuple[int, ...]) -> int:
+    def numbered(self, edge: Edge) -> int:
+        at = self.edge_number.setdefault(edge, len(self.edges))
+        if at == len(self.edges):
+            self.edges.append(edge)
+        return at
+
+    def right_of(self, token: int) -> int:
+        at = self.right.get(token)
+        if at is None:
+            at = self.right[token] = self.numbered(self.spine(token)[1])
+        return at
+
+    def enter(self, edge: int, pending: bytes, chain: tuple[tuple[int, int] | None, ...], open_: tuple[int, ...]) -> int:
         key = (edge, pending)
         at = self.number.setdefault(key, len(self.state))
         if at == len(self.state):
             self.state.append(key)
             self.chain.append(chain)
             self.open.append(open_)
-            self.moves.append({})
+            self.moves.append(NO_MOVES)
             self.last.append(None)
         return at
 
@@ -101,62 +118,82 @@ class Transducer:
     def fits(self, edge: Edge, token: int) -> bool:
         """Whether the token may follow one with that right edge: no merge across the border comes before the parts at
         it are used up. Among equal ranks the leftmost merge is first, so one before the border wins, one after loses."""
-        ok = self.stable.get((edge, token))
-        if ok is None:
-            own, rank = self.spine(token), self.ranks.get
-            ok = own is not None and not any((r := rank(x + y)) is not None and came_x < r < gone_x and came_y < r <= gone_y for x, came_x, gone_x in edge for y, came_y, gone_y in own[0])
-            self.stable[edge, token] = ok
-        return ok
-
-    def narrowed(self, edge: Edge, pending: bytes) -> Edge:
+        own, rank = self.spine(token), self.ranks.get
+        if own is None:
+            return False
+        for x, came_x, gone_x in edge:
+            for y, came_y, gone_y in own[0]:
+                r = rank(x + y)
+                if r is not None and came_x < r < gone_x and came_y < r <= gone_y:
+                    return False
+        return True
+
+    def narrowed(self, edge: int, pending: bytes) -> int:
         """The parts of the edge that can still merge with what follows: those that with the pending bytes start a
         token, or with some of them are one that comes in time."""
-        if not edge or not pending:
+        parts = self.edges[edge]
+        if not parts or not pending:
             return edge
-        rank, opens, kept = self.ranks.get, self.opens, []
-        for part in edge:
+        known, rank, opens, kept = self.known, self.ranks.get, self.opens, []
+        for part in parts:
             x, came, gone = part
-            if x + pending[:1] not in opens and x + pending[:1] not in self.ranks:
+            if x + pending[:1] not in known:
                 continue
             if x + pending in opens or any((r := rank(x + pending[:n])) is not None and came < r < gone for n in range(1, len(pending) + 1)):
                 kept.append(part)
-        return edge if len(kept) == len(edge) else tuple(kept)
+        return edge if len(kept) == len(parts) else self.numbered(tuple(kept))
 
     def move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
         edge, pending = self.state[at]
         pending += bytes((byte,))
         chain, end, found, open_ = self.chain[at], len(pending), None, []
+        known, opens, stable = self.known.get, self.opens, self.stable
         for j in (*self.open[at], end - 1):
             tail = pending[j:]
-            if found is None:
-                t = self.ranks.get(tail)
-                if t is not None and self.fits(self.spine(chain[j][0])[1] if j else edge, t):
+            t = known(tail)
+            if t is None:
+                continue
+            if found is None and t >= 0:
+                left = self.right_of(chain[j][0]) if j else edge
+                key = left << 32 | t
+                ok = stable.get(key)
+                if ok is None:
+                    ok = stable[key] = self.fits(self.edges[left], t)
+                if ok:
                     found = (t, j)
-            if tail in self.opens:
+            if tail in opens:
                 open_.append(j)
         if found is None:
             raise ValueError("the ranks don't cover every byte")
         chain = (*chain, found)
         cut = end
         if open_:
-            heads = {end, *open_}
-            while len(heads) > 1:  # the last boundary that all hypotheses share
-                top = max(heads)
-                heads.remove(top)
-                heads.add(chain[top][1])
-            cut = heads.pop()
-        out, j = [], cut
-        while j > 0:
-            out.append(chain[j][0])
-            j = chain[j][1]
-        out.reverse()
+            cut = open_[0]  # the last boundary that all hypotheses share: the start, if that is open
+            if cut:
+                heads = {end, *open_}
+                while len(heads) > 1:
+                    top = max(heads)
+                    heads.remove(top)
+                    heads.add(chain[top][1])
+                cut = heads.pop()
         if cut:
-            edge, pending = self.spine(out[-1])[1], pending[cut:]
+            out, j = [], cut
+            while j > 0:
+                t, j = chain[j]
+                out.append(t)
+            out.reverse()
+            edge, pending = self.right_of(out[-1]), pending[cut:]
             chain = ((-1, -1), *[(c[0], c[1] - cut) if c and c[1] >= cut else None for c in chain[cut + 1 :]])
             open_ = [j - cut for j in open_]
-        to = self.enter(self.narrowed(edge, pending), pending, chain, tuple(open_))
-        self.moves[at][byte] = (to, tuple(out))
-        return self.moves[at][byte]
+            got = tuple(out)
+        else:
+            got = ()
+        got = (self.enter(self.narrowed(edge, pending), pending, chain, tuple(open_)), got)
+        if self.moves[at] is NO_MOVES:
+            self.moves[at] = {byte: got}
+        else:
+            self.moves[at][byte] = got
+        return got
 
     def rest(self, at: int) -> tuple[int, ...]:
         """What is emitted if the text ends in this state."""
@@ -178,10 +215,11 @@ class Transducer:
             if got is None:
                 got = self.move(at, byte)
                 if len(self.state) > 2 * self.limit:  # within one very long match
-                    to = (*self.state[got[0]], self.chain[got[0]], self.open[got[0]])
+                    edge, pending = self.state[got[0]]
+                    parts, chain, open_ = self.edges[edge], self.chain[got[0]], self.open[got[0]]
                     self.clear()
                     moves = self.moves
-                    got = (self.enter(*to), got[1])
+                    got = (self.enter(self.numbered(parts), pending, chain, open_), got[1])
             at = got[0]
             if got[1]:
                 out += got[1]

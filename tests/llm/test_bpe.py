@@ -66,3 +66,13 @@ def test_operator(make, library):
         assert r["n_tokens"] == len(ids) and bytes(r["ids"]) == np.array(ids, "<u4").tobytes()
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest() and r["row"]["size"] == "src"
     assert bpe.encoded(make([]), PATH, PATTERN).count() == 0
+
+
+def test_states_without_moves_share_one_table_and_clearing_changes_nothing():
+    ranks = bpe.load_ranks(bpe.vocabulary()[0])
+    rng = random.Random(8)
+    words = [" " + "".join(rng.choice("aeinorstléü") for _ in range(rng.randrange(2, 14))) for _ in range(400)]
+    large, small = bpe.Transducer(ranks), bpe.Transducer(ranks, 20)
+    for w in words:
+        assert large.encode(w.encode()) == small.encode(w.encode()) == [ranks[p] for p in large.merged(w.encode())[0]]
+    assert not bpe.NO_MOVES and any(m is bpe.NO_MOVES for m in large.moves) and len(small.state) < 100
