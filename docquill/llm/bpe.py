@@ -4,7 +4,8 @@ A BPE encoding is the one token sequence whose neighbours are all *stable*: no m
 comes before those within them. So a text can be read left to right. While bytes arrive, each earlier boundary from which the bytes
 read since are still the start of some token is an open hypothesis; a token is emitted as soon as all open hypotheses
 share it. The bytes that are pending and those parts at the right edge of the last emitted token that could still merge
-with them decide everything that follows, so this pair is the state: transitions are worked out when first met and kept, which determinises the machine as far as texts need it. The
+with them decide everything that follows, so this pair is the state: transitions are worked out when first met and kept, which determinises the machine as far as texts need it. Edges count
+only while a token may start there, and a text's last byte emits without entering a state. The
 pending bytes (the lookahead) never exceed a few token lengths.
 
 Each match of the split pattern is encoded on its own. Results of whole matches are kept as packed ids, in two generations
@@ -35,7 +36,11 @@ from docquill.llm.common import small_batches, table, trimmed
 STATES, PIECES, ROWS = 80_000, 120_000, 256
 NO_MOVES: dict = {}  # of states that no text has left yet; never written to
 
-Edge = tuple[tuple[bytes, int, int], ...]
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+BYTES = [bytes((b,)) for b in range(256)]
+
+Edge = tuple[tuple[bytes, int, int, int], ...]  # parts, the ranks at which each comes and goes, and its node in the trie
+Boundary = tuple[int, int, "Boundary | None", int]  # its place, the token that ends there, the boundary before, the number of the token's right edge
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,8 +54,15 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES) -> None:
         self.ranks, self.limit = ranks, states
         self.tokens = {i: t for t, i in ranks.items()}
-        self.opens = {t[:n] for t in ranks for n in range(1, len(t))}  # starts of longer tokens
-        self.known = {t: -1 for t in self.opens} | {t: i for t, i in ranks.items()}  # tokens' ranks, and -1 for what is only a start
+        nodes = {b"": 0}  # the trie of all tokens' starts
+        for t in ranks:
+            for n in range(1, len(t) + 1):
+                nodes.setdefault(t[:n], len(nodes))
+        self.child = {nodes[x[:-1]] << 8 | x[-1]: k for x, k in nodes.items() if x}
+        self.token = [ranks.get(x, -1) for x in nodes]  # by node
+        self.more = bytearray(len(nodes))  # by node, whether it is the start of longer tokens
+        for k in self.child:
+            self.more[k >> 8] = 1
         self.spines: dict[int, tuple[Edge, Edge] | None] = {}
         self.clear()
 
@@ -59,13 +71,11 @@ class Transducer:
         self.edge_number: dict[Edge, int] = {}
         self.right: dict[int, int] = {}  # the number of a token's right edge
         self.number: dict[tuple[int, bytes], int] = {}
-        self.state: list[tuple[int, bytes]] = []
-        self.chain: list[tuple[tuple[int, int] | None, ...]] = []  # by state: for each pending boundary, (token that ends there, boundary before)
-        self.open: list[tuple[int, ...]] = []  # by state: boundaries from which the pending bytes start a longer token
+        self.state: list[tuple[tuple[int, bytes], int, tuple[tuple[int, Boundary], ...], Boundary]] = []  # what it is, where its pending bytes start, the open boundaries with the node that the bytes since have reached, and the boundary at the end
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.last: list[tuple[int, ...] | None] = []
+        self.ends: dict[int, tuple[int, ...]] = {}  # by state and byte, what is emitted if that byte is the last; such bytes lead to no state
         self.stable: dict[int, bool] = {}
-        self.enter(self.numbered(()), b"", ((-1, -1),), ())
+        self.enter((self.numbered(()), b""), 0, (), (0, -1, None, 0))
 
     def numbered(self, edge: Edge) -> int:
         at = self.edge_number.setdefault(edge, len(self.edges))
@@ -79,17 +89,31 @@ class Transducer:
             at = self.right[token] = self.numbered(self.spine(token)[1])
         return at
 
-    def enter(self, edge: int, pending: bytes, chain: tuple[tuple[int, int] | None, ...], open_: tuple[int, ...]) -> int:
-        key = (edge, pending)
+    def enter(self, key: tuple[int, bytes], start: int, open_: tuple[tuple[int, Boundary], ...], end: Boundary) -> int:
         at = self.number.setdefault(key, len(self.state))
         if at == len(self.state):
-            self.state.append(key)
-            self.chain.append(chain)
-            self.open.append(open_)
+            self.state.append((key, start, open_, end))
             self.moves.append(NO_MOVES)
-            self.last.append(None)
         return at
 
+    def renew(self, at: int) -> int:
+        """Clears all tables but for one state, whose boundaries no longer hold those before it."""
+        (edge, pending), start, open_, end = self.state[at]
+        parts, made = self.edges[edge], {}
+
+        def copied(b: Boundary) -> Boundary:
+            way = []
+            while b[0] != start and b[0] not in made:
+                way.append(b)
+                b = b[2]
+            for x in (*([b] if b[0] not in made else []), *reversed(way)):
+                made[x[0]] = (start, -1, None, edge) if x[0] == start else (x[0], x[1], made[x[2][0]], self.right_of(x[1]))
+            return made[(way[0] if way else b)[0]]
+
+        self.clear()
+        edge = self.numbered(parts)
+        return self.enter((edge, pending), start, tuple((node, copied(b)) for node, b in open_), copied(end))
+
     def merged(self, data: bytes) -> tuple[list[bytes], list[tuple[bytes, int]], list[tuple[bytes, int]]]:
         """Plain merging, lowest rank first and leftmost among equals: the parts at last, and those that stood at the
         left and at the right edge meanwhile, with the rank that made each. Used on single tokens only."""
@@ -106,125 +130,161 @@ class Transducer:
                 right.append((parts[-1], best))
         return parts, left, right
 
+    def node(self, start: bytes) -> int:
+        at = 0
+        for byte in start:
+            at = self.child[at << 8 | byte]
+        return at
+
     def spine(self, token: int) -> tuple[Edge, Edge] | None:
         """The parts at the left and at the right edge while a token is being merged, each with the ranks at which it
         comes and goes; None if merging doesn't make the token."""
         if token not in self.spines:
             parts, *edges = self.merged(self.tokens[token])
-            timed = [tuple((x, r, rows[k + 1][1] if k + 1 < len(rows) else 1 << 60) for k, (x, r) in enumerate(rows)) for rows in edges]
+            timed = [tuple((x, r, rows[k + 1][1] if k + 1 < len(rows) else 1 << 60, self.node(x)) for k, (x, r) in enumerate(rows)) for rows in edges]
             self.spines[token] = (timed[0], timed[1]) if len(parts) == 1 else None
         return self.spines[token]
 
     def fits(self, edge: Edge, token: int) -> bool:
         """Whether the token may follow one with that right edge: no merge across the border comes before the parts at
         it are used up. Among equal ranks the leftmost merge is first, so one before the border wins, one after loses."""
-        own, rank = self.spine(token), self.ranks.get
+        own = self.spines[token] if token in self.spines else self.spine(token)
         if own is None:
             return False
-        for x, came_x, gone_x in edge:
-            for y, came_y, gone_y in own[0]:
-                r = rank(x + y)
-                if r is not None and came_x < r < gone_x and came_y < r <= gone_y:
-                    return False
+        rank, child, first = self.ranks.get, self.child, self.tokens[token][0]
+        for x, came_x, gone_x, node in edge:
+            if node << 8 | first not in child:
+                continue
+            for y, came_y, gone_y, _ in own[0]:
+                if came_y >= gone_x:  # the parts come in order, so no later one meets x either
+                    break
+                if gone_y > came_x:
+                    r = rank(x + y)
+                    if r is not None and came_x < r < gone_x and came_y < r <= gone_y:
+                        return False
         return True
 
     def narrowed(self, edge: int, pending: bytes) -> int:
         """The parts of the edge that can still merge with what follows: those that with the pending bytes start a
         token, or with some of them are one that comes in time."""
         parts = self.edges[edge]
-        if not parts or not pending:
+        if not parts:
             return edge
-        known, rank, opens, kept = self.known, self.ranks.get, self.opens, []
+        child, token, kept = self.child.get, self.token, []
         for part in parts:
-            x, came, gone = part
-            if x + pending[:1] not in known:
-                continue
-            if x + pending in opens or any((r := rank(x + pending[:n])) is not None and came < r < gone for n in range(1, len(pending) + 1)):
-                kept.append(part)
+            _, came, gone, at = part
+            for byte in pending:
+                at = child(at << 8 | byte)
+                if at is None:
+                    break
+                if came < token[at] < gone:
+                    kept.append(part)
+                    break
+            else:
+                if self.more[at]:
+                    kept.append(part)
         return edge if len(kept) == len(parts) else self.numbered(tuple(kept))
 
     def move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        edge, pending = self.state[at]
-        pending += bytes((byte,))
-        chain, end, found, open_ = self.chain[at], len(pending), None, []
-        known, opens, stable = self.known.get, self.opens, self.stable
-        for j in (*self.open[at], end - 1):
-            tail = pending[j:]
-            t = known(tail)
-            if t is None:
+        (edge, pending), start, open_, end = self.state[at]
+        pending += BYTES[byte]
+        child, token, more, stable, right, found, still = self.child.get, self.token, self.more, self.stable, self.right.get, None, []
+        for node, left in (*open_, (0, end)):
+            node = child(node << 8 | byte)
+            if node is None:
                 continue
-            if found is None and t >= 0:
-                left = self.right_of(chain[j][0]) if j else edge
-                key = left << 32 | t
+            if found is None and (t := token[node]) >= 0:
+                key = left[3] << 32 | t
                 ok = stable.get(key)
                 if ok is None:
-                    ok = stable[key] = self.fits(self.edges[left], t)
+                    ok = stable[key] = self.fits(self.edges[left[3]], t)
                 if ok:
-                    found = (t, j)
-            if tail in opens:
-                open_.append(j)
+                    at_right = right(t)
+                    found = (end[0] + 1, t, left, self.right_of(t) if at_right is None else at_right)
+            if more[node]:
+                still.append((node, left))
         if found is None:
             raise ValueError("the ranks don't cover every byte")
-        chain = (*chain, found)
-        cut = end
-        if open_:
-            cut = open_[0]  # the last boundary that all hypotheses share: the start, if that is open
-            if cut:
-                heads = {end, *open_}
-                while len(heads) > 1:
-                    top = max(heads)
-                    heads.remove(top)
-                    heads.add(chain[top][1])
-                cut = heads.pop()
-        if cut:
-            out, j = [], cut
-            while j > 0:
-                t, j = chain[j]
-                out.append(t)
-            out.reverse()
-            edge, pending = self.right_of(out[-1]), pending[cut:]
-            chain = ((-1, -1), *[(c[0], c[1] - cut) if c and c[1] >= cut else None for c in chain[cut + 1 :]])
-            open_ = [j - cut for j in open_]
-            got = tuple(out)
+        cut = found  # the last boundary that all hypotheses share: the start, if that is open
+        if still:
+            if still[0][1][0] == start:
+                cut = still[0][1]
+            else:
+                for _, other in still:
+                    while cut[0] != other[0]:
+                        if cut[0] > other[0]:
+                            cut = cut[2]
+                        else:
+                            other = other[2]
+        out = ()
+        if cut[0] != start:
+            pending = pending[cut[0] - start :]
+            ids, step = [], cut
+            while step[0] != start:
+                ids.append(step[1])
+                step = step[2]
+            out = tuple(reversed(ids))
+            start, edge = cut[0], cut[3]
+        if not still:
+            found = (start, -1, None, edge)
+        elif still[0][1][0] == start:
+            edge = self.narrowed(edge, pending)
+            if still[0][1][3] != edge or still[0][1][2]:
+                still[0] = (still[0][0], (start, -1, None, edge))
         else:
-            got = ()
-        got = (self.enter(self.narrowed(edge, pending), pending, chain, tuple(open_)), got)
+            edge = 0  # no token starts there any more, so what is left of it doesn't matter
+        got = (self.enter((edge, pending), start, tuple(still), found), out)
         if self.moves[at] is NO_MOVES:
             self.moves[at] = {byte: got}
         else:
             self.moves[at][byte] = got
         return got
 
-    def rest(self, at: int) -> tuple[int, ...]:
-        """What is emitted if the text ends in this state."""
-        out, chain, j = [], self.chain[at], len(self.state[at][1])
-        while j > 0:
-            out.append(chain[j][0])
-            j = chain[j][1]
-        self.last[at] = tuple(reversed(out))
-        return self.last[at]
+    def end(self, at: int, byte: int) -> tuple[int, ...]:
+        """What is emitted if the text ends with this byte."""
+        _, start, open_, step = self.state[at]
+        child, token, stable = self.child.get, self.token, self.stable
+        for node, left in (*open_, (0, step)):
+            node = child(node << 8 | byte)
+            if node is None or (t := token[node]) < 0:
+                continue
+            key = left[3] << 32 | t
+            ok = stable.get(key)
+            if ok is None:
+                ok = stable[key] = self.fits(self.edges[left[3]], t)
+            if ok:
+                break
+        else:
+            raise ValueError("the ranks don't cover every byte")
+        out = [t]
+        while left[0] != start:
+            out.append(left[1])
+            left = left[2]
+        got = self.ends[at << 8 | byte] = tuple(reversed(out))
+        return got
 
     def encode(self, data: bytes) -> list[int]:
         if (one := self.ranks.get(data)) is not None:
             return [one]
+        if not data:
+            return []
         if len(self.state) > self.limit:
             self.clear()
+        elif len(self.ends) > 2 * self.limit:
+            self.ends.clear()
         moves, at, out = self.moves, 0, []
-        for byte in data:
+        for byte in data[:-1]:
             got = moves[at].get(byte)
             if got is None:
                 got = self.move(at, byte)
                 if len(self.state) > 2 * self.limit:  # within one very long match
-                    edge, pending = self.state[got[0]]
-                    parts, chain, open_ = self.edges[edge], self.chain[got[0]], self.open[got[0]]
-                    self.clear()
+                    got = (self.renew(got[0]), got[1])
                     moves = self.moves
-                    got = (self.enter(self.numbered(parts), pending, chain, open_), got[1])
             at = got[0]
             if got[1]:
                 out += got[1]
-        end = self.last[at]
-        out += self.rest(at) if end is None else end
+        end = self.ends.get(at << 8 | data[-1])
+        out += self.end(at, data[-1]) if end is None else end
         return out
 
 
@@ -240,7 +300,7 @@ class Encoder(dict):
         out = self.old.pop(piece, None)
         if out is None:
             ids = self.machine.encode(piece.encode("utf-8", "replace"))
-            out = struct.pack(f"<{len(ids)}I", *ids)
+            out = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) < 100:
             if len(self) >= self.limit:
                 self.old = dict(self)
@@ -258,6 +318,7 @@ class Utf8Stream:
 
     def __init__(self, tokens: list[bytes]) -> None:
         self.tokens = tokens
+        self.opens = np.array([bool(self.advance(b"", t)[0]) for t in tokens])  # tokens that leave a character open where none was
         self.steps: dict[bytes, dict[int, tuple[bytes, bytes]]] = {}
         self.open = b""
 
@@ -290,18 +351,19 @@ class Utf8Stream:
         out, self.open = self.open, b""
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        out, steps, held = [], self.steps, b""
-        own = steps.setdefault(held, {})
-        for t in ids:
-            got = own.get(t)
-            if got is None:
-                got = self.step(held, t)
-                steps = self.steps
-            if got[0] is not held and got[0] != held:
-                own = steps.setdefault(got[0], {})
-            held = got[0]
-            out.append(got[1])
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
+        ids = np.asarray(ids, np.uint32)
+        opening, ids = np.flatnonzero(self.opens[ids]), ids.tolist()
+        out, held, at = list(map(self.tokens.__getitem__, ids)), b"", 0
+        for first in opening.tolist():  # from such a token on the machine goes step by step, until no character is open
+            if first < at:
+                continue
+            at = first
+            while at < len(ids):
+                held, out[at] = self.step(held, ids[at])
+                at += 1
+                if not held:
+                    break
         out.append(held)
         return b"".join(out)
 
@@ -332,7 +394,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) -
                 for text in batch.column(1):
                     text = text.as_py()
                     packed = coder.packed(text)
-                    back = stream.decode(np.frombuffer(packed, "<u4").tolist())
+                    back = stream.decode(np.frombuffer(packed, "<u4"))
                     n.append(len(packed) // 4)
                     ids.append(packed)
                     sha.append(hashlib.sha256(back).hexdigest())

@@ -76,3 +76,20 @@ def test_states_without_moves_share_one_table_and_clearing_changes_nothing():
     for w in words:
         assert large.encode(w.encode()) == small.encode(w.encode()) == [ranks[p] for p in large.merged(w.encode())[0]]
     assert not bpe.NO_MOVES and any(m is bpe.NO_MOVES for m in large.moves) and len(small.state) < 100
+
+
+def test_last_bytes_and_edges_that_no_longer_matter_make_no_states(ranks):
+    rng = random.Random(9)
+    parts = "an in th er on re st en de la tion ing ent es keit heit ción ñé".split()
+    words = [(" " + "".join(rng.choice(parts) for _ in range(rng.randrange(2, 6)))).encode() for _ in range(3000)]
+    large, small = bpe.Transducer(ranks), bpe.Transducer(ranks, 20)
+    for w in words:
+        assert large.encode(w) == small.encode(w) == ([ranks[w]] if w in ranks else [ranks[p] for p in large.merged(w)[0]])
+    assert len(large.state) < 3500  # 3,895 when a word's last byte led to a state and used-up edges told states apart
+
+
+def test_decoding_goes_step_by_step_only_where_a_character_is_open(ranks):
+    stream = bpe.Utf8Stream([bytes([b]) for b in range(256)] + ["aé中".encode()])
+    text = "aé中\U0001f600z"
+    assert stream.decode(list(text.encode()) + [256, 0xE4, 256]) == text.encode() + "aé中".encode() + b"\xe4" + "aé中".encode()
+    assert set(stream.steps[b""]) == {0xC3, 0xE4, 0xF0} and stream.decode([]) == b""
