@@ -19,6 +19,7 @@ documents in the order of a hash of the text; further columns are ignored; an em
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -35,11 +36,16 @@ BLOCK_BYTES, SHARD_MARKS, MERGE_STARTS, FAN = 4_000_000, 2_000_000, 400_000, 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+@functools.cache
+def drawn() -> tuple[np.ndarray, np.ndarray]:
+    """A number for each byte, and odd factors: the same in every process."""
+    rng = np.random.default_rng(100)
+    return rng.integers(0, 1 << 63, 256, dtype=np.uint64), rng.integers(0, 1 << 62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def rolled(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of each gram-byte string, from those of half the length, and so on."""
-    rng = np.random.default_rng(100)
-    byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64)
-    factor = rng.integers(0, 1 << 62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    byte, factor = drawn()
     h, size, k = byte[data], 1, 0
     while size < gram:
         step = min(size, gram - size)  # a last step may overlap
@@ -167,8 +173,10 @@ def spans(keys: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
     """(key, a, b) runs of consecutive starts of the same document."""
     if not len(keys):
         return []
-    order = np.lexsort((starts, keys))
-    k, s = keys[order], starts[order]
+    k, s = keys, starts
+    if not np.all((k[1:] > k[:-1]) | ((k[1:] == k[:-1]) & (s[1:] >= s[:-1]))):
+        order = np.lexsort((starts, keys))
+        k, s = keys[order], starts[order]
     cut = np.concatenate(([0], np.nonzero((k[1:] != k[:-1]) | (s[1:] != s[:-1] + 1))[0] + 1, [len(k)]))
     return list(zip(k[cut[:-1]].tolist(), s[cut[:-1]].tolist(), (s[cut[1:] - 1] + 1).tolist(), strict=True))
 
@@ -182,7 +190,7 @@ def packed(unit: int, bucket: int, runs: list[tuple[int, int, int]], bytes_of) -
 
 
 def block_parts(docs: list[tuple[int, bytes, np.ndarray]], unit: int, buckets: int, length: int, gram: int) -> list[tuple]:
-    """Rows of PART of one block; docs: key, bytes, shared marks."""
+    """Rows of PART of one block; docs: key, bytes, shared marks (at least one, sorted)."""
     docs = sorted(docs, key=lambda d: d[0])
     pieces, ends, keys, firsts, mark_of = [], [], [], [], []
     texts = {k: raw for k, raw, _ in docs}
@@ -191,7 +199,7 @@ def block_parts(docs: list[tuple[int, bytes, np.ndarray]], unit: int, buckets: i
         data = np.frombuffer(raw, np.uint8)
         at, mark = marks(data, length, gram)
         stop = np.append(at[1:], len(data) - length + 1)
-        own = np.nonzero(np.isin(mark, shared))[0]
+        own = np.nonzero(shared[np.minimum(np.searchsorted(shared, mark), len(shared) - 1)] == mark)[0]
         if not len(own):
             continue
         joint = np.concatenate(([True], stop[own[:-1]] != at[own[1:]]))  # runs of starts that follow each other are one segment
@@ -207,8 +215,9 @@ def block_parts(docs: list[tuple[int, bytes, np.ndarray]], unit: int, buckets: i
     if not pieces:
         return []
     data, bound = np.concatenate(pieces), np.array(ends, np.int64)
-    order = suffix_array(data, bound)
-    common = common_prefixes(data, bound, order)
+    eight = words(data)
+    order = suffix_array(data, bound, eight)
+    common = common_prefixes(data, bound, order, eight)
     owner = np.repeat(np.arange(len(bound)), np.diff(bound, prepend=0))
     left = bound[owner] - np.arange(len(data))
     new = common < length
@@ -216,7 +225,7 @@ def block_parts(docs: list[tuple[int, bytes, np.ndarray]], unit: int, buckets: i
     earliest = np.minimum.reduceat(order, heads)  # places follow the order of documents
     first = np.repeat(earliest, np.diff(heads, append=len(order)))
     full = left[order] >= length
-    again, alone = order[full & (order != first)], np.sort(order[full & (order == first)])
+    again, alone = np.sort(order[full & (order != first)]), np.sort(order[full & (order == first)])
     key_of, start_of = np.array(keys, np.int64)[owner], np.arange(len(data)) - (bound - np.diff(bound, prepend=0))[owner] + np.array(firsts, np.int64)[owner]
     rows: list[tuple] = [(None, None, k, a, b, None, None, None, None) for k, a, b in spans(key_of[again], start_of[again])]
     which = shard_of(np.concatenate(mark_of)[alone], buckets)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from docquill.llm import substrings
+from docquill.llm import substrings, suffixarray
 from docquill.llm.suffixarray import common_prefixes, suffix_array
 
 
@@ -71,3 +71,22 @@ def test_repeated_rows_nulls_and_empty_table(make):
     by = sorted((str(r["doc_id"]), r["n_removed"]) for r in got)
     assert by == [("1", 0), ("1", 0), ("2", brute([(2, a)], 100)[2][1]), ("None", len(b))]
     assert substrings.deduplicated(make([])).count() == 0
+
+
+def test_prefixes_of_long_copies_take_few_rounds(monkeypatch):
+    rounds = []
+    plain = suffixarray.leading_bytes
+    monkeypatch.setattr(suffixarray, "leading_bytes", lambda diff: rounds.append(len(diff)) or plain(diff))
+    rng = random.Random(2)
+    text = bytes(rng.randrange(256) for _ in range(20_000))
+    segs = [text, text, text[:-1] + bytes([text[-1] ^ 1]), text[5:]]
+    data, ends = np.frombuffer(b"".join(segs), np.uint8), np.cumsum([len(s) for s in segs])
+    order = suffix_array(data, ends)
+    common = common_prefixes(data, ends, order)
+    left = ends[np.searchsorted(ends, order, "right")] - order
+    assert common.max() == 20_000 and np.array_equal(np.sort(order), np.arange(len(data)))
+    for k in range(1, len(order), 997):
+        x, y = data[order[k - 1] :][: left[k - 1]].tobytes(), data[order[k] :][: left[k]].tobytes()
+        n = int(common[k])
+        assert x <= y and x[:n] == y[:n] and x[n : n + 1] != (y[n : n + 1] or None)
+    assert len(rounds) < 100  # one for every eight bytes before
