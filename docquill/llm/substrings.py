@@ -237,53 +237,59 @@ def block_parts(docs: list[tuple[int, bytes, np.ndarray]], unit: int, buckets: i
     return rows
 
 
-Sorted = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # strings in order, their first eight bytes, keys, starts
+Sorted = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # places of strings in order, their first eight bytes, keys, starts
 
 
-def strings_of(row: dict, length: int) -> Sorted:
+def strings_at(windows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(windows[places]).view(f"S{windows.shape[1]}").reshape(-1)
+
+
+def sorted_run(row: dict, base: int, windows: np.ndarray, eight: np.ndarray) -> Sorted:
+    """The strings of a row, whose bytes begin at base."""
     keys, a, n = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["starts"], np.int64), np.frombuffer(row["sizes"], "<i4").astype(np.int64)
-    data = np.frombuffer(row["bytes"], np.uint8)
-    ends = np.cumsum(n)
+    ends, length = np.cumsum(n), windows.shape[1]
     within = np.arange(ends[-1]) - np.repeat(ends - n, n)
-    places = np.repeat(np.cumsum(n + length - 1) - (n + length - 1), n) + within
-    windows = np.lib.stride_tricks.sliding_window_view(data, length)[places]
-    strings = np.ascontiguousarray(windows).view(f"S{length}").reshape(-1)
-    eight = words(data)
-    head, next_ = eight[places], eight[np.minimum(places + 8, len(data) - 1)]
+    places = base + np.repeat(np.cumsum(n + length - 1) - (n + length - 1), n) + within
+    head, next_ = eight[places], eight[np.minimum(places + 8, len(eight) - 1)]
     order = np.lexsort((next_, head))
     h, x = head[order], next_[order]
     same = np.concatenate(([False], (h[1:] == h[:-1]) & (x[1:] == x[:-1])))
     tied = np.nonzero(same | np.concatenate((same[1:], [False])))[0]  # 16 equal bytes: the whole strings decide
-    order[tied] = order[tied][np.argsort(strings[order[tied]])]
-    return strings[order], head[order], np.repeat(keys, n)[order], (np.repeat(a, n) + within)[order]
+    order[tied] = order[tied][np.argsort(strings_at(windows, places[order[tied]]))]
+    return places[order], head[order], np.repeat(keys, n)[order], (np.repeat(a, n) + within)[order]
 
 
-def sought(x: Sorted, y: Sorted) -> np.ndarray:
+def sought(x: Sorted, y: Sorted, windows: np.ndarray) -> np.ndarray:
     """Where each string of y belongs in x: by the first eight bytes, then by whole strings, halving the range."""
     low, high = np.searchsorted(x[1], y[1], "left"), np.searchsorted(x[1], y[1], "right")
     open_ = np.nonzero(low < high)[0]
+    whole = strings_at(windows, y[0][open_])
     while len(open_):
         mid = (low[open_] + high[open_]) >> 1
-        less = x[0][mid] < y[0][open_]
+        less = strings_at(windows, x[0][mid]) < whole
         low[open_] = np.where(less, mid + 1, low[open_])
         high[open_] = np.where(less, high[open_], mid)
-        open_ = open_[low[open_] < high[open_]]
+        still = low[open_] < high[open_]
+        open_, whole = open_[still], whole[still]
     return low
 
 
-def merged(x: Sorted, y: Sorted, later: list[tuple[np.ndarray, np.ndarray]]) -> Sorted:
-    """The union of two sorted runs of distinct strings; of equal ones the later goes to `later`."""
+def merged(x: Sorted, y: Sorted, windows: np.ndarray, later: list[tuple[np.ndarray, np.ndarray]]) -> Sorted:
+    """The union of two sorted runs of distinct strings; of equal ones the later goes to `later`. Only places move."""
     if len(x[0]) < len(y[0]):
         x, y = y, x
-    at = sought(x, y)
+    at = sought(x, y, windows)
     inside = np.minimum(at, len(x[0]) - 1)
-    same = x[0][inside] == y[0]
-    i, j = at[same], np.nonzero(same)[0]
+    j = np.nonzero(x[1][inside] == y[1])[0]
+    j = j[strings_at(windows, x[0][inside[j]]) == strings_at(windows, y[0][j])]
+    i = at[j]
     keys, starts = x[2].copy(), x[3].copy()
     swap = (y[2][j] < keys[i]) | ((y[2][j] == keys[i]) & (y[3][j] < starts[i]))
     later.append((np.where(swap, keys[i], y[2][j]), np.where(swap, starts[i], y[3][j])))
     keys[i[swap]], starts[i[swap]] = y[2][j[swap]], y[3][j[swap]]
-    rest = np.nonzero(~same)[0]
+    fresh = np.ones(len(y[0]), bool)
+    fresh[j] = False
+    rest = np.nonzero(fresh)[0]
     total = len(keys) + len(rest)
     to = at[rest] + np.arange(len(rest))
     mask = np.ones(total, bool)
@@ -301,16 +307,20 @@ def merge_parts(length: int, last: bool):
 
     def run(got: pa.Table) -> pa.Table:
         rows = got.to_pylist()
-        runs = [strings_of(r, length) for r in rows]
+        data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+        windows, eight = np.lib.stride_tricks.sliding_window_view(data, length), words(data)
+        bases = np.cumsum([0] + [len(r["bytes"]) for r in rows]).tolist()
+        runs = [sorted_run(r, base, windows, eight) for r, base in zip(rows, bases, strict=False)]
         later: list[tuple[np.ndarray, np.ndarray]] = []
         while len(runs) > 1:
             runs.sort(key=lambda r: -len(r[0]))
-            runs = [merged(runs[k], runs[-1 - k], later) for k in range(len(runs) // 2)] + ([runs[len(runs) // 2]] if len(runs) % 2 else [])
+            runs = [merged(runs[k], runs[-1 - k], windows, later) for k in range(len(runs) // 2)] + ([runs[len(runs) // 2]] if len(runs) % 2 else [])
         out: list[tuple] = []
         if later:
             out = [(None, None, k, a, b, None, None, None, None) for k, a, b in spans(np.concatenate([k for k, _ in later]), np.concatenate([s for _, s in later]))]
         if not last:
-            strings, _, keys, starts = runs[0]
+            places, _, keys, starts = runs[0]
+            strings = strings_at(windows, places)
             text = {(k, s): x for k, s, x in zip(keys.tolist(), starts.tolist(), strings.tolist(), strict=True)}
             whole = lambda k, a, b: b"".join([text[k, s][:1].ljust(1, b"\0") for s in range(a, b - 1)]) + text[k, b - 1].ljust(length, b"\0")
             out.append(packed(rows[0]["unit"] // FAN, rows[0]["bucket"], spans(keys, starts), whole))

@@ -90,3 +90,20 @@ def test_prefixes_of_long_copies_take_few_rounds(monkeypatch):
         n = int(common[k])
         assert x <= y and x[:n] == y[:n] and x[n : n + 1] != (y[n : n + 1] or None)
     assert len(rounds) < 100  # one for every eight bytes before
+
+
+def test_merges_move_places_and_not_strings():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    texts = {k: rng.integers(0, 256, 60_000, dtype=np.uint8).tobytes() for k in range(1, 5)}
+    texts[4] = texts[1][:30_000] + texts[4][30_000:]
+    n = 60_000 - 99
+    rows = substrings.as_table([substrings.packed(k, 0, [(k, 0, n)], lambda key, a, b: texts[key][a : b + 99]) for k in texts])
+    run = substrings.merge_parts(100, True)
+    tracemalloc.start()
+    got = run(rows).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["key"], r["a"], r["b"]) for r in got] == [(4, 0, 30_000 - 99)]
+    assert peak < 4 * n * 100  # the strings themselves, which were copied at each merge before
