@@ -43,8 +43,8 @@ BRUTE = 1024  # fingerprints that a task compares pair by pair
 HOT, SPLITS = 50_000, 4  # fingerprints under one key beyond which the key is split; how often that is needed at most
 # Of similar, none of which touches the result: turns in which a node meets a few others, and how many; shingles that a task counts at a time; the count from which a shingle is
 # common, and how many of these are told apart; sets that a task remembers; bits of a sketch for each member, and the power of
-# two of the bits that go with keys.
-RINGS, NEAR, COUNTED, COMMON, MOST_COMMON, REMEMBERED, PER_MEMBER, SHORT_BITS = 3, 16, 1 << 20, 32, 200_000, 1 << 20, 2, 9
+# two of the bits that go with keys; links between groups that one task joins up, more go in rounds.
+RINGS, NEAR, COUNTED, COMMON, MOST_COMMON, REMEMBERED, PER_MEMBER, SHORT_BITS, FEW = 3, 16, 1 << 20, 32, 200_000, 1 << 20, 2, 9, 1 << 17
 SHORT = [f"s{i}" for i in range(1 << SHORT_BITS >> 6)]
 
 
@@ -417,8 +417,8 @@ def paired(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
     return pairs.join(of.select(F.col("node").alias("u"), F.col(value).alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col(value).alias("b")), "v")
 
 
-def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are similar."""
+def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame | None:
+    """The pairs (u, v) of nodes whose sets are similar; None if the bitmaps already leave out all."""
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,14 +435,61 @@ def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, simi
     sized = nodes.select("node", F.struct("n", "sketch").alias("s"))
     drawn = paired(pairs, sized, "s").select("u", "v", "a.n", F.col("b.n").alias("m"), F.col("a.sketch").alias("a"), F.col("b.sketch").alias("b"))
     pairs = written(drawn.mapInArrow(passing, "u long, v long"), "pairs")
-    asked = written(nodes.select("node", "doc", "text_hash").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"), "asked")
-    texts = docs.select("doc_id", text_hash(), "text").join(asked.select(F.col("doc").alias("doc_id"), "text_hash"), ["text_hash"], "left_semi").select("text")
+    if pairs.isEmpty():
+        return None
+    asked = nodes.select("node", "text_hash").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
+    texts = docs.select(text_hash(), "text").join(asked, "text_hash", "left_semi").select("text")
     own = texts.dropDuplicates(["text"]).mapInArrow(sets_of, "node long, own array<long>")
-    sets = written(own.join(asked.select("node"), "node", "left_semi"), "sets").dropDuplicates(["node"])
+    sets = written(own, "sets").dropDuplicates(["node"])
     shared = paired(pairs, sets, "own").select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("shared"))
     return shared.where(alike(F.col("shared"), F.col("n"), F.col("m"), similarity)).select("u", "v")
 
 
+def spanned(edges: DataFrame) -> DataFrame:
+    """What `components` returns, by one task that holds all nodes; for at most `FEW` edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(u), find(v)
+                parent[max(a, b)] = min(a, b)
+        own = [*parent]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([find(x) for x in own], pa.int64())], ["node", "root"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def regrouped(found: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+    """roots (node, root: the smallest node of its group; nodes without links may be missing) after further links (u, v) between
+    nodes. Only links between groups are kept and joined up, so a turn's work follows what it has found, not all links so far."""
+    if roots is not None:
+        of = lambda end, to: roots.select(F.col("node").alias(end), F.col("root").alias(to))
+        found = found.join(of("u", "a"), "u", "left").join(of("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+    edges = written(found.where("u <> v"), "groups")
+    n = edges.count()
+    if not n:
+        return roots
+    joined = spanned(edges) if n <= FEW else components(edges)
+    if roots is not None:
+        later = joined.select(F.col("node").alias("root"), F.col("root").alias("later"))
+        moved = roots.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
+        joined = moved.unionByName(joined.join(roots.select("node"), "node", "left_anti"))
+    return written(joined, "roots")
+
+
+def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows of nodes with the root of each."""
+    return rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """doc_id, text_hash, component_id (the smallest doc_id of each group of documents linked by similarity), first (whether
     the row is the group's first by doc_id, then text_hash; equal rows alike)."""
@@ -453,14 +500,13 @@ def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     nodes = written(least.select("node", F.col("x.doc_id").alias("doc"), "x.text_hash", "n", "fp", "sketch", "short"), "nodes")
     met = written(met_keys(rows), "keys")
     met = written(met.join(met.groupBy("key").agg(F.count("*").alias("c")), "key"), "met")
-    found, roots = None, None
+    roots = None
     rings = [lambda own, turn=turn: ring_pairs(own, turn, similarity) for turn in range(RINGS)]
     for candidates in (lambda own: block_pairs(rows, nodes), *rings, lambda own: cross_pairs(own, nodes, similarity)):
-        own = met if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = checked(candidates(own), docs, nodes, size, similarity)
-        found = written(more if found is None else found.unionByName(more), "similar")
-        roots = written(components(found), "roots")
-    named = nodes.join(roots, "node", "left").select("node", "doc", "text_hash", F.coalesce("root", "node").alias("root"))
+        own = rooted(met, roots)
+        found = checked(candidates(own), docs, nodes, size, similarity)
+        roots = roots if found is None else regrouped(found, roots)
+    named = rooted(nodes.select("node", "doc", "text_hash"), roots)
     firsts = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), F.col("doc").alias("first_doc"), F.col("text_hash").alias("first_hash"))).alias("x"))
     of = named.join(firsts, "root").select("node", "x.first_doc", "x.first_hash")
     joined = rows.select("doc_id", "text_hash", "node").join(of, "node")

@@ -197,3 +197,30 @@ def test_a_turn_gives_each_node_of_a_large_key_several_partners(spark):
         assert simhash.NEAR - 1 <= min(met) and max(met) <= 2 * simhash.NEAR and len(pairs) <= simhash.NEAR * n
         assert all(u < v < n and u % 290 != v % 290 for u, v in pairs)
     assert len(turns[0] & turns[1]) < len(turns[0]) // 2
+
+
+def test_groups_take_in_links_turn_by_turn(spark, monkeypatch):
+    """By one task or by rounds, groups after each turn are those of all links so far."""
+    rng = random.Random(3)
+    turns = [[(rng.randrange(80), rng.randrange(80)) for _ in range(n)] for n in (25, 0, 15, 10)]
+    for few in (simhash.FEW, 4):
+        monkeypatch.setattr(simhash, "FEW", few)
+        roots, group = None, list(range(80))
+        for turn in turns:
+            roots = simhash.regrouped(spark.createDataFrame(turn, "u long, v long"), roots)
+            for u, v in turn:
+                a, b = sorted((group[u], group[v]))
+                group = [a if x == b else x for x in group]
+            got = {r["node"]: r["root"] for r in roots.collect()}
+            assert roots.count() == len(got) and [got.get(k, k) for k in range(80)] == group
+
+
+def test_turns_without_candidates_or_links_cost_the_driver_little(spark, make, corpus):
+    """Each turn once joined up all links so far in rounds; what plans and jobs leave on the driver ended a run."""
+    context = spark.sparkContext
+    context.setJobGroup("similar", "")
+    try:
+        simhash.deduplicated(make(corpus[:100] + [(10_000 + d, t) for d, t in corpus[:20]])).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("similar")) < 130
