@@ -14,7 +14,7 @@ A text is read as `before start w1 ... wn end after`; the three added signs are
    seconds, these, pointers to ranges of thirds, and these; successors are numbers relative to their context, made monotone
    by the context's offset, all Elias-Fano coded. With them are quantised smoothed probabilities: the n-gram's own part,
    c / (c(context) + K), and for pairs the weight K / (c + K) that they leave to the level below, each a byte (`STEPS` for a
-   factor of ten). It answers each block's n-grams by successor search in the range of their context.
+   factor of ten). It answers the blocks' n-grams by successor search in the range of their context, each of them once.
 5. Blocks meet their answers again and sum the log probabilities of each text.
 
 Nothing is broadcast; what is gathered follows the input, and a task holds a block or a shard. Requests are a row for each
@@ -33,13 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.llm.common import LOWER, removed, shared_dir, table
+from docquill.llm.common import removed, shared_dir, table
 from docquill.llm.eliasfano import EliasFano
 
 BLOCK_TOKENS, SHARD_WORDS, SHARD_GRAMS, SLICES = 1_000_000, 2_000_000, 1_500_000, 8
@@ -75,10 +76,11 @@ def steps_of(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
 
-class Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = len(self)
-        return out
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """The lower-cased words of each text, and an empty one for its end."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    ended = pc.binary_join_element_wise(trimmed, pa.scalar("", trimmed.type), pa.scalar(" ", trimmed.type))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, pa.scalar("", trimmed.type)), trimmed, ended))
 
 
 BLOCK = "block long, rows array<long>, doc_ids array<long>, held array<boolean>, sizes binary, last binary, vocabulary binary, word_counts binary, tokens binary, n_words long, n_grams long"
@@ -98,36 +100,43 @@ def batch_of(ddl: str, columns: list[list]) -> pa.RecordBatch:
 def blocks_of(docs: DataFrame, tokens: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, row, room = TaskContext.get().partitionId(), 0, 0, tokens
-        pieces: list[tuple] = []  # row, doc_id, held, tokens, whether it ends the text
-        parts: list[np.ndarray] = []  # numbers in `seen`, of two tokens before a piece, its own and one after it
-        seen = Numbers()
+        pieces: list[tuple] = []  # row, doc_id, held, tokens, whether it ends the text, signs before it, words
+        parts: list[list] = []  # words and the range that pieces in a row take of them: two before a piece, its own, one after it
 
         def block() -> pa.RecordBatch:
-            nonlocal made, pieces, parts, seen, room
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
+            nonlocal made, pieces, parts, room
+            seen = pa.chunked_array([words[begin:end] for words, begin, end in parts]).dictionary_encode()
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen.chunk(0).dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.uint64)
             order = np.argsort(hashes)
-            number = np.empty(len(order) + SIGNS, np.int64)
+            number = np.empty(len(order), np.int64)
             number[order] = np.arange(len(order)) + SIGNS
-            number[-SIGNS:] = np.arange(SIGNS)[::-1]  # -1 is BEFORE, -2 START, -3 AFTER
-            flat = number[np.concatenate(parts)]
-            rows, ids, held, sizes, last = (list(x) for x in zip(*pieces, strict=True))
-            own = Pieces(flat, np.array(sizes), np.array(held), np.array(last))
+            rows, ids, held, sizes, last, signs, lengths = (list(x) for x in zip(*pieces, strict=True))
+            n, signs, lengths = np.array(sizes), np.array(signs), np.array(lengths)
+            begins = np.cumsum(n + 3) - (n + 3)
+            flat = np.full(int(n.sum()) + 3 * len(n), AFTER, np.int64)
+            flat[begins[signs == 2]] = BEFORE
+            flat[(begins + signs - 1)[signs > 0]] = START
+            flat[np.repeat(begins + signs - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())] = number[np.concatenate([x.indices.to_numpy() for x in seen.chunks])]
+            own = Pieces(flat, n, np.array(held), np.array(last))
             counts = np.bincount(flat[own.thirds][own.train_tokens] - SIGNS, minlength=len(order))
-            out = [(part << 24) + made, rows, ids, held, coded(np.array(sizes)), coded(np.array(last)), coded(steps_of(hashes[order])), coded(counts), coded(flat), len(order), len(flat)]
-            made, pieces, parts, seen, room = made + 1, [], [], Numbers(), tokens
+            out = [(part << 24) + made, rows, ids, held, coded(n), coded(np.array(last)), coded(steps_of(hashes[order])), coded(counts), coded(flat), len(order), len(flat)]
+            made, pieces, parts, room = made + 1, [], [], tokens
             return batch_of(BLOCK, [[x] for x in out])
 
-        for batch in batches:
-            for doc_id, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = (text.as_py() or "").encode("utf-8", "replace").translate(LOWER).split()
-                words.append(b"")
-                at = 0
-                while at < len(words):
-                    n = min(room, len(words) - at)
-                    own = words[max(0, at - 2) : at + n + 1]
-                    numbers = np.fromiter(map(seen.__getitem__, own), np.int64, len(own))
-                    parts.append(np.concatenate(([-1, -2][at:], numbers, [-3] if at + n == len(words) else [])).astype(np.int64))
-                    pieces.append(((part << 40) + row, doc_id, held, n, at + n == len(words)))
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            words = words_of(batch.column(1))
+            values, bounds = words.values, words.offsets.to_pylist()
+            for k, (doc_id, held) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                at, begin, end = 0, bounds[k], bounds[k + 1]
+                while begin + at < end:
+                    n = min(room, end - begin - at)
+                    last, start = begin + at + n == end, begin + max(0, at - 2)
+                    stop = begin + at + n + (not last)
+                    if parts and parts[-1][0] is values and parts[-1][2] == start:
+                        parts[-1][2] = stop
+                    else:
+                        parts.append([values, start, stop])
+                    pieces.append(((part << 40) + row, doc_id, held, n, last, max(0, 2 - at), stop - start))
                     at, room = at + n, room - n
                     if not room:
                         yield block()
@@ -222,10 +231,10 @@ class Block:
         self.pieces = Pieces(self.tokens, decoded(row["sizes"]), np.array(row["held"], bool), decoded(row["last"]).astype(bool))
         at, x = self.pieces.places, self.tokens
         self.keys = (x[at] << 2 * BITS) | (x[at + 1] << BITS) | x[at + 2]
-        both = np.sort((self.keys << 1) | self.pieces.counted)
-        cuts = np.nonzero(np.diff(both >> 1, prepend=-1))[0]
-        self.grams = both[cuts] >> 1
-        self.gram_counts = np.add.reduceat(both & 1, cuts)
+        self.order = np.argsort(self.keys)
+        ascending = self.keys[self.order]
+        self.cuts = np.nonzero(np.diff(ascending, prepend=-1))[0]
+        self.grams = ascending[self.cuts]
         self.heads = np.nonzero(np.diff(self.grams >> BITS, prepend=-1))[0]  # where pairs begin
         self.pairs = self.grams[self.heads] >> BITS
         self.runs = np.diff(self.heads, append=len(self.grams))
@@ -234,9 +243,18 @@ class Block:
         u, v = self.ids[self.first].astype(np.uint64), self.ids[self.second].astype(np.uint64)
         slices = ((v * MIX) >> np.uint64(50)) % np.uint64(SLICES)
         self.shard = shard_of((u * np.uint64(SLICES) + slices) * MIX, shards)
-        order = np.argsort(self.shard, kind="stable")
+        order = np.argsort(self.shard.astype(np.min_scalar_type(shards)), kind="stable")
         self.by_shard = np.split(order, np.searchsorted(self.shard[order], np.arange(1, shards)))
 
+    def gram_counts(self) -> np.ndarray:
+        return np.add.reduceat(self.pieces.counted[self.order].astype(np.int64), self.cuts)
+
+    def grams_at(self) -> np.ndarray:
+        """The number of the trigram at each of the places that `pieces` has."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.repeat(np.arange(len(self.cuts)), np.diff(self.cuts, append=len(self.order)))
+        return out
+
     def grams_of(self, pairs: np.ndarray) -> np.ndarray:
         runs = self.runs[pairs]
         return np.repeat(self.heads[pairs] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
@@ -251,11 +269,12 @@ def grams_asked(blocks: DataFrame, starts: int, shards: int) -> DataFrame:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 b = Block(row, starts, shards)
+                counts = b.gram_counts()
                 for shard, pairs in enumerate(b.by_shard):
                     if len(pairs):
                         first, grams = b.first[pairs], b.grams_of(pairs)
                         at = np.nonzero(np.diff(first, prepend=-1))[0]
-                        sent = steps_of(b.ids[first[at]]), b.counts[first[at]], np.diff(at, append=len(pairs)), b.ids[b.second[pairs]], b.runs[pairs], b.ids[b.third[grams]], b.gram_counts[grams]
+                        sent = steps_of(b.ids[first[at]]), b.counts[first[at]], np.diff(at, append=len(pairs)), b.ids[b.second[pairs]], b.runs[pairs], b.ids[b.third[grams]], counts[grams]
                         yield batch_of(ASKED, [[shard], [row["block"]], *[[coded(x)] for x in sent]])
 
     return blocks.mapInArrow(run, ASKED)
@@ -298,24 +317,26 @@ class Levels:
         self.firsts, self.first_ranges, self.seconds, self.pair_ranges, self.thirds = (EliasFano(e.n, e.width, *mapped[4 * i : 4 * i + 4]) for i, e in enumerate(built))
         self.pair_codes, self.weights, self.gram_codes = mapped[20:]
 
-    def successors(self, level: EliasFano, ranges: EliasFano, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Places of words among the successors of contexts (numbers, or -1), or -1: a word relative to its context is sought
-        at the context's offset, and must lie in the range that the context's pointers give."""
+    def successors(self, level: EliasFano, ranges: EliasFano, context: np.ndarray, runs: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of words, a run for each context (a number, or -1), among its successors, or -1: a word relative to its
+        context is sought at the context's offset, and must lie in the range that the context's pointers give."""
         out = np.full(len(word), -1, np.int64)
-        ok = np.nonzero((context >= 0) & (word < self.size))[0]
-        c = context[ok]
-        place = level.find((c * self.size + word[ok]).astype(np.uint64))
-        hit = place >= 0
-        c, place, ok = c[hit], place[hit], ok[hit]
-        inside = (place >= ranges.get(c)) & (place < ranges.get(c + 1)) if len(c) else hit[:0]
+        there = np.nonzero(context >= 0)[0]
+        begin, end = np.zeros(len(context), np.uint64), np.zeros(len(context), np.uint64)
+        begin[there], end[there] = ranges.get(context[there]), ranges.get(context[there] + 1)
+        of = np.repeat(np.arange(len(context)), runs)
+        ok = np.nonzero((context[of] >= 0) & (word < self.size))[0]
+        of = of[ok]
+        place = level.find((context[of] * self.size + word[ok]).astype(np.uint64))
+        inside = (place >= begin[of].astype(np.int64)) & (place < end[of].astype(np.int64))
         out[ok[inside]] = place[inside]
         return out
 
     def codes(self, u: np.ndarray, first_runs: np.ndarray, v: np.ndarray, runs: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of the pairs, of the weights they leave, and of the trigrams."""
         first = self.firsts.find(u.astype(np.uint64))
-        pair = self.successors(self.seconds, self.first_ranges, np.repeat(first, first_runs), v)
-        gram = self.successors(self.thirds, self.pair_ranges, np.repeat(pair, runs), w)
+        pair = self.successors(self.seconds, self.first_ranges, first, first_runs, v)
+        gram = self.successors(self.thirds, self.pair_ranges, pair, runs, w)
         return tuple(np.where(i >= 0, x[np.maximum(i, 0)] if len(x) else 0, 0).astype(np.uint8) for i, x in ((pair, self.pair_codes), (pair, self.weights), (gram, self.gram_codes)))
 
 
@@ -323,29 +344,30 @@ ANSWER = "shard int, block long, pairs binary, weights binary, grams binary"
 
 
 def grams_answered(got: pa.Table) -> pa.Table:
-    """A shard's answers: for each block the bytes of its pairs and trigrams, in its order."""
+    """A shard's answers: for each block the bytes of its pairs and trigrams, in its order. What several blocks ask is sought
+    once, in ascending order."""
     fields = "firsts", "first_counts", "first_runs", "seconds", "runs", "thirds", "counts"
     rows = got.to_pylist()
     asked = [[decoded(r[f]) for f in fields] for r in rows]
-    for a in asked:
-        a[0] = np.cumsum(a[0])
-
-    def gathered(of) -> np.ndarray:
-        return np.concatenate([of(*a)[a[6] > 0] for a in asked])
-
-    w, c = gathered(lambda u, cu, ru, v, rv, w, c: w), gathered(lambda u, cu, ru, v, rv, w, c: c)
-    v, u = gathered(lambda u, cu, ru, v, rv, w, c: np.repeat(v, rv)), gathered(lambda u, cu, ru, v, rv, w, c: np.repeat(np.repeat(u, ru), rv))
-    context = gathered(lambda u, cu, ru, v, rv, w, c: np.repeat(np.repeat(cu, ru), rv))
-    order = np.lexsort((w, v, u))
-    u, v, w, c, context = (x[order] for x in (u, v, w, c, context))
-    at = np.nonzero((np.diff(u, prepend=-1) != 0) | (np.diff(v, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))[0]
-    levels = Levels(u[at], v[at], w[at], np.add.reduceat(c, at) if len(at) else c, context[at])
-    del u, v, w, c, context, order
-    out = [[r["shard"] for r in rows], [r["block"] for r in rows], [], [], []]
-    for u, _, ru, v, rv, w, _ in asked:
-        for to, x in zip(out[2:], levels.codes(u, ru, v, rv, w), strict=True):
-            to.append(zstandard.compress(x.tobytes(), 3))
-    return pa.Table.from_batches([batch_of(ANSWER, out)])
+    pair_cuts, gram_cuts = (np.cumsum([len(a[i]) for a in asked])[:-1] for i in (3, 5))
+    u, context, first_runs, v, runs, w, counts = (np.concatenate([np.cumsum(x) if i == 0 else x for x in xs]) for i, xs in enumerate(zip(*asked, strict=True)))
+    del asked
+    size = int(max(v.max(initial=0), w.max(initial=0))) + 1
+    u, first_at = np.unique(u, return_inverse=True)
+    contexts = np.zeros(len(u), np.int64)
+    contexts[first_at] = context
+    pairs, pair_at = np.unique(np.repeat(first_at, first_runs) * size + v, return_inverse=True)
+    grams, gram_at = np.unique(np.repeat(pair_at, runs) * size + w, return_inverse=True)
+    counts = np.bincount(gram_at, counts, len(grams)).astype(np.int64)
+    first_of, v = np.divmod(pairs, size)
+    pair_of, w = np.divmod(grams, size)
+    known = np.nonzero(counts)[0]
+    pair, first = pair_of[known], first_of[pair_of[known]]
+    levels = Levels(u[first], v[pair], w[known], counts[known], contexts[first])
+    del pairs, grams, known, pair, first
+    pair_codes, weights, gram_codes = levels.codes(u, np.bincount(first_of, minlength=len(u)), v, np.bincount(pair_of, minlength=len(v)), w)
+    sent = np.split(pair_codes[pair_at], pair_cuts), np.split(weights[pair_at], pair_cuts), np.split(gram_codes[gram_at], gram_cuts)
+    return pa.Table.from_batches([batch_of(ANSWER, [[r["shard"] for r in rows], [r["block"] for r in rows], *[[zstandard.compress(x.tobytes(), 3) for x in xs] for xs in sent]])])
 
 
 SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -362,15 +384,16 @@ def summed(blocks: DataFrame, answers: DataFrame, starts: int, shards: int, belo
                     own = b.by_shard[a["shard"]]
                     got = [np.frombuffer(zstandard.decompress(a[f]), np.uint8) for f in ("pairs", "weights", "grams")]
                     pair_codes[own], weights[own], gram_codes[b.grams_of(own)] = got
-                word, p = b.tokens[b.pieces.thirds], np.searchsorted
+                word, first = b.tokens[b.pieces.thirds], b.tokens[b.pieces.firsts + 1]
+                grams = b.grams_at()
+                pair_at = np.empty(len(b.tokens), np.int64)  # the pair that begins at a place
+                pair_at[b.pieces.places] = np.repeat(np.arange(len(b.pairs)), b.runs)[grams]
+                context, pair = pair_at[b.pieces.firsts], pair_at[b.pieces.firsts + 1]
                 base = (b.counts + 1) / below
-                keys = b.keys[: len(word)]
-                context, pair = p(b.pairs, keys >> BITS), p(b.pairs, keys & ((1 << 2 * BITS) - 1))
-                first = b.tokens[b.pieces.firsts + 1]
-                two = VALUES[pair_codes[pair]] + PRIOR / (b.counts[first] + PRIOR) * base[word]
-                three = VALUES[gram_codes[p(b.grams, keys)]] + np.where(weights[context], VALUES[weights[context]], 1.0) * two
+                two = VALUES[pair_codes[pair]] + (PRIOR / (b.counts + PRIOR))[first] * base[word]
+                three = VALUES[gram_codes[grams[: len(word)]]] + np.where(weights == 0, 1.0, VALUES[weights])[context] * two
                 cuts = np.cumsum(b.pieces.sizes) - b.pieces.sizes
-                sums = [np.add.reduceat(x, cuts) for x in ((b.counts[word] > 0).astype(np.int64), np.log10(base[word]), np.log10(np.minimum(1.0, three)))]
+                sums = [np.add.reduceat(x, cuts) for x in ((b.counts > 0)[word].astype(np.int64), np.log10(base)[word], np.log10(np.minimum(1.0, three)))]
                 yield batch_of(SCORES, [row["rows"], row["doc_ids"], row["held"], b.pieces.sizes, *sums])
 
     gathered = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "pairs", "weights", "grams")).alias("answers"))  # as many as shards, whatever the block

@@ -4,7 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from docquill.llm import lmscore
 
@@ -90,6 +92,34 @@ def test_levels_find_what_they_hold():
         assert [int(x[0]) for x in got] == [int(lmscore.quantised(np.array([s]))[0]) if s else 0 for s in share]
 
 
+def test_what_several_blocks_ask_is_sought_once(monkeypatch):
+    sought = []
+    find = lmscore.EliasFano.find
+    monkeypatch.setattr(lmscore.EliasFano, "find", lambda self, x: (sought.append(len(x)), find(self, x))[1])
+    c = lambda *x: lmscore.coded(np.array(x, np.int64))
+    # Trigrams 3 4 5 (twice in training texts of each block), 3 4 6 (held out only), 3 7 5, 9 4 5; firsts are sent as steps.
+    request = [c(3, 6), c(20, 10), c(2, 1), c(4, 7, 4), c(2, 1, 1), c(5, 6, 5, 5), c(2, 0, 1, 1)]
+    got = lmscore.grams_answered(pa.Table.from_batches([lmscore.batch_of(lmscore.ASKED, [[0] * 4, list(range(4)), *[[x] * 4 for x in request]])]))
+    assert sum(sought) == 2 + 3 + 4  # firsts, pairs, trigrams
+    share = lambda *p: [int(x) for x in lmscore.quantised(np.array(p))]
+    expected = share(8 / 24, 4 / 24, 4 / 14), share(4 / 12, 4 / 8, 4 / 8), share(8 / 12, 1, 4 / 8, 4 / 8)
+    expected[2][1] = 0
+    for r in got.to_pylist():
+        assert tuple(list(zstandard.decompress(r[f])) for f in ("pairs", "weights", "grams")) == expected
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_words_of_texts(kind):
+    rng = random.Random(4)
+    letters = [*map(chr, range(0x24)), *"aAzZ@[`{éÉ\x85\xa0\u2003\u3000", *" " * 10]
+    texts = [None, "", " ", *("".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(3000))]
+    words = lmscore.words_of(pa.array(texts, kind).slice(0))
+    assert words.to_pylist() == [tokens(t) for t in texts]
+    part = lmscore.words_of(pa.array(texts, kind).slice(5, 700))
+    bounds = part.offsets.to_pylist()
+    assert [part.values[b:e].to_pylist() for b, e in zip(bounds, bounds[1:], strict=False)] == [tokens(t) for t in texts[5:705]]
+
+
 def test_edge_tables(make):
     assert lmscore.scored(make([])).count() == 0
     held = next(k for k in range(100) if is_held(k))
