@@ -19,12 +19,13 @@ def pack(values: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(n * width // 64 + 2, np.uint64)
     if not width or not n:
         return out
-    at = np.arange(n, dtype=np.uint64) * np.uint64(width)
-    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-    v = values.astype(np.uint64) & np.uint64((1 << width) - 1)
-    np.bitwise_or.at(out, word, v << shift)
-    over = shift.astype(np.int64) + width > 64
-    np.bitwise_or.at(out, word[over] + 1, v[over] >> (np.uint64(64) - shift[over]))
+    for i in range(0, n, CHUNK):
+        v = values[i : i + CHUNK].astype(np.uint64) & np.uint64((1 << width) - 1)
+        at = np.arange(i, i + len(v), dtype=np.uint64) * np.uint64(width)
+        word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+        np.bitwise_or.at(out, word, v << shift)
+        over = shift.astype(np.int64) + width > 64
+        np.bitwise_or.at(out, word[over] + 1, v[over] >> (np.uint64(64) - shift[over]))
     return out
 
 
@@ -63,12 +64,12 @@ class EliasFano:
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
         n = len(values)
         width = max(0, (universe // max(n, 1)).bit_length() - 1)
-        values = values.astype(np.uint64)
-        top = values >> np.uint64(width)
         bits = (universe >> width) + n + 2
         high = np.zeros(bits // 64 + 2, np.uint64)  # a spare word at the end
-        at = top + np.arange(n, dtype=np.uint64)
-        np.bitwise_or.at(high, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        for i in range(0, n, CHUNK):
+            at = values[i : i + CHUNK].astype(np.uint64) >> np.uint64(width)
+            at += np.arange(i, i + len(at), dtype=np.uint64)
+            np.bitwise_or.at(high, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high).astype(np.int64))))
         return cls(n, width, pack(values, width), high, np.arange(len(ones), dtype=np.int64) * 64 - ones, ones)
 

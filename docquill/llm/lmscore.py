@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.llm.common import removed, shared_dir, table
+from docquill.llm.common import removed, shared_dir, table, trimmed
 from docquill.llm.eliasfano import EliasFano
 
 BLOCK_TOKENS, SHARD_WORDS, SHARD_GRAMS, SLICES = 1_000_000, 2_000_000, 1_500_000, 8
@@ -143,6 +143,7 @@ def blocks_of(docs: DataFrame, tokens: int) -> DataFrame:
                 row += 1
         if pieces:
             yield block()
+        trimmed()
 
     return docs.select("doc_id", "text", held_out().alias("held")).mapInArrow(run, BLOCK)
 
@@ -276,6 +277,8 @@ def grams_asked(blocks: DataFrame, starts: int, shards: int) -> DataFrame:
                         at = np.nonzero(np.diff(first, prepend=-1))[0]
                         sent = steps_of(b.ids[first[at]]), b.counts[first[at]], np.diff(at, append=len(pairs)), b.ids[b.second[pairs]], b.runs[pairs], b.ids[b.third[grams]], counts[grams]
                         yield batch_of(ASKED, [[shard], [row["block"]], *[[coded(x)] for x in sent]])
+                del b, counts
+        trimmed()
 
     return blocks.mapInArrow(run, ASKED)
 
@@ -307,6 +310,7 @@ class Levels:
             EliasFano.build(np.append(pair_at, n), n + 1),
             EliasFano.build(pair_of * self.size + w, max(1, len(pair_at)) * self.size),
         ]
+        del first_of, new, new_u
         own = [quantised(pair_counts / (context[pair_at] + PRIOR)), quantised(PRIOR / (pair_counts + PRIOR)), quantised(counts / (pair_counts[pair_of] + PRIOR))]
         arrays = [a for e in built for a in e.arrays()] + own
         places = np.cumsum([0, *(-(-a.nbytes // 8) * 8 for a in arrays)]).tolist()
@@ -343,31 +347,54 @@ class Levels:
 ANSWER = "shard int, block long, pairs binary, weights binary, grams binary"
 
 
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, ascending, and for each of a the place of its own among them."""
+    order = np.argsort(a).astype(np.min_scalar_type(len(a)))
+    ascending = a[order]
+    new = np.diff(ascending, prepend=-1) != 0
+    at = np.empty(len(a), order.dtype)
+    at[order] = np.cumsum(new, dtype=order.dtype) - order.dtype.type(1)
+    return ascending[new], at
+
+
 def grams_answered(got: pa.Table) -> pa.Table:
     """A shard's answers: for each block the bytes of its pairs and trigrams, in its order. What several blocks ask is sought
     once, in ascending order."""
-    fields = "firsts", "first_counts", "first_runs", "seconds", "runs", "thirds", "counts"
     rows = got.to_pylist()
-    asked = [[decoded(r[f]) for f in fields] for r in rows]
-    pair_cuts, gram_cuts = (np.cumsum([len(a[i]) for a in asked])[:-1] for i in (3, 5))
-    u, context, first_runs, v, runs, w, counts = (np.concatenate([np.cumsum(x) if i == 0 else x for x in xs]) for i, xs in enumerate(zip(*asked, strict=True)))
-    del asked
+
+    def asked(field: str, of=lambda x: x) -> tuple[np.ndarray, np.ndarray]:
+        """A field of all blocks, and where those after the first begin."""
+        parts = [of(decoded(r.pop(field))) for r in rows]
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])[:-1]
+
+    (u, _), (context, _), (v, pair_cuts), (w, gram_cuts) = asked("firsts", np.cumsum), asked("first_counts"), asked("seconds"), asked("thirds")
     size = int(max(v.max(initial=0), w.max(initial=0))) + 1
     u, first_at = np.unique(u, return_inverse=True)
     contexts = np.zeros(len(u), np.int64)
     contexts[first_at] = context
-    pairs, pair_at = np.unique(np.repeat(first_at, first_runs) * size + v, return_inverse=True)
-    grams, gram_at = np.unique(np.repeat(pair_at, runs) * size + w, return_inverse=True)
-    counts = np.bincount(gram_at, counts, len(grams)).astype(np.int64)
+    v += np.repeat(first_at, asked("first_runs")[0]) * size
+    del first_at, context
+    pairs, pair_at = distinct(v)
+    w += np.repeat(pair_at, asked("runs")[0]).astype(np.int64) * size
+    del v
+    grams, gram_at = distinct(w)
+    del w
+    counts = np.bincount(gram_at, asked("counts")[0], len(grams)).astype(np.int64)
     first_of, v = np.divmod(pairs, size)
     pair_of, w = np.divmod(grams, size)
+    del pairs, grams
     known = np.nonzero(counts)[0]
-    pair, first = pair_of[known], first_of[pair_of[known]]
-    levels = Levels(u[first], v[pair], w[known], counts[known], contexts[first])
-    del pairs, grams, known, pair, first
+    pair, counts = pair_of[known], counts[known]
+    first = first_of[pair]
+    levels = Levels(u[first], v[pair], w[known], counts, contexts[first])
+    del known, pair, first, counts
     pair_codes, weights, gram_codes = levels.codes(u, np.bincount(first_of, minlength=len(u)), v, np.bincount(pair_of, minlength=len(v)), w)
+    del first_of, pair_of, u, v, w, levels
     sent = np.split(pair_codes[pair_at], pair_cuts), np.split(weights[pair_at], pair_cuts), np.split(gram_codes[gram_at], gram_cuts)
-    return pa.Table.from_batches([batch_of(ANSWER, [[r["shard"] for r in rows], [r["block"] for r in rows], *[[zstandard.compress(x.tobytes(), 3) for x in xs] for xs in sent]])])
+    out = pa.Table.from_batches([batch_of(ANSWER, [[r["shard"] for r in rows], [r["block"] for r in rows], *[[zstandard.compress(x.tobytes(), 3) for x in xs] for xs in sent]])])
+    del rows, sent, pair_at, gram_at
+    trimmed()
+    return out
 
 
 SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -395,6 +422,8 @@ def summed(blocks: DataFrame, answers: DataFrame, starts: int, shards: int, belo
                 cuts = np.cumsum(b.pieces.sizes) - b.pieces.sizes
                 sums = [np.add.reduceat(x, cuts) for x in ((b.counts > 0)[word].astype(np.int64), np.log10(base)[word], np.log10(np.minimum(1.0, three)))]
                 yield batch_of(SCORES, [row["rows"], row["doc_ids"], row["held"], b.pieces.sizes, *sums])
+                del b, word, first, grams, pair_at, context, pair, two, three
+        trimmed()
 
     gathered = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "pairs", "weights", "grams")).alias("answers"))  # as many as shards, whatever the block
     return blocks.join(gathered, "block").select(*types(NUMBERED_BLOCK).names, "answers").mapInArrow(run, SCORES)
