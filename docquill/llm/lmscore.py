@@ -44,6 +44,7 @@ from docquill.llm.common import removed, shared_dir, table, trimmed
 from docquill.llm.eliasfano import EliasFano
 
 BLOCK_TOKENS, SHARD_WORDS, SHARD_GRAMS, SLICES = 1_000_000, 2_000_000, 1_500_000, 8
+PORTION = 8 << 20  # bytes of texts that are split at once
 PRIOR, STEPS = 4.0, 24.0  # K; steps of the quantiser for a factor of ten
 BEFORE, START, AFTER, SIGNS = 0, 1, 2, 3  # numbers of the added signs, and of the first word
 MIX, BITS = np.uint64(0x9E3779B97F4A7C15), 20  # a block has fewer than 2^20 words
@@ -83,6 +84,21 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, pa.scalar("", trimmed.type)), trimmed, ended))
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in portions of `PORTION` bytes of text and at most one text more, as each is held several times over."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.nonzero(np.diff((np.cumsum(sizes) - sizes) // PORTION, prepend=-1))[0].tolist()
+    for begin, end in zip(starts, [*starts, batch.num_rows][1:], strict=True):
+        yield batch.slice(begin, end - begin)
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """A hash for each word, made once for equal ones."""
+    seen = words.dictionary_encode()
+    hashes = map(xxhash.xxh64_intdigest, seen.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False))
+    return np.fromiter(hashes, np.uint64, len(seen.dictionary))[seen.indices.to_numpy()]
+
+
 BLOCK = "block long, rows array<long>, doc_ids array<long>, held array<boolean>, sizes binary, last binary, vocabulary binary, word_counts binary, tokens binary, n_words long, n_grams long"
 PIECES = "block", "rows", "doc_ids", "held", "sizes", "last"
 
@@ -100,43 +116,36 @@ def batch_of(ddl: str, columns: list[list]) -> pa.RecordBatch:
 def blocks_of(docs: DataFrame, tokens: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, row, room = TaskContext.get().partitionId(), 0, 0, tokens
-        pieces: list[tuple] = []  # row, doc_id, held, tokens, whether it ends the text, signs before it, words
-        parts: list[list] = []  # words and the range that pieces in a row take of them: two before a piece, its own, one after it
+        pieces: list[tuple] = []  # row, doc_id, held, tokens, whether it ends the text, signs before it
+        parts: list[np.ndarray] = []  # hashes of two tokens before a piece, its own and one after it, as far as there are
 
         def block() -> pa.RecordBatch:
             nonlocal made, pieces, parts, room
-            seen = pa.chunked_array([words[begin:end] for words, begin, end in parts]).dictionary_encode()
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen.chunk(0).dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.uint64)
-            order = np.argsort(hashes)
-            number = np.empty(len(order), np.int64)
-            number[order] = np.arange(len(order)) + SIGNS
-            rows, ids, held, sizes, last, signs, lengths = (list(x) for x in zip(*pieces, strict=True))
-            n, signs, lengths = np.array(sizes), np.array(signs), np.array(lengths)
+            known, found = np.unique(np.concatenate(parts), return_inverse=True)
+            rows, ids, held, sizes, last, signs = (list(x) for x in zip(*pieces, strict=True))
+            n, signs, lengths = np.array(sizes), np.array(signs), np.array([len(x) for x in parts])
             begins = np.cumsum(n + 3) - (n + 3)
             flat = np.full(int(n.sum()) + 3 * len(n), AFTER, np.int64)
             flat[begins[signs == 2]] = BEFORE
             flat[(begins + signs - 1)[signs > 0]] = START
-            flat[np.repeat(begins + signs - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())] = number[np.concatenate([x.indices.to_numpy() for x in seen.chunks])]
+            flat[np.repeat(begins + signs - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())] = found + SIGNS
             own = Pieces(flat, n, np.array(held), np.array(last))
-            counts = np.bincount(flat[own.thirds][own.train_tokens] - SIGNS, minlength=len(order))
-            out = [(part << 24) + made, rows, ids, held, coded(n), coded(np.array(last)), coded(steps_of(hashes[order])), coded(counts), coded(flat), len(order), len(flat)]
+            counts = np.bincount(flat[own.thirds][own.train_tokens] - SIGNS, minlength=len(known))
+            out = [(part << 24) + made, rows, ids, held, coded(n), coded(np.array(last)), coded(steps_of(known)), coded(counts), coded(flat), len(known), len(flat)]
             made, pieces, parts, room = made + 1, [], [], tokens
             return batch_of(BLOCK, [[x] for x in out])
 
-        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+        for batch in (x for b in batches for x in portions(b)):
             words = words_of(batch.column(1))
-            values, bounds = words.values, words.offsets.to_pylist()
+            hashes, bounds = hashed(words.values), words.offsets.to_pylist()
+            del words
             for k, (doc_id, held) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 at, begin, end = 0, bounds[k], bounds[k + 1]
                 while begin + at < end:
                     n = min(room, end - begin - at)
-                    last, start = begin + at + n == end, begin + max(0, at - 2)
-                    stop = begin + at + n + (not last)
-                    if parts and parts[-1][0] is values and parts[-1][2] == start:
-                        parts[-1][2] = stop
-                    else:
-                        parts.append([values, start, stop])
-                    pieces.append(((part << 40) + row, doc_id, held, n, last, max(0, 2 - at), stop - start))
+                    last = begin + at + n == end
+                    parts.append(hashes[begin + max(0, at - 2) : begin + at + n + (not last)])
+                    pieces.append(((part << 40) + row, doc_id, held, n, last, max(0, 2 - at)))
                     at, room = at + n, room - n
                     if not room:
                         yield block()

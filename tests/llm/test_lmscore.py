@@ -120,6 +120,16 @@ def test_words_of_texts(kind):
     assert [part.values[b:e].to_pylist() for b, e in zip(bounds, bounds[1:], strict=False)] == [tokens(t) for t in texts[5:705]]
 
 
+def test_long_texts_are_split_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(lmscore, "PORTION", 100)
+    texts = ["a" * 30, None, "", "b" * 70, "c", "d" * 1000, "e" * 99, "é" * 50, "f", *["g"] * 250]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = list(lmscore.portions(batch))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(sum(len((t or "").encode()) for t in b.column(1).to_pylist()[:-1]) <= 100 for b in got)
+    assert len(got) == 7 and list(lmscore.portions(batch.slice(0, 0))) == []
+
+
 def test_edge_tables(make):
     assert lmscore.scored(make([])).count() == 0
     held = next(k for k in range(100) if is_held(k))
