@@ -243,8 +243,13 @@ def redacted(docs: DataFrame, ratios: Column) -> DataFrame:
     return docs.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
+def counted(spans: Column, kind: int) -> Column:
+    """The number of spans of a kind. The lambda has one parameter: to a second one, even with a default, Spark gives the place."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scanned(docs, trained(samples(docs)))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    count = [counted(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(3)]
     return out.select("doc_id", *count, F.sha2(rendered(F.col("base")).cast("binary"), 256).alias("base_sha256"), rendered(F.col("spans")).alias("spans"))
